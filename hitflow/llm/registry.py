@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup
 from .frames import prepare
 
 
@@ -18,8 +18,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=20))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

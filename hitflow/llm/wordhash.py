@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BYTE_BASE = U64(0x9E3779B97F4A7C15)
@@ -132,7 +133,7 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACE, fold: bool = Fals
 
 def blocks(batch: pa.RecordBatch | pa.Table, column: str, most: int = 4 << 20):
     """Cut a batch into slices of about `most` bytes of text (a longer text is a slice of its own)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     total, start, n = np.concatenate([[0], np.cumsum(size)]), 0, len(size)
     while start < n:
         stop = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
