@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, substring_dedup
+from . import decontaminate, minhash_dedup, shards, substring_dedup
 from .frames import prepare
 
 
@@ -22,12 +22,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.with_law(shards.shard(_read(spark, sf_dir, "documents"), 40))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup, "op9_kd_shards": op9_kd_shards, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
