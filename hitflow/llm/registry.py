@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, shards, substring_dedup
+from . import decontaminate, minhash_dedup, mixing, shards, site_lines, substring_dedup
 from .frames import prepare
 
 
@@ -18,10 +19,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=20))
 
 
+#: Share of tokens of documents labelled as good quality and as poor.
+QUALITY_MIX = {"1": 0.95, "0": 0.05}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), QUALITY_MIX, "quality")
+    return mixed.select("doc_id", "n_tokens", F.try_element_at("post", F.lit("1")).alias("p_good"), "rate", "copies")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return site_lines.digest(site_lines.drop_site_lines(pages, site_lines.html_lines(F.col("html")), site_lines.host_of(F.col("url"))))
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.with_law(shards.shard(_read(spark, sf_dir, "documents"), 40))
 
@@ -31,8 +46,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op7_minhash_dedup": op7_minhash_dedup, "op9_kd_shards": op9_kd_shards, "op10_decontaminate": op10_decontaminate}
+    named = (op1_substring_dedup, op2_mixing, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE}
+    return {"op8_site_lines": site_lines.oracle(), "op10_decontaminate": decontaminate.ORACLE}
