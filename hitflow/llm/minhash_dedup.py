@@ -14,7 +14,8 @@ similarity of their sets is at least `percent` / 100. The steps:
    a deeper prefix: the depth adapts to the region. Pairs whose signatures agree enough become
    candidates, and each task sends on a spanning forest of them, never more edges than rows.
 3. Components of the candidate graph are candidate clusters. They are wider than the true ones
-   (agreement of 28 in 48 values; a true link falls below that about once in ten million).
+   (a pair stays unless its signatures agree in 4.5 standard deviations fewer values than
+   expected at the threshold, which a true link does about three times in a million).
 4. Each cluster is settled on full sets: a breadth-first search compares every reached document
    with every document not yet reached, so no link inside a cluster is left out, however dense the
    region that the forest cut short. A cluster above `BLOCK` documents is dealt to one task for
@@ -40,7 +41,6 @@ from .wordhash import SPACE, U64, blocks, mix, words_of
 ORDERS, DEPTH = 16, 3
 VALUES = ORDERS * DEPTH
 NEIGHBOURS = 64
-AGREE = 28
 BLOCK = 2048
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ADDENDS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -96,7 +96,12 @@ def _sign(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         )
 
 
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_agreement(percent: int) -> int:
+    p = percent / 100
+    return int(VALUES * p - 4.5 * (VALUES * p * (1 - p)) ** 0.5)
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     """Spanning candidate edges between each row and the rows before it that share its tree's prefix."""
     tree, key, rep, sig = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VALUES), np.uint8)
     for batch in batches:
@@ -111,7 +116,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[(key[at] == key[at - back]) & (tree[at] == tree[at - back])]
             if not len(at):
                 break
-            at = at[(sig[at] == sig[at - back]).sum(axis=1) >= AGREE]
+            at = at[(sig[at] == sig[at - back]).sum(axis=1) >= agree]
             near.append(at)
             far.append(at - back)
         if near:
@@ -177,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("rep", "sig", F.posexplode("keys").alias("tree", "key"))
         .select("tree", "key", "rep", F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))").alias("label"))
     )
-    candidates = trees.repartitionByRange("tree", "key", "label").sortWithinPartitions("tree", "key", "label").mapInArrow(_neighbours, "a long, b long")
+    agree = least_agreement(percent)
+    candidates = trees.repartitionByRange("tree", "key", "label").sortWithinPartitions("tree", "key", "label").mapInArrow(lambda it: _neighbours(it, agree), "a long, b long")
     clusters = connected_components(candidates)
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))

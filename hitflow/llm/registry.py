@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, mixing, shards, site_lines, substring_dedup
+from . import decontaminate, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
 from .frames import prepare
 
 
@@ -28,6 +28,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", F.try_element_at("post", F.lit("1")).alias("p_good"), "rate", "copies")
 
 
+#: The chain's categories in order.
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+def chain_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit_chain(docs, chain_labels(_read(spark, sf_dir, "labels")), TOXIC_CHAIN)
+    return toxicity.score(docs, model, TOXIC_CHAIN)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -46,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_substring_dedup, op2_mixing, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
+    named = (op1_substring_dedup, op2_mixing, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
