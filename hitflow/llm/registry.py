@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
 from .frames import prepare
 
 
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", F.try_element_at("post", F.lit("1")).alias("p_good"), "rate", "copies")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 #: The chain's categories in order.
 TOXIC_CHAIN = ["low_quality", "toxic"]
 
@@ -60,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_substring_dedup, op2_mixing, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
+    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
