@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
 from .frames import prepare
 
 
@@ -32,6 +32,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.fit_languages(docs, language_id.fold() != 2)
+    return language_id.identify(docs, model).withColumn("held_out", language_id.fold() == 2).select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
+
+
 #: The chain's categories in order.
 TOXIC_CHAIN = ["low_quality", "toxic"]
 
@@ -64,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
+    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
