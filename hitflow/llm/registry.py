@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, language_id, main_text, minhash_dedup, mixing, shards, site_lines, substring_dedup, toxicity
 from .frames import prepare
 
 
@@ -52,6 +52,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, TOXIC_CHAIN)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return main_text.digest(main_text.main_text(pages, main_text.fit_weights(pages)))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -70,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_toxicity, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
+    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_toxicity, op6_main_text, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
