@@ -1 +1 @@
-"""Event-data analytics for time-stamping pixel detectors, on Spark."""
+"""Event data of pixelated, time-stamping detectors as Spark DataFrames."""
