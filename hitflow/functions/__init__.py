@@ -80,26 +80,23 @@ def exact_quantile(df: DataFrame, column: str, share: float = 0.5, most: int = 1
     if not n:
         return None
     at = share * (n - 1)
-    ranks, found = sorted({int(at), min(n - 1, int(at) + 1)}), {}
+    ranks = sorted({int(at), min(n - 1, int(at) + 1)})
+    found: dict[int, float] = {}
     for rank in ranks:
-        lo, hi, skipped = low, high, 0
+        lo, hi, skipped, inside = low, high, 0, n
         while rank not in found:
-            width = (hi - lo) / bins
-            inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            if width <= 0 or lo + width <= lo:
+            if lo == hi:
                 found[rank] = lo
-                break
-            key = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))
-            seen = skipped
-            for r in sorted(inside.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: r["k"]):
-                if seen + r["n"] > rank:
-                    lo, hi, skipped = r["lo"], r["hi"], seen
-                    if lo == hi:
-                        found[rank] = lo
-                    elif r["n"] <= most:
-                        values = sorted(v["x"] for v in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).collect())
-                        found[rank] = values[rank - seen]
-                    break
-                seen += r["n"]
+            elif inside <= most or (hi - lo) / bins <= 0 or lo + (hi - lo) / bins <= lo:
+                values = sorted(v["x"] for v in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).collect())
+                found |= {r: values[r - skipped] for r in ranks if skipped <= r < skipped + len(values)}
+            else:
+                key = F.least(F.floor((F.col("x") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+                counted = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                for r in sorted(counted.collect(), key=lambda r: r["k"]):
+                    if skipped + r["n"] > rank:
+                        lo, hi, inside = r["lo"], r["hi"], r["n"]
+                        break
+                    skipped += r["n"]
     a, b = found[ranks[0]], found[ranks[-1]]
     return a + (b - a) * (at - int(at))
