@@ -21,11 +21,13 @@ def stream_clusters(hits: DataFrame, dt_ns: int = 2000, max_gap: int = 0, time_c
     watermark. `tile` names a detector column that splits the state over tasks; without one, all
     hits share one session key."""
     keys = [tile] if tile else []
-    rows = hits.where("time_ns is not null").withColumn("ts", F.timestamp_micros(F.floor("time_ns").cast("long")))
+    # Spark wants a key beside a streaming session window; this one is the same for all hits.
+    detector = F.col(tile) if tile else F.coalesce(F.col("x_pix") * 0, F.lit(0))
+    rows = hits.where("time_ns is not null").withColumn("detector", detector).withColumn("ts", F.timestamp_micros(F.floor("time_ns").cast("long")))
     if rows.isStreaming:
         rows = rows.withWatermark("ts", f"{late_ns} microseconds")
     hit = F.struct(F.col("time_ns").alias("t"), F.col("x_pix").alias("x"), F.col("y_pix").alias("y"), "tot", F.lit(None).cast("string").alias("key"))
-    epochs = rows.groupBy(F.session_window("ts", f"{dt_ns} microseconds").alias("session"), *keys).agg(F.array_sort(F.collect_list(hit)).alias("members"))
+    epochs = rows.groupBy(F.session_window("ts", f"{dt_ns} microseconds").alias("session"), "detector", *keys).agg(F.array_sort(F.collect_list(hit)).alias("members"))
     folded = epochs.select(*keys, F.col("session.start").alias("epoch"), fold_expression("members", float(dt_ns), max_gap, time_criterion).alias("m"))
     labels = folded.select(*keys, "epoch", "m", F.explode(F.array_distinct(F.transform("m", lambda a: a["c"]))).alias("label"))
     own = labels.withColumn("m", F.filter("m", lambda a: a["c"] == F.col("label")))
