@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SLICE_NS, numbered, require, with_previous
+from ..functions import SLICE_NS, require, with_previous
 
 FOLD_ROWS = 64
 
@@ -85,21 +85,27 @@ def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_
     reach = dt_ns + min(0.0, safety_margin_ns)
     carried = F.col("given_id").cast("string") if "given_id" in hits.columns else F.lit(None).cast("string")
     tot = F.col("tot").cast("int") if "tot" in hits.columns else F.lit(None).cast("int")
-    rows = epochs(hits.withColumns({"tot": tot, "key": carried}), reach, slice_ns).select("epoch", F.struct(F.col("time_ns").alias("t"), F.col("x_pix").cast("int").alias("x"), F.col("y_pix").cast("int").alias("y"), "tot", "key").alias("h"))
-    grouped = rows.groupBy("epoch").agg(F.count("*").alias("n"))
-    rows = rows.join(grouped, "epoch")
+    hit = F.struct(F.col("time_ns").alias("t"), F.col("x_pix").cast("int").alias("x"), F.col("y_pix").cast("int").alias("y"), "tot", "key")
+    rows = epochs(hits.withColumns({"tot": tot, "key": carried}), reach, slice_ns).select("epoch", hit.alias("h"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("epoch")))
     small = rows.where(F.col("n") <= FOLD_ROWS).groupBy("epoch").agg(F.array_sort(F.collect_list("h")).alias("members"))
-    folded = small.select("epoch", F.explode(fold_expression("members", reach, max_gap, time_criterion)).alias("m")).select("epoch", "m.*")
+    folded = small.select("epoch", fold_expression("members", reach, max_gap, time_criterion).alias("m"))
+    # Labels in the order of their first hit: members are sorted, so that is the order of the clusters' starts.
+    folded = folded.withColumn("labels", F.array_distinct(F.transform("m", lambda a: a["c"])))
+    folded = folded.select("epoch", "labels", F.explode("m").alias("m")).select("epoch", "m.t", "m.x", "m.y", "m.tot", "m.key", F.array_position("labels", F.col("m.c")).cast("int").alias("c"))
 
     def big(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "x", "y"], kind="stable")
-        return pdf.assign(c=_labels(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.t.to_numpy(), reach, max_gap + 1, time_criterion == "chain").astype("int32"))
+        label = _labels(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.t.to_numpy(), reach, max_gap + 1, time_criterion == "chain")
+        return pdf.assign(c=(pd.factorize(label)[0] + 1).astype("int32"))
 
     large = rows.where(F.col("n") > FOLD_ROWS).select("epoch", "h.*").groupBy("epoch").applyInPandas(big, "epoch double, t double, x int, y int, tot int, key string, c int")
-    labelled = folded.select("epoch", "t", "x", "y", "tot", "key", "c").unionByName(large)
-    ids = labelled.groupBy("epoch", "c").agg(F.min(F.struct("t", "x", "y")).alias("first")).withColumn("slice", F.floor(F.col("first.t") / F.lit(slice_ns)))
-    ids = numbered(ids, "slice", "first", name="cluster_id").select("epoch", "c", "cluster_id")
-    return labelled.join(ids, ["epoch", "c"]).select("cluster_id", F.col("t").alias("time_ns"), F.col("x").alias("x_pix"), F.col("y").alias("y_pix"), "tot", "key")
+    labelled = folded.unionByName(large).withColumn("slice", F.floor(F.col("epoch") / F.lit(slice_ns))).repartition("slice")
+    sizes = labelled.groupBy("slice", "epoch").agg(F.max("c").alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
+    before = sizes.select("slice", (F.sum("k").over(Window.orderBy("slice")) - F.col("k")).alias("before"))
+    own = F.dense_rank().over(Window.partitionBy("slice").orderBy("epoch", "c"))
+    out = labelled.withColumn("own", own).join(before, "slice")
+    return out.select((F.col("before") + F.col("own") - 1).cast("long").alias("cluster_id"), F.col("t").alias("time_ns"), F.col("x").alias("x_pix"), F.col("y").alias("y_pix"), "tot", "key")
 
 
 def summary(clustered: DataFrame) -> DataFrame:
