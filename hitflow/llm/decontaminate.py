@@ -11,8 +11,8 @@ distinct fingerprints meet the benchmark's in a join. Around the k-grams that a
 document's windows are cut out and compared with the items' windows word by word.
 
 Items shorter than `window` get fingerprints of their own length, made only for lengths that occur.
-The benchmark's tables are broadcast only if their counted rows stay under `BROADCAST_ROWS`; above
-that, both joins shuffle.
+The benchmark's tables are broadcast only if their windows are counted at `BROADCAST_ROWS` and
+`BROADCAST_BYTES` of words at most; above either, both joins shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .frames import prepare, saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -86,14 +87,15 @@ def contamination(
     """
     prepare(docs.sparkSession)
     spans = saved(item_windows(benchmark, item_col, item_text_col, window))
-    per_length = spans.groupBy("length").count().collect()  # one row for each window length, at most `window` rows
+    volume = F.octet_length(F.array_join("span", " ")) + F.octet_length(F.coalesce("item", F.lit("")))
+    per_length = spans.groupBy("length").agg(F.count("*").alias("n"), F.sum(volume).alias("volume")).collect()  # one row for each window length, at most `window` rows
     lengths = sorted(r["length"] for r in per_length)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), words(F.col(text_col)).alias("w"))
     none = {"hit_starts": F.array().cast("array<struct<length:int,start:int>>"), "items": F.array().cast("array<string>")}
     if not lengths:
         out = rows.select("id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *(c.alias(k) for k, c in none.items()))
         return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_starts", "items", F.lit(False).alias("contaminated"))
-    small = sum(r["count"] for r in per_length) <= BROADCAST_ROWS
+    small = sum(r["n"] for r in per_length) <= BROADCAST_ROWS and sum(r["volume"] for r in per_length) <= BROADCAST_BYTES
     near = F.broadcast if small else (lambda df: df)
 
     item_prints = _prints(_fingerprints(spans.withColumnRenamed("span", "w"), lengths)).select("fp").distinct()
