@@ -11,7 +11,8 @@ occurs there; the weight is the log odds. About `SAMPLE` pages are counted, thos
 hashes below the share that this is of all pages (a bound on what is fitted, whatever the number of
 pages). The counts are summed on Spark; a place or tag that was never counted gets the fixed
 weights of its element name. Inside the region, elements that are never content (menus, forms,
-scripts, comments of readers and others named in `NEVER` and `MARKS`) are left out.
+scripts, comments of readers and others named in `NEVER` and `MARKS`) are left out. A mark or a
+form around the page's own text does not count: see `_spared`.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,9 +57,11 @@ MARKS = frozenset(
     "masthead menu nav navbar navigation newsletter notice notices pagination pager popup promo promoted reactions related replies reply respond share sharing "
     "sidebar skip skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Before a mark in one class name, these say that the element only has to do with it (no-comments, overflow-hidden).
+MODIFIERS = frozenset("has no non not overflow with without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[^\W_]+")
 _SPACE = re.compile(r"\s+")
 
@@ -67,6 +71,8 @@ class Element:
     name: str
     mark: str  # name, and the first words of its class or id
     content: bool  # no element around it or itself is one of never
+    fixed: bool = False  # it or one around it is off for more than a mark or a form
+    at: int = -1  # its place in the page's spans, for those that may be spared or hold the page's text
 
 
 @dataclass
@@ -80,23 +86,73 @@ class Page:
     content: list[bool] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)  # within article or main
     articles: int = 0
+    plain: list[int] = field(default_factory=list)  # words that are neither links nor off for more than a mark or a form
+    spans: list[list] = field(default_factory=list)  # [name, first token, last + 1, content] of marked elements, forms, articles, mains and h1
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    names, never = [], False
+def _is_mark(token: str) -> bool:
+    """A class name (or id, role) that is a mark, or begins or ends with one that nothing before it takes back."""
+    words = _WORDS.findall(re.sub(r"([a-z])([0-9])", r"\1 \2", token))
+    if not words or not MODIFIERS.isdisjoint(words[:-1]):
+        return False
+    ends = {words[0], words[-1]}
+    if len(words) > 1 and words[0] not in ("is", "visually"):
+        ends.discard("hidden")  # lg:hidden, hidden-xs: on some screens only
+    return not MARKS.isdisjoint(ends)
+
+
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """The first words of class, id and role; whether one is a mark; whether the element is hidden."""
+    names, marked, hidden = [], False, False
     for m in _ATTRIBUTE.finditer(attributes):
-        kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            never |= kind == "hidden"
-            continue
-        own = _WORDS.findall(re.sub(r"([a-z])([0-9])", r"\1 \2", value))
-        never |= not MARKS.isdisjoint(own)
-        names += own[:2]
-    return "." + ".".join(names[:2]) if names else "", never
+        kind = m[1].lower()
+        if kind == "hidden":
+            hidden = True
+        elif kind in ("class", "id", "role"):
+            value = (m[2] or "").strip("\"'").lower()
+            marked = marked or any(_is_mark(t) for t in value.split())
+            names += _WORDS.findall(re.sub(r"([a-z])([0-9])", r"\1 \2", value))[:2]
+    return "." + ".".join(names[:2]) if names else "", marked, hidden
+
+
+def _spared(page: Page) -> frozenset[int]:
+    """Marked elements and forms that hold the page's own text, and so stay on.
+
+    They hold the page's outermost main, or else its longest outermost article; or, on a page without
+    either, most of its words. Where it is a mark, these words must come with a title, or, where no
+    title stands elsewhere, leave less than a tenth of the page, so that long comments of readers or
+    notices below a short text stay off.
+    """
+    off = [i for i, s in enumerate(page.spans) if s[0] in ("form", "mark")]
+    if not off:
+        return frozenset()
+    total = [0, *accumulate(page.plain)]
+    words = lambda s: total[s[2]] - total[s[1]]
+    own = [s for s in page.spans if s[0] == "main"] or [s for s in page.spans if s[0] == "article"]
+    if own:
+        own = max(own, key=words)
+        return frozenset(i for i in off if page.spans[i][1] < own[1] and own[2] <= page.spans[i][2])
+    titles = [s for s in page.spans if s[0] == "h1"]
+    spared = set()
+    for i in off:
+        name, first, last, _ = page.spans[i]
+        n = words(page.spans[i])
+        if 2 * n > total[-1] and (
+            name == "form" or any(first < t[1] < last for t in titles) or not any(t[3] for t in titles) and 10 * n > 9 * total[-1]
+        ):
+            spared.add(i)
+    return frozenset(spared)
 
 
 def parse(source: str) -> Page:
-    """One pass over the markup. Broken markup (unclosed, cut off or crossed tags) is taken as it comes."""
+    """The page's tokens. Broken markup (unclosed, cut off or crossed tags) is taken as it comes."""
+    page = _parse(source, frozenset())
+    spared = _spared(page)
+    return _parse(source, spared) if spared else page
+
+
+def _parse(source: str, spared: frozenset[int]) -> Page:
+    """One pass over the markup; `spared` are places in `spans`."""
     page, stack, at, number, end = Page(), [Element("", "", True)], 0, 0, len(source)
     articles, lowered = 0, None
 
@@ -113,6 +169,7 @@ def parse(source: str) -> Page:
             page.block.append(number)
             page.content.append(here.content)
             page.inside.append(articles > 0)
+            page.plain.append(0 if link or here.fixed else n)
 
     def tag(key: str, off: bool) -> None:
         page.keys.append(f"y {key}" if off else key)
@@ -121,10 +178,14 @@ def parse(source: str) -> Page:
         page.block.append(number)
         page.content.append(True)
         page.inside.append(articles > 0)
+        page.plain.append(0)
 
     def leave(depth: int) -> None:
         nonlocal articles
         articles -= sum(e.name in ("article", "main") for e in stack[depth:])
+        for e in stack[depth:]:
+            if e.at >= 0:
+                page.spans[e.at][2] = len(page.keys)
         del stack[depth:]
 
     while at < end:
@@ -148,7 +209,7 @@ def parse(source: str) -> Page:
         if name in VOID:
             if name == "br":
                 if page.keys:
-                    page.texts.append(" "), page.keys.append("br"), page.words.append(0), page.block.append(number), page.content.append(stack[-1].content), page.inside.append(articles > 0)
+                    page.texts.append(" "), page.keys.append("br"), page.words.append(0), page.block.append(number), page.content.append(stack[-1].content), page.inside.append(articles > 0), page.plain.append(0)
             elif name == "hr":
                 number += 1
             continue
@@ -165,15 +226,25 @@ def parse(source: str) -> Page:
                         break
                     if stack[i].name in SCOPE and not (name == "tr" and stack[i].name in ("td", "th")):
                         break
-        mark, never = _marks(m[3]) if m[3] else ("", False)
-        own = Element(name, name + mark, stack[-1].content and name not in NEVER and not (never and name not in ("html", "body", "article", "main")))
-        if name == "header" and articles:  # an article's own header holds its title
-            own.content = stack[-1].content and not never
+        mark, marked, hidden = _marks(m[3]) if m[3] else ("", False, False)
+        # An article's own header holds its title.
+        fixed = name in NEVER and name != "form" and not (name == "header" and articles) or hidden and name not in ("html", "body", "article", "main")
+        own = Element(name, name + mark, False, stack[-1].fixed or fixed)
+        soft = name == "form" or marked and name not in ("html", "body", "article", "main")
+        kind = ("form" if name == "form" and not marked else "mark") if soft else name if name == "h1" or name in ("article", "main") and not articles and (name == "main" or not marked) else ""
+        if kind and not own.fixed:
+            own.at = len(page.spans)
+            page.spans.append([kind, len(page.keys), 0, False])
+        own.content = stack[-1].content and not fixed and (not soft or own.at in spared)
+        if own.at >= 0:
+            page.spans[own.at][3] = own.content
         if name in ("article", "main"):
             page.articles += articles == 0
             articles += 1
         tag(f"< {own.mark}", not own.content)
         if m[3].endswith("/") and name not in BLOCK:
+            if own.at >= 0:
+                page.spans[own.at][2] = len(page.keys)
             continue
         stack.append(own)
         if name in TEXT_ONLY:
@@ -185,6 +256,7 @@ def parse(source: str) -> Page:
             stop = end if stop < 0 else stop
             text(source[at:stop])
             at = stop
+    leave(1)
     return page
 
 

@@ -49,3 +49,22 @@ def test_query_finds_the_marked_article(spark, sf):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b)))).strip() for b in re.split(r"</?(?:h1|p)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b), r.page_id
+
+
+def test_wrappers_do_not_switch_the_article_off():
+    inner = "<article><h1>A title</h1><p>Some words that all stay here.</p></article>"
+    want = "A title\n\nSome words that all stay here."
+    wrappers = ['style="overflow:hidden"', 'data-class="x hidden"', 'class="overflow-hidden"', 'class="content has-sidebar"', 'class="no-comments"', 'class="with-nav"', 'class="sidebar-left"', 'class="lg:hidden"']
+    for own in wrappers:
+        assert extract(f"<body><div {own}>{inner}</div></body>", {}) == want, own
+        assert extract(f"<body><div {own}>{inner.replace('article', 'div')}</div></body>", {}) == want, own
+    for name in ("article", "main", "div"):
+        assert extract(f"<body><form action=x><nav>Menu</nav>{inner.replace('article', name)}<select><option>No</select></form></body>", {}) == want, name
+
+
+def test_marked_elements_beside_the_article_stay_off():
+    page = '<body><%s><h1>A title</h1><p>Words of the article.</p></%s><div%s>%s</div></body>'
+    other = "<article class=comment-body><p>" + "reader words " * 50 + "</p></article>"
+    for own in (' id="comments"', ' class="site-footer"', " hidden", ' class="visually-hidden"', " class=cookie-notice"):
+        for name in ("article", "main", "div"):
+            assert extract(page % (name, name, own, other if name != "div" else "<p>" + "reader words " * 50), {}) == "A title\n\nWords of the article.", (own, name)
