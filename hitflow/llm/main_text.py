@@ -2,8 +2,8 @@
 
 A page is a sequence of tokens: tags, and runs of words. Words score positive where their place
 (the innermost block element with its class, and whether they are a link) is one that holds
-articles, words that are never content score slightly negative (they are left out anyway and must
-not cut an article in two), tags score negative, and a linear scan finds the contiguous region with the highest sum.
+articles, words and tags inside an element that is never content score nothing (they are left out
+anyway and must not cut an article in two), tags score negative, and a linear scan finds the contiguous region with the highest sum.
 
 Weights come from labelled pages: those that mark their article with one `article` or `main`
 element say for each place how often its words lie inside and outside, and for each tag how often it
@@ -172,7 +172,8 @@ def _parse(source: str, spared: frozenset[int]) -> Page:
             page.plain.append(0 if link or here.fixed else n)
 
     def tag(key: str, off: bool) -> None:
-        page.keys.append(f"y {key}" if off else key)
+        # The tags of the outermost excluded element cost a little; those inside it are runs of no words.
+        page.keys.append(key if not off else f"y {key}" if stack[-1].content else f"x {key}")
         page.words.append(0)
         page.texts.append("")
         page.block.append(number)
@@ -264,7 +265,7 @@ def _fixed(key: str) -> float:
     """Weight of a place or tag that no labelled page has shown."""
     kind, _, place = key.partition(" ")
     if kind in "xy":
-        return -OFF_COST
+        return 0.0 if kind == "x" else -OFF_COST
     name = place.partition(" ")[0].partition(".")[0]
     if kind != "w":
         return -TAG_COST
@@ -292,6 +293,8 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
     # A region takes the whole of the blocks at its ends.
     while first > 0 and page.block[first - 1] == page.block[first] and first < last:
         first -= 1
+    while first < last < len(page.block) and page.block[last] == page.block[last - 1]:
+        last += 1
     out, now = [], None
     for i in range(first, last):
         if page.texts[i] and page.content[i]:
@@ -331,9 +334,9 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         a, b = sum(r["inside"] for r in those) + 1.0, sum(r["outside"] for r in those) + 1.0
         for r in those:
             odds = math.log((r["inside"] + 0.5) / a) - math.log((r["outside"] + 0.5) / b)
-            odds = max(-LIMIT, min(LIMIT, odds)) if r["key"][0] not in "xy" else -OFF_COST
-            # Words count for or against; tags always cost, those of the surroundings more.
-            weights[r["key"]] = odds if kind == "w" or odds == -OFF_COST else -TAG_COST + min(0.0, odds) * TAG_COST
+            odds = max(-LIMIT, min(LIMIT, odds))
+            # Words count for or against; tags always cost, those of the surroundings more; what is excluded has its fixed cost.
+            weights[r["key"]] = _fixed(r["key"]) if r["key"][0] in "xy" else odds if kind == "w" else -TAG_COST + min(0.0, odds) * TAG_COST
     return weights
 
 

@@ -68,3 +68,15 @@ def test_marked_elements_beside_the_article_stay_off():
     for own in (' id="comments"', ' class="site-footer"', " hidden", ' class="visually-hidden"', " class=cookie-notice"):
         for name in ("article", "main", "div"):
             assert extract(page % (name, name, own, other if name != "div" else "<p>" + "reader words " * 50), {}) == "A title\n\nWords of the article.", (own, name)
+
+
+def test_the_last_block_is_whole():
+    assert extract('<body><p>Read <a href="/r">the full report</a></p></body>', {}) == "Read the full report"
+    assert extract('<body><p>One two three four. <a href="/r">see here</a> end</p><nav>Menu</nav></body>', {}) == "One two three four. see here end"
+
+
+def test_long_excluded_parts_do_not_cut_the_lead():
+    lead, rest = "<h1>A title</h1><p>" + "lead " * 20 + "</p>", "<p>" + "rest " * 60 + "</p>"
+    want = "A title\n\n" + ("lead " * 20).strip() + "\n\n" + ("rest " * 60).strip()
+    for off in ("<select>" + "<option>one of the choices</option>" * 200 + "</select>", "<aside><ul>" + "<li><p>beside the text</p>" * 200 + "</ul></aside>", "<nav>" + "<a href=x>some entry</a> " * 400 + "</nav>"):
+        assert extract(f"<body><div>{lead}{off}{rest}</div></body>", {}) == want, off[:8]
