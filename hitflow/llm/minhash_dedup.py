@@ -10,19 +10,20 @@ similarity of their sets is at least `percent` / 100. The steps:
 2. Forest: `ORDERS` trees, each a signature order that starts with three values of its own. The
    rows (tree, label) are range-sorted as a whole, so a dense region spreads over tasks, and each
    row is compared with its `NEIGHBOURS` longest-common-prefix neighbours below. In a sparse
-   region the neighbours reach back to the least depth of three values; in a dense one, they end at
-   a deeper prefix: the depth adapts to the region. Pairs whose signatures agree enough become
-   candidates, and each task sends on a spanning forest of them, never more edges than rows.
+   region the neighbours reach back to the least depth of three values. Where more rows than that
+   share the three values of a tree, or a task's border cuts such a group, the group's signatures
+   are compared in full, a task for each pair of its blocks. Pairs whose signatures agree enough
+   become candidates, and each task sends on a spanning forest of them, never more edges than rows.
 3. Components of the candidate graph are candidate clusters. They are wider than the true ones
    (a pair stays unless its signatures agree in 4.5 standard deviations fewer values than
    expected at the threshold, which a true link does about three times in a million).
 4. Each cluster is settled on full sets: a breadth-first search compares every reached document
-   with every document not yet reached, so no link inside a cluster is left out, however dense the
-   region that the forest cut short. A cluster above `BLOCK` documents is dealt to one task for
+   with every document not yet reached, so no link inside a cluster is left out. A cluster above `BLOCK` documents is dealt to one task for
    each pair of its blocks. What comes out is a spanning forest of confirmed links, whose
    components are the result.
 
-A pair at exactly 0.85 misses all trees with a probability of (1 - 0.85**3)**16 = 2.4e-7.
+A pair at exactly 0.85 misses all trees with a probability of (1 - 0.85**3)**16 = 2.4e-7 (at 0.8:
+1.0e-5), in dense regions too. The price there is time that grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ ORDERS, DEPTH = 16, 3
 VALUES = ORDERS * DEPTH
 NEIGHBOURS = 64
 BLOCK = 2048
+SIGNATURE_BLOCK = 16384
 _MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ADDENDS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
 
@@ -101,8 +103,21 @@ def least_agreement(percent: int) -> int:
     return int(VALUES * p - 4.5 * (VALUES * p * (1 - p)) ** 0.5)
 
 
+_FOUND = "a long, b long, tree int, key long"
+
+
 def _neighbours(batches: Iterable[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
-    """Spanning candidate edges between each row and the rows before it that share its tree's prefix."""
+    """Spanning candidate edges between each row and the rows before it that share its tree's prefix, as (a, b); and
+    as (tree, key) the groups that this leaves open: those of more than `NEIGHBOURS` rows, and the first and last of the task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.int64())])
+
+    def found(a, b, tree, key):
+        n, m = len(a), len(tree)
+        columns = [(pa.array(a, pa.int64()), pa.nulls(m, pa.int64())), (pa.array(b, pa.int64()), pa.nulls(m, pa.int64())), (pa.nulls(n, pa.int32()), pa.array(tree, pa.int32())), (pa.nulls(n, pa.int64()), pa.array(key, pa.int64()))]
+        return pa.record_batch([pa.concat_arrays(c) for c in columns], schema=schema)
+
+    empty = np.empty(0, np.int64)
+    open_group = None
     tree, key, rep, sig = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VALUES), np.uint8)
     for batch in batches:
         old = len(key)
@@ -110,6 +125,15 @@ def _neighbours(batches: Iterable[pa.RecordBatch], agree: int) -> Iterator[pa.Re
         key = np.concatenate([key, np.asarray(batch.column("key"))])
         rep = np.concatenate([rep, np.asarray(batch.column("rep"))])
         sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, VALUES)])
+        if open_group is None and len(key):
+            yield found(empty, empty, tree[:1], key[:1])
+        at = np.arange(max(old, NEIGHBOURS), len(key))
+        at = at[(key[at] == key[at - NEIGHBOURS]) & (tree[at] == tree[at - NEIGHBOURS])]
+        if len(at):
+            large = np.unique(np.stack([tree[at].astype(np.int64), key[at]]), axis=1)
+            yield found(empty, empty, large[0], large[1])
+        if len(key):
+            open_group = tree[-1:], key[-1:]
         near, far = [], []
         for back in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
             at = np.arange(max(old, back), len(key))
@@ -124,8 +148,55 @@ def _neighbours(batches: Iterable[pa.RecordBatch], agree: int) -> Iterator[pa.Re
             root = local_components(len(key), a, b)
             moved = np.flatnonzero(root != np.arange(len(root)))
             a, b = rep[moved], rep[root[moved]]
-            yield pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+            yield found(a[a != b], b[a != b], empty, empty)
         tree, key, rep, sig = tree[-NEIGHBOURS:], key[-NEIGHBOURS:], rep[-NEIGHBOURS:], sig[-NEIGHBOURS:]
+    if open_group is not None:
+        yield found(empty, empty, *open_group)
+
+
+def _all_pairs(table: pa.Table, agree: int) -> pa.Table:
+    """Spanning candidate edges among one block of a group, or between two of its blocks, by comparing all pairs of signatures."""
+    rep, own, i, j = np.asarray(table["rep"]), np.asarray(table["own"]), table["i"][0].as_py(), table["j"][0].as_py()
+    sig = np.ascontiguousarray(np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, VALUES).T)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    root, rows, columns = np.arange(len(rep)), 256, 2048
+    for y in range(0, len(right), columns):
+        b = right[y : y + columns]
+        theirs = sig[:, b]
+        for x in range(0, len(left) if i != j else min(len(left), y + columns), rows):
+            a = left[x : x + rows]
+            if root[a].max() == root[a].min() == root[b].max() == root[b].min():
+                continue
+            ours = sig[:, a]
+            same, equal = np.zeros((len(a), len(b)), np.uint8), np.empty((len(a), len(b)), bool)
+            for v in range(VALUES):
+                np.equal(ours[v][:, None], theirs[v][None, :], out=equal)
+                np.add(same, equal.view(np.uint8), out=same)
+            p, q = np.nonzero(same >= agree)
+            p, q = a[p], b[q]
+            new = root[p] != root[q]
+            if new.any():
+                root = local_components(len(root), np.concatenate([np.arange(len(root)), p[new]]), np.concatenate([root, q[new]]))
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": pa.array(rep[moved], pa.int64()), "b": pa.array(rep[root[moved]], pa.int64())})
+
+
+def _candidates(reps: DataFrame, agree: int) -> DataFrame:
+    """Spanning candidate edges (a, b) among rows of (rep, sig, keys)."""
+    trees = reps.select("rep", "sig", F.posexplode("keys").alias("tree", "key"))
+    labelled = trees.select("tree", "key", "rep", F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))").alias("label"))
+    found = saved(labelled.repartitionByRange("tree", "key", "label").sortWithinPartitions("tree", "key", "label").mapInArrow(lambda it: _neighbours(it, agree), _FOUND))
+    group = ["tree", "key"]
+    rows = trees.join(found.where("a is null").select(*group).distinct(), group)
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / SIGNATURE_BLOCK).cast("int").alias("n_blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = (
+        rows.join(sizes, group)
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+        .select(*group, "rep", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+    dense = dealt.groupBy(*group, "i", "j").applyInArrow(lambda t: _all_pairs(t, agree), "a long, b long")
+    return found.where("a is not null").select("a", "b").unionByName(dense)
 
 
 def _settle(table: pa.Table, shingle: int, percent: int) -> pa.Table:
@@ -177,14 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"))
     member = saved(signed.select("id", *same).join(first, same, "left").select("id", "n_shingles", "rep"))
 
-    trees = (
-        signed.where("n_shingles > 0").join(first, same).where("id = rep")
-        .select("rep", "sig", F.posexplode("keys").alias("tree", "key"))
-        .select("tree", "key", "rep", F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))").alias("label"))
-    )
-    agree = least_agreement(percent)
-    candidates = trees.repartitionByRange("tree", "key", "label").sortWithinPartitions("tree", "key", "label").mapInArrow(lambda it: _neighbours(it, agree), "a long, b long")
-    clusters = connected_components(candidates)
+    reps = saved(signed.where("n_shingles > 0").join(first, same).where("id = rep").select("rep", "sig", "keys"))
+    clusters = connected_components(_candidates(reps, least_agreement(percent)))
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     dealt = (

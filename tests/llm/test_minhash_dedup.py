@@ -57,3 +57,20 @@ def test_components_of_a_long_path(spark):
 def test_query_matches_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert result(registry.op7_minhash_dedup(spark, sf)) == brute_force(rows, 3, 85)
+
+
+def test_links_in_a_dense_group_are_candidates(spark, monkeypatch):
+    """One group shares a key; its links are far apart in the order of each tree."""
+    rng = random.Random(5)
+    n, values, trees = 600, minhash_dedup.VALUES, minhash_dedup.ORDERS
+    rows = []
+    for i in range(0, n, 2):
+        sig = bytes(rng.randrange(256) for _ in range(values))
+        # Each tree's order begins with another value, so that the two are not neighbours in it.
+        other = bytes(rng.randrange(256) if v % minhash_dedup.DEPTH == 0 else x for v, x in enumerate(sig))
+        rows += [(i, bytearray(sig), [7] * trees), (i + 1, bytearray(other), [7] * trees)]
+    df = spark.createDataFrame(rows, "rep long, sig binary, keys array<long>").repartition(5)
+    for block in (16384, 100):
+        monkeypatch.setattr(minhash_dedup, "SIGNATURE_BLOCK", block)
+        got = connected_components(minhash_dedup._candidates(df, 28)).groupBy("component").count().collect()
+        assert len(got) == n // 2 and all(r["count"] == 2 and r.component % 2 == 0 for r in got), block
