@@ -393,7 +393,7 @@ def h_report(spark, d):
 
 def _boosted(spark, d):
     rows = learning.time_block_split(learning.labelled(labels(spark, d))).persist()
-    return rows, learning.fit_boosted(rows, trees=5, depth=3)
+    return rows, learning.fit_boosted(rows)
 
 
 @query()
@@ -488,12 +488,12 @@ def i_reliability(spark, d):
 
 def _perceptron(spark, d):
     lab = labels(spark, d)
-    rows = patches.aligned(patches.dense(sparse(spark, d)), lab, features.PATCH_SCALARS).where("hard_label in (0, 1)")
+    rows = patches.aligned(patches.dense(sparse(spark, d)), lab, features.PATCH_SCALARS).where("hard_label >= 0")
     rows = rows.withColumn("scalars", F.array(*features.PATCH_SCALARS))
     from pyspark.ml.functions import array_to_vector
 
     rows = learning.time_block_split(rows.withColumns({c: array_to_vector(c) for c in ("ch0", "ch1", "scalars")})).persist()
-    model = learning.fit_perceptron(rows.where("split = 'train'"), ["ch0", "ch1", "scalars"], "hard_label", 2, hidden=8, steps=15)
+    model = learning.fit_perceptron(rows.where("split = 'train'"), ["ch0", "ch1", "scalars"], "hard_label", len(MEANS) + 1)
     return model.transform(rows)
 
 
