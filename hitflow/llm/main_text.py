@@ -1,18 +1,22 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tokens: tags, and runs of words. Words score positive where their place
-(the innermost block element with its class, and whether they are a link) is one that holds
-articles, words and tags inside an element that is never content score nothing (they are left out
-anyway and must not cut an article in two), tags score negative, and a linear scan finds the contiguous region with the highest sum.
+A page is a sequence of tokens: tags, and runs of words. Every token has a score and a linear scan
+finds the contiguous region with the highest sum.
+
+- Words score by their place: the innermost block element, the nearest class or id around them, and
+  whether they are a link. Places that hold articles score positive, places that surround them and
+  links negative. Tags cost; a run of tags without words between costs `RUN_COST` at most.
+- Elements that are never content (menus, forms, scripts, comments of readers and others named in
+  `NEVER` and `MARKS`) and their words score nothing: inside an article they must not cut it in two.
+  They are left out of the region. A mark or a form around the page's own text does not count: see `_spared`.
 
 Weights come from labelled pages: those that mark their article with one `article` or `main`
 element say for each place how often its words lie inside and outside, and for each tag how often it
-occurs there; the weight is the log odds. About `SAMPLE` pages are counted, those whose id
-hashes below the share that this is of all pages (a bound on what is fitted, whatever the number of
-pages). The counts are summed on Spark; a place or tag that was never counted gets the fixed
-weights of its element name. Inside the region, elements that are never content (menus, forms,
-scripts, comments of readers and others named in `NEVER` and `MARKS`) are left out. A mark or a
-form around the page's own text does not count: see `_spared`.
+occurs there; the weight is the log odds. An `article` and a `div` of one class are one place, so
+pages without the mark profit. About `SAMPLE` pages are counted, those whose id hashes below the
+share that this is of all pages (a bound on what is fitted, whatever the number of pages). The counts
+are summed on Spark. A place that was never counted has the weight of its block element, and where
+that was not counted either, the fixed one.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import html
 import json
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -32,9 +37,10 @@ from pyspark.sql import functions as F
 from .frames import prepare
 
 SAMPLE = 5000
-TAG_COST = 0.2
 OFF_COST = 0.1
+RUN_COST = 6.0
 LIMIT = 4.0
+TEXT, OPEN, CLOSE = range(3)
 
 #: HTML element names by kind.
 RAW = frozenset("script style noscript template svg math iframe object canvas".split())
@@ -44,10 +50,14 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-NEVER = RAW | frozenset("head title nav header footer aside form menu button select option textarea label dialog search fieldset".split())
-CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main figcaption dd dt li td th".split())
-CLOSED_BY = {
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
+NEVER = RAW | frozenset("head title nav header footer aside menu button select option textarea label dialog search fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = HEADINGS | frozenset("p blockquote pre article main figcaption dd dt li td th".split())
+#: Open elements that a tag closes, and those that keep it from looking further out.
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "a": ("a",)}
+BOUNDS = {
+    "li": ("ul", "ol", "menu", "td", "th", "article", "section", "nav", "aside"), "dt": ("dl", "td", "th"), "dd": ("dl", "td", "th"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
+    "option": ("select",), "a": ("p", "li", "td", "th", "div", "article", "section", "nav"),
 }
 ENDS_P = BLOCK - frozenset(["caption", "head", "html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "title"])
 SCOPE = frozenset("html body table td th ul ol dl article section div main nav aside footer header form blockquote".split())
@@ -59,135 +69,129 @@ MARKS = frozenset(
 )
 #: Before a mark in one class name, these say that the element only has to do with it (no-comments, overflow-hidden).
 MODIFIERS = frozenset("has no non not overflow with without".split())
+#: What may follow a mark in an id; other ids that begin with one are headings turned into names (notice-of-appeal, share-prices).
+PARTS = MARKS | frozenset("area bar block body box button buttons column container content count form frame inner item items left link links list main outer panel post posts right section slot thread top unit wrap wrapper".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: The rest of a page after an unclosed quote has no such quote, so that each kind of it is looked for in vain only once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 _WORDS = re.compile(r"[^\W_]+")
+_DIGITS = re.compile(r"([a-z])([0-9])")
+_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
-    mark: str  # name, and the first words of its class or id
-    content: bool  # no element around it or itself is one of never
-    fixed: bool = False  # it or one around it is off for more than a mark or a form
-    at: int = -1  # its place in the page's spans, for those that may be spared or hold the page's text
+    place: str = ""  # the innermost block element, and the nearest class or id
+    block: str = ""
+    near: str = ""
+    link: int = 0  # positive inside or close below a link
+    hard: bool = False  # it or one around it is never content, whatever it holds
+    soft: str = ""  # "form" or "mark": not content, unless it holds the page's own text
+    inside: bool = False  # within article or main, or one itself
+    outermost: bool = False  # an article or main within no other
+    parent: int = 0
+    first: int = 0
+    last: int = 0
+    on: bool = True
 
 
 @dataclass
 class Page:
-    """Runs of words and tags in page order; block numbers join runs of one block."""
+    """Elements with parents before children; tokens (tags and runs of words) in page order. Block numbers join runs of one block."""
 
-    keys: list[str] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=lambda: [Element("")])
+    kind: list[int] = field(default_factory=list)
+    owner: list[int] = field(default_factory=list)
     words: list[int] = field(default_factory=list)  # 0 for tags
     texts: list[str] = field(default_factory=list)
     block: list[int] = field(default_factory=list)
-    content: list[bool] = field(default_factory=list)
-    inside: list[bool] = field(default_factory=list)  # within article or main
-    articles: int = 0
-    plain: list[int] = field(default_factory=list)  # words that are neither links nor off for more than a mark or a form
-    spans: list[list] = field(default_factory=list)  # [name, first token, last + 1, content] of marked elements, forms, articles, mains and h1
-
 
-def _is_mark(token: str) -> bool:
+    @property
+    def articles(self) -> int:
+        return sum(e.outermost for e in self.elements)
+
+    def keys(self) -> list[str]:
+        """What the weights are kept by: w place, < element or > element; x and y for what is off and its outermost tags."""
+        made, own = {}, []
+        for kind, at in zip(self.kind, self.owner, strict=True):
+            key = made.get((kind, at))
+            if key is None:
+                e = self.elements[at]
+                if kind == TEXT:
+                    key = f"{'w' if e.on else 'x'} {e.place}{' a' if e.link else ''}"
+                else:
+                    key = f"{'<' if kind == OPEN else '>'} {e.name}{e.near}" if e.on else f"{'y' if self.elements[e.parent].on else 'x'} {e.name}"
+                made[kind, at] = key
+            own.append(key)
+        return own
+
+
+def _is_mark(token: str, is_id: bool) -> bool:
     """A class name (or id, role) that is a mark, or begins or ends with one that nothing before it takes back."""
-    words = _WORDS.findall(re.sub(r"([a-z])([0-9])", r"\1 \2", token))
+    words = _WORDS.findall(_DIGITS.sub(r"\1 \2", token))
     if not words or not MODIFIERS.isdisjoint(words[:-1]):
         return False
     ends = {words[0], words[-1]}
+    if is_id and not all(w in PARTS or w.isdigit() for w in words[1:]):
+        ends.discard(words[0])
     if len(words) > 1 and words[0] not in ("is", "visually"):
         ends.discard("hidden")  # lg:hidden, hidden-xs: on some screens only
     return not MARKS.isdisjoint(ends)
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """The first words of class, id and role; whether one is a mark; whether the element is hidden."""
-    names, marked, hidden = [], False, False
-    for m in _ATTRIBUTE.finditer(attributes):
+def _attributes(raw: str) -> tuple[str, bool]:
+    """The first two words of class and id, and whether the element is marked as no content."""
+    names, marked = [], False
+    for m in _ATTRIBUTE.finditer(raw):
         kind = m[1].lower()
         if kind == "hidden":
-            hidden = True
-        elif kind in ("class", "id", "role"):
+            marked = True
+        elif kind in ("class", "id", "role", "aria-hidden", "style"):
             value = (m[2] or "").strip("\"'").lower()
-            marked = marked or any(_is_mark(t) for t in value.split())
-            names += _WORDS.findall(re.sub(r"([a-z])([0-9])", r"\1 \2", value))[:2]
-    return "." + ".".join(names[:2]) if names else "", marked, hidden
-
-
-def _spared(page: Page) -> frozenset[int]:
-    """Marked elements and forms that hold the page's own text, and so stay on.
-
-    They hold the page's outermost main, or else its longest outermost article; or, on a page without
-    either, most of its words. Where it is a mark, these words must come with a title, or, where no
-    title stands elsewhere, leave less than a tenth of the page, so that long comments of readers or
-    notices below a short text stay off.
-    """
-    off = [i for i, s in enumerate(page.spans) if s[0] in ("form", "mark")]
-    if not off:
-        return frozenset()
-    total = [0, *accumulate(page.plain)]
-    words = lambda s: total[s[2]] - total[s[1]]
-    own = [s for s in page.spans if s[0] == "main"] or [s for s in page.spans if s[0] == "article"]
-    if own:
-        own = max(own, key=words)
-        return frozenset(i for i in off if page.spans[i][1] < own[1] and own[2] <= page.spans[i][2])
-    titles = [s for s in page.spans if s[0] == "h1"]
-    spared = set()
-    for i in off:
-        name, first, last, _ = page.spans[i]
-        n = words(page.spans[i])
-        if 2 * n > total[-1] and (
-            name == "form" or any(first < t[1] < last for t in titles) or not any(t[3] for t in titles) and 10 * n > 9 * total[-1]
-        ):
-            spared.add(i)
-    return frozenset(spared)
+            if kind == "aria-hidden":
+                marked = marked or value == "true"
+            elif kind == "style":
+                marked = marked or _NOT_SHOWN.search(value) is not None
+            else:
+                marked = marked or any(_is_mark(t, kind == "id") for t in value.split())
+                if kind != "role" and len(names) < 2:
+                    names += _WORDS.findall(_DIGITS.sub(r"\1 \2", value))[:2]
+    return "".join(f".{n}" for n in names[:2]), marked
 
 
 def parse(source: str) -> Page:
-    """The page's tokens. Broken markup (unclosed, cut off or crossed tags) is taken as it comes."""
-    page = _parse(source, frozenset())
-    spared = _spared(page)
-    return _parse(source, spared) if spared else page
-
-
-def _parse(source: str, spared: frozenset[int]) -> Page:
-    """One pass over the markup; `spared` are places in `spans`."""
-    page, stack, at, number, end = Page(), [Element("", "", True)], 0, 0, len(source)
-    articles, lowered = 0, None
+    """The page's tokens and elements, in one pass. Broken markup (unclosed, cut off or crossed tags) is taken as it comes."""
+    page = Page()
+    elements, stack, at, number, end = page.elements, [0], 0, 0, len(source)
+    open_at: dict[str, list[int]] = defaultdict(list)  # depths in the stack, by name
+    scopes = [0]
+    lowered = None
+
+    def add(kind: int, owner: int, words: int, text: str) -> None:
+        page.kind.append(kind)
+        page.owner.append(owner)
+        page.words.append(words)
+        page.texts.append(text)
+        page.block.append(number)
 
     def text(piece: str) -> None:
-        here = stack[-1]
-        if piece and here.name not in RAW:
+        if piece and elements[stack[-1]].name not in RAW:
             piece = html.unescape(piece)
-            n = len(piece.split())
-            link = any(e.name == "a" for e in stack[-3:])
-            holder = next((e for e in reversed(stack) if e.name in BLOCK or not e.name), stack[0])
-            page.keys.append(f"{'w' if here.content else 'x'} {holder.mark}{' a' if link else ''}")
-            page.words.append(n)
-            page.texts.append(piece)
-            page.block.append(number)
-            page.content.append(here.content)
-            page.inside.append(articles > 0)
-            page.plain.append(0 if link or here.fixed else n)
-
-    def tag(key: str, off: bool) -> None:
-        # The tags of the outermost excluded element cost a little; those inside it are runs of no words.
-        page.keys.append(key if not off else f"y {key}" if stack[-1].content else f"x {key}")
-        page.words.append(0)
-        page.texts.append("")
-        page.block.append(number)
-        page.content.append(True)
-        page.inside.append(articles > 0)
-        page.plain.append(0)
+            add(TEXT, stack[-1], len(piece.split()), piece)
 
     def leave(depth: int) -> None:
-        nonlocal articles
-        articles -= sum(e.name in ("article", "main") for e in stack[depth:])
-        for e in stack[depth:]:
-            if e.at >= 0:
-                page.spans[e.at][2] = len(page.keys)
-        del stack[depth:]
+        while len(stack) > depth:
+            i = stack.pop()
+            open_at[elements[i].name].pop()
+            elements[i].last = len(page.kind)
+        while scopes[-1] >= depth:
+            scopes.pop()
+
+    def depth_of(names: Iterable[str]) -> int:
+        return max((open_at[n][-1] for n in names if open_at[n]), default=0)
 
     while at < end:
         m = _TOKEN.search(source, at)
@@ -199,55 +203,48 @@ def _parse(source: str, spared: frozenset[int]) -> Page:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            depth = depth_of((name,))
             if name in BLOCK:
                 number += 1
             if depth:
                 closed = stack[depth]
                 leave(depth)
-                tag(f"/ {closed.mark}", not closed.content)
+                add(CLOSE, closed, 0, "")
             continue
         if name in VOID:
             if name == "br":
-                if page.keys:
-                    page.texts.append(" "), page.keys.append("br"), page.words.append(0), page.block.append(number), page.content.append(stack[-1].content), page.inside.append(articles > 0), page.plain.append(0)
+                add(TEXT, stack[-1], 0, " ")
             elif name == "hr":
                 number += 1
             continue
         if name in BLOCK:
             number += 1
-            if name in ENDS_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "p" or stack[i].name in SCOPE), 0)
-                if depth and stack[depth].name == "p":
-                    leave(depth)
-            if name in CLOSED_BY:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in CLOSED_BY[name]:
-                        leave(i)
-                        break
-                    if stack[i].name in SCOPE and not (name == "tr" and stack[i].name in ("td", "th")):
-                        break
-        mark, marked, hidden = _marks(m[3]) if m[3] else ("", False, False)
+            if name in ENDS_P and (depth := depth_of(("p",))) > scopes[-1]:
+                leave(depth)
+        if name in CLOSED_BY and (depth := depth_of(CLOSED_BY[name])) > depth_of(BOUNDS[name]):
+            leave(depth)
+        above = elements[stack[-1]]
+        near, marked = _attributes(m[3]) if m[3] and not m[3].isspace() else ("", False)
+        page_level = name in ("html", "body")
+        own = Element(name, parent=stack[-1], first=len(page.kind))
+        own.near = "" if page_level else near or above.near
+        own.block = name if name in BLOCK else above.block
+        own.place = own.block + own.near
+        own.link = 3 if name == "a" else max(0, above.link - 1)
         # An article's own header holds its title.
-        fixed = name in NEVER and name != "form" and not (name == "header" and articles) or hidden and name not in ("html", "body", "article", "main")
-        own = Element(name, name + mark, False, stack[-1].fixed or fixed)
-        soft = name == "form" or marked and name not in ("html", "body", "article", "main")
-        kind = ("form" if name == "form" and not marked else "mark") if soft else name if name == "h1" or name in ("article", "main") and not articles and (name == "main" or not marked) else ""
-        if kind and not own.fixed:
-            own.at = len(page.spans)
-            page.spans.append([kind, len(page.keys), 0, False])
-        own.content = stack[-1].content and not fixed and (not soft or own.at in spared)
-        if own.at >= 0:
-            page.spans[own.at][3] = own.content
-        if name in ("article", "main"):
-            page.articles += articles == 0
-            articles += 1
-        tag(f"< {own.mark}", not own.content)
+        own.hard = above.hard or name in NEVER and not (name == "header" and above.inside)
+        own.soft = "" if page_level or own.hard or name == "main" else "mark" if marked else "form" if name == "form" else ""
+        own.outermost = name in ("article", "main") and not above.inside and not own.soft and not own.hard
+        own.inside = above.inside or own.outermost
+        add(OPEN, len(elements), 0, "")
+        elements.append(own)
         if m[3].endswith("/") and name not in BLOCK:
-            if own.at >= 0:
-                page.spans[own.at][2] = len(page.keys)
+            own.last = len(page.kind)
             continue
-        stack.append(own)
+        open_at[name].append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
+        stack.append(len(elements) - 1)
         if name in TEXT_ONLY:
             lowered = source.lower() if lowered is None else lowered
             stop = lowered.find(f"</{name}", at)
@@ -258,27 +255,95 @@ def _parse(source: str, spared: frozenset[int]) -> Page:
             text(source[at:stop])
             at = stop
     leave(1)
+    elements[0].last = len(page.kind)
+    spared = _spared(page)
+    for i, e in enumerate(elements[1:], 1):
+        e.on = elements[e.parent].on and not e.hard and (not e.soft or i in spared)
     return page
 
 
+def _spared(page: Page) -> set[int]:
+    """Marked elements and forms that hold the page's own text, and so stay on.
+
+    They hold the page's outermost main, or else its longest outermost article; or, on a page without
+    either, most of its words (links do not count). Where it is a mark, these words must come with a title, or, where no
+    title stands elsewhere, leave less than a tenth of the page, so that long comments of readers or
+    notices below a short text stay off.
+    """
+    elements = page.elements
+    soft = [i for i, e in enumerate(elements) if e.soft]
+    if not soft:
+        return set()
+    plain = (0 if elements[o].link or elements[o].hard else n for n, o in zip(page.words, page.owner, strict=True))
+    total = [0, *accumulate(plain)]
+    words = lambda e: total[e.last] - total[e.first]
+    own = [e for e in elements if e.outermost and e.name == "main"] or [e for e in elements if e.outermost]
+    if own:
+        own = max(own, key=words)
+        return {i for i in soft if elements[i].first < own.first and own.last <= elements[i].last}
+    titles = [e.first for e in elements if e.name == "h1" and not e.hard]
+    marked = [(elements[i].first, elements[i].last) for i in soft]
+    # h1 in no marked element: counts of marked elements open at each title.
+    step = [0] * (len(page.kind) + 2)
+    for a, b in marked:
+        step[a] += 1
+        step[b] -= 1
+    depth = list(accumulate(step))
+    elsewhere = any(depth[t] == 0 for t in titles)
+    spared = set()
+    for i in soft:
+        e = elements[i]
+        n = words(e)
+        if 2 * n > total[-1] and (e.soft == "form" or any(e.first < t < e.last for t in titles) or not elsewhere and 10 * n > 9 * total[-1]):
+            spared.add(i)
+    return spared
+
+
 def _fixed(key: str) -> float:
     """Weight of a place or tag that no labelled page has shown."""
     kind, _, place = key.partition(" ")
+    name = place.partition(" ")[0].partition(".")[0]
     if kind in "xy":
         return 0.0 if kind == "x" else -OFF_COST
-    name = place.partition(" ")[0].partition(".")[0]
-    if kind != "w":
-        return -TAG_COST
-    return -1.0 if place.endswith(" a") else (1.0 if name in CONTENT else 0.5)
+    if kind == "w":
+        return -1.0 if place.endswith(" a") else 1.0 if name in CONTENT else 0.5
+    return -0.1 if name in CONTENT else -1.5 if name in BLOCK else -0.2
 
 
-def region(page: Page, weights: dict[str, float]) -> tuple[int, int]:
+def _general(key: str) -> str:
+    """The key of the block element alone."""
+    kind, _, place = key.partition(" ")
+    rest = place.partition(" ")
+    return f"{kind} {rest[0].partition('.')[0]}{rest[1]}{rest[2]}"
+
+
+def scores(page: Page, weights: dict[str, float]) -> list[float]:
+    """The score of each token."""
+    known: dict[str, float] = {}
+    out, run = [], 0.0
+    for key, n in zip(page.keys(), page.words, strict=True):
+        w = known.get(key)
+        if w is None:
+            w = weights.get(key)
+            w = weights.get(_general(key)) if w is None else w
+            w = known[key] = _fixed(key) if w is None else w
+        if key[0] == "w":
+            out.append(w * n)
+            run = 0.0 if n else run
+        elif key[0] == "x":
+            out.append(0.0)
+        else:
+            w = max(w, -RUN_COST - run)
+            run += w
+            out.append(w)
+    return out
+
+
+def region(score: list[float]) -> tuple[int, int]:
     """First and last + 1 token of the contiguous region with the highest score (the first of equals); (0, 0) without a positive one."""
     best, first, last, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (key, n) in enumerate(zip(page.keys, page.words, strict=True)):
-        w = weights.get(key)
-        w = _fixed(key) if w is None else w
-        total += w * n if key[0] in "wx" else w
+    for i, w in enumerate(score):
+        total += w
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -289,15 +354,25 @@ def region(page: Page, weights: dict[str, float]) -> tuple[int, int]:
 def extract(source: str | None, weights: dict[str, float]) -> str:
     """The region's content: one line per block, blank lines between."""
     page = parse(source or "")
-    first, last = region(page, weights)
-    # A region takes the whole of the blocks at its ends.
-    while first > 0 and page.block[first - 1] == page.block[first] and first < last:
-        first -= 1
-    while first < last < len(page.block) and page.block[last] == page.block[last - 1]:
-        last += 1
+    elements, n = page.elements, len(page.kind)
+    first, last = region(scores(page, weights))
+    if first < last:
+        # A region takes the headings right above it, and the whole of the blocks at its ends.
+        at = first
+        while at > 0:
+            at -= 1
+            e = elements[page.owner[at]]
+            if page.kind[at] == TEXT and e.on and page.words[at]:
+                if e.block not in HEADINGS or e.link:
+                    break
+                first = at
+        while first > 0 and page.block[first - 1] == page.block[first]:
+            first -= 1
+        while last < n and page.block[last] == page.block[last - 1]:
+            last += 1
     out, now = [], None
     for i in range(first, last):
-        if page.texts[i] and page.content[i]:
+        if page.texts[i] and elements[page.owner[i]].on:
             if page.block[i] != now:
                 out.append([])
                 now = page.block[i]
@@ -307,15 +382,17 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (or tags) of each key inside and outside of articles, over the pages that mark one."""
+    """Words (or tags) of each key, and of each block element, inside and outside of articles, over the pages that mark one."""
     total: dict[str, list[int]] = {}
     for batch in batches:
         for source in batch.column("html").to_pylist():
             page = parse(source or "")
             if page.articles != 1:
                 continue
-            for key, n, inside in zip(page.keys, page.words, page.inside, strict=True):
-                total.setdefault(key, [0, 0])[inside] += n if key[0] in "wx" else 1
+            for key, n, owner in zip(page.keys(), page.words, page.owner, strict=True):
+                if key[0] not in "xy":
+                    for k in {key, _general(key)}:
+                        total.setdefault(k, [0, 0])[page.elements[owner].inside] += n if key[0] == "w" else 1
     keys = sorted(total)
     yield pa.record_batch([pa.array(keys, pa.string()), pa.array([total[k][1] for k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.int64())], names=["key", "inside", "outside"])
 
@@ -325,18 +402,15 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     prepare(pages.sparkSession)
     n = pages.count()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    own = pages.where(draw < sample / max(1, n)).select(F.col(html_col).alias("html"))
+    own = pages.where(draw < sample / max(1, n)).select(F.col(html_col).cast("string").alias("html"))
     counts = own.mapInArrow(_count, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(most_keys).collect()  # the most common keys; others get fixed weights
+    rows = counts.where("inside + outside > 0").orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(most_keys).collect()  # the most common keys; others get general or fixed weights
     weights = {}
-    for kind in ("w", "t"):
-        those = [r for r in rows if (r["key"][0] in "wx") == (kind == "w") and r["inside"] + r["outside"] > 0]
-        a, b = sum(r["inside"] for r in those) + 1.0, sum(r["outside"] for r in those) + 1.0
-        for r in those:
-            odds = math.log((r["inside"] + 0.5) / a) - math.log((r["outside"] + 0.5) / b)
-            odds = max(-LIMIT, min(LIMIT, odds))
-            # Words count for or against; tags always cost, those of the surroundings more; what is excluded has its fixed cost.
-            weights[r["key"]] = _fixed(r["key"]) if r["key"][0] in "xy" else odds if kind == "w" else -TAG_COST + min(0.0, odds) * TAG_COST
+    for r in rows:
+        odds = math.log((r["inside"] + 0.5) / (r["outside"] + 0.5))
+        odds = max(-LIMIT, min(LIMIT, odds))
+        # Words count for or against; tags always cost, those of the surroundings more.
+        weights[r["key"]] = odds if r["key"][0] == "w" else _fixed(r["key"]) * (1.0 + max(0.0, -odds))
     return weights
 
 

@@ -1,8 +1,9 @@
 import random
 import re
+import time
 
-from hitflow.llm import main_text, registry
-from hitflow.llm.main_text import brute_region, extract, fit_weights, parse, region
+from hitflow.llm import registry
+from hitflow.llm.main_text import brute_region, extract, fit_weights, parse, region, scores
 from hitflow.llm.main_text import main_text as run
 
 PAGE = """<!DOCTYPE html><html><head><title>Title words here</title><style>p{margin:0}</style><script>var t="</p><p>not text";</script></head><body class="x">
@@ -24,9 +25,8 @@ def test_region_has_the_highest_sum():
     rng = random.Random(7)
     for _ in range(60):
         source = "".join(rng.choice(["<p>", "</p>", "<nav>", "</nav>", "<a>", "</a>", "one two ", "x ", "<div class=ad>", "</div>", "<h1>"]) for _ in range(25))
-        page = parse(source)
-        score = [main_text._fixed(k) * (n if k[0] in "wx" else 1) for k, n in zip(page.keys, page.words, strict=True)]
-        first, last = region(page, {})
+        score = scores(parse(source), {})
+        first, last = region(score)
         assert abs(sum(score[first:last]) - brute_region(score)) < 1e-9
 
 
@@ -80,3 +80,48 @@ def test_long_excluded_parts_do_not_cut_the_lead():
     want = "A title\n\n" + ("lead " * 20).strip() + "\n\n" + ("rest " * 60).strip()
     for off in ("<select>" + "<option>one of the choices</option>" * 200 + "</select>", "<aside><ul>" + "<li><p>beside the text</p>" * 200 + "</ul></aside>", "<nav>" + "<a href=x>some entry</a> " * 400 + "</nav>"):
         assert extract(f"<body><div>{lead}{off}{rest}</div></body>", {}) == want, off[:8]
+
+
+def test_only_true_class_and_id_marks_count():
+    for inner in ('<p data-id="share-1">Words of it.</p>', '<p title="the id=menu thing">Words of it.</p>', '<section id="notice-of-appeal"><p>Words of it.</p></section>', '<h2 id="share-prices">Words of it.</h2>'):
+        assert extract(f"<body><article><h1>A title</h1>{inner}<p>The end.</p></article></body>", {}) == "A title\n\nWords of it.\n\nThe end.", inner
+    for inner in ('<p aria-hidden="true">not shown</p>', '<div style="color:red; display: none">not shown</div>', '<div id="ad-slot-3">buy</div>', '<section id=comments>reader</section>', '<div class="article-comments"><p>reader</div>'):
+        assert extract(f"<body><article><h1>A title</h1>{inner}<p>The end.</p></article></body>", {}) == "A title\n\nThe end.", inner
+    for wrapper in ("layout has-sidebar", "post no-comments"):
+        assert extract(f'<div class="{wrapper}"><article><p>All of it stays.</p></article></div>', {}) == "All of it stays."
+    assert extract("<p>Words in this one <a>and a final link text</a></p>", {}) == "Words in this one and a final link text"
+    assert extract("<article><p>See the next <b>bold</b> <a>and a final link text here</a></p></article>", {}) == "See the next bold and a final link text here"
+
+
+def _neutral(rng, marked):
+    """A page without any telling tag or class: the places q1, q3, q4 and q6 surround the article in q5."""
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    text = [say(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 6))]
+    name = "article" if marked else "div"
+    page = f'<body><div class=q1><a>{say(2)}</a><a>{say(1)}</a></div><div class=q3><p>{say(30)}</p><p>{say(12)}</p></div><{name} class=q5><h2>{say(3)}</h2>'
+    page = page.replace("<h2>", f"<h2>Own {say(1)} ")
+    title = re.search(r"<h2>(.*?)</h2>", page)[1]
+    return page + "".join(f"<p>{t}</p>" for t in text) + f"</{name}><div class=q4><p>{say(25)}</p></div><div class=q6>{say(20)}</div></body>", "\n\n".join([title, *text])
+
+
+def test_the_region_decides_where_no_list_does(spark):
+    rng = random.Random(3)
+    pages = [_neutral(rng, i % 4 == 0) for i in range(80)]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_id long, html string")
+    weights = fit_weights(df)
+    got = {r.page_id: r.text for r in run(df, weights, keep=()).collect()}
+    for i, (source, want) in enumerate(pages):
+        page = parse(source)
+        listed = " ".join(t for t, o in zip(page.texts, page.owner) if page.elements[o].on)
+        assert len(listed.split()) > len(want.split()) + 80  # the lists leave all of the surroundings
+        assert got[i] == want, i
+
+
+def test_time_grows_with_the_length_alone():
+    for piece, n in (("<b>x ", 200_000), ("<b>x</i>", 100_000), ("<li>x", 100_000), ('<p title="', 100_001), ("<a ", 100_000), ("<div class=a><p>x", 50_000), ("<!--", 100_000)):
+        began = time.monotonic()
+        extract("<article>" + piece * n, {})
+        assert time.monotonic() - began < 12, piece
+    began = time.monotonic()
+    assert len(extract("<p>" + "<b>x " * 80_000 + "</b>" * 80_000, {})) == 159_999
+    assert time.monotonic() - began < 8
