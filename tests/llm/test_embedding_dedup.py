@@ -41,3 +41,34 @@ def test_edges(spark):
 def test_query_matches_brute_force(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert result(registry.op3_embedding_dedup(spark, sf)) == brute_force(rows)
+
+
+def test_shared_ids_and_lengths(spark):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(40, 16)), rng.normal(size=(30, 8))
+    rows = [(i % 300, [float(x) for x in long[i % 40] + rng.normal(size=16) * 0.05]) for i in range(400)]
+    rows += [(1000 + i, [float(x) for x in short[i % 30] + rng.normal(size=8) * 0.05]) for i in range(300)] + [(2000, [1.0, 0.0, 0.0]), (2001, [1.0, 0.001, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect())
+    want = brute_force(list(enumerate(v for _, v in rows)))
+    ids = [k for k, _ in rows]
+    least = {}
+    for at, (_, c) in want.items():
+        least[c] = min(least.get(c, ids[at]), ids[at])
+    assert got == sorted((ids[at], n, least[c]) for at, (n, c) in want.items())
+    assert got[-1] == (2001, 1, 2000)
+
+
+def test_leaves_split_further(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    spots = rng.normal(size=(6, 12))
+    finer = spots[rng.integers(6, size=60)] + rng.normal(size=(60, 12)) * 0.25
+    rows = [[float(x) for x in finer[i % 60] * rng.uniform(0.5, 2) + rng.normal(size=12) * (0.02 if i % 3 else 0.1)] for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    exact = [(k, np.array(v, np.float32).astype(float).tolist()) for k, v in enumerate(rows)]
+    for name, value in (("BLOCK", 32), ("LEAST_BLOCK", 32), ("MOST_CELLS", 4), ("LEAST_CELLS", 4), ("SUB_CELLS", 3)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    seen = []
+    monkeypatch.setattr(embedding_dedup, "_small", lambda d, n: seen.append(n) or d)
+    assert result(near_vectors(df, sample=64)) == brute_force(exact)
+    assert len(seen) > 6  # more than one round of subtrees
