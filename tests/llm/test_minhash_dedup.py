@@ -62,15 +62,44 @@ def test_query_matches_brute_force(spark, sf):
 def test_links_in_a_dense_group_are_candidates(spark, monkeypatch):
     """One group shares a key; its links are far apart in the order of each tree."""
     rng = random.Random(5)
-    n, values, trees = 600, minhash_dedup.VALUES, minhash_dedup.ORDERS
+    n, size, trees = 600, minhash_dedup.BITS // 8, minhash_dedup.TREES
     rows = []
     for i in range(0, n, 2):
-        sig = bytes(rng.randrange(256) for _ in range(values))
-        # Each tree's order begins with another value, so that the two are not neighbours in it.
-        other = bytes(rng.randrange(256) if v % minhash_dedup.DEPTH == 0 else x for v, x in enumerate(sig))
+        sig = bytes(rng.randrange(256) for _ in range(size))
+        # Each tree's order begins with another bit, so that the two are not neighbours in it.
+        other = bytes(x ^ 128 if v % (size // trees) == 0 else x for v, x in enumerate(sig))
         rows += [(i, bytearray(sig), [7] * trees), (i + 1, bytearray(other), [7] * trees)]
-    df = spark.createDataFrame(rows, "rep long, sig binary, keys array<long>").repartition(5)
-    for block in (16384, 100):
+    df = spark.createDataFrame(rows, "node long, sig binary, keys array<long>").repartition(5)
+    agree = minhash_dedup.least_agreement(85)
+    for direct, block in ((2048, 16384), (2048, 100), (50, 100)):
+        monkeypatch.setattr(minhash_dedup, "DIRECT", direct)
         monkeypatch.setattr(minhash_dedup, "SIGNATURE_BLOCK", block)
-        got = connected_components(minhash_dedup._candidates(df, 28)).groupBy("component").count().collect()
-        assert len(got) == n // 2 and all(r["count"] == 2 and r.component % 2 == 0 for r in got), block
+        got = connected_components(minhash_dedup._candidates(df, agree)).groupBy("component").count().collect()
+        assert len(got) == n // 2 and all(r["count"] == 2 and r.component % 2 == 0 for r in got), (direct, block)
+
+
+def template_pages(rng, n, pairs):
+    """n texts that share 60 of 90 words in three places, of which the first `pairs` have a near copy each."""
+    shared = [[f"t{p}w{i}" for i in range(20)] for p in range(3)]
+    rows = []
+    for i in range(n):
+        words = [w for part in shared for w in [*part, *(f"u{i}x{rng.randint(0, 10**6)}" for _ in range(10))]]
+        rows.append((i, " ".join(words)))
+        if i < pairs:
+            rows.append((10**6 + i, " ".join(words + [f"more{i}", "end"])))
+    return rows
+
+
+def test_a_template_is_no_cluster_and_hides_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "DIRECT", 150)
+    rows = template_pages(random.Random(2), 1500, 200)
+    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85))
+    assert {k: v[1] for k, v in got.items()} == {k: k % 10**6 for k, _ in rows}
+
+
+def test_one_row_of_each_component_stays(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(7, texts[0], "s"), (3, texts[0], "s"), (7, texts[1], "s"), (5, texts[1] + " z", "s"), (None, texts[2], "s"), (None, texts[2], "s"), (9, texts[2] + " z", "s"), (1, None, "s"), (1, None, "s"), (2, "", "s"), (4, "short", "x"), (4, "short", "x"), (None, "alone", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    got = sorted(map(tuple, minhash_dedup.without_duplicates(df).collect()), key=str)
+    assert got == sorted([rows[1], rows[3], rows[6], rows[7], rows[7], rows[9], rows[10], rows[12]], key=str)
