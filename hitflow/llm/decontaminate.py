@@ -7,17 +7,19 @@ inside any occurrence of any window is hit.
 Winnowing with k-grams of `min(5, window)` words keeps, for each run of `window - k + 1`
 consecutive k-grams, the smallest hash. Two equal windows have the same k-grams and so the same
 smallest hash: every shared span of at least `window` words shares a fingerprint. Documents'
-distinct fingerprints meet the benchmark's in a join. Around the k-grams that a hit names, the
-document's windows are cut out and compared with the items' windows word by word.
+distinct fingerprints meet the benchmark's in a join. In the documents that this finds, and in no
+others, the k-grams that a fingerprint names are placed, and the windows around them are cut out and
+compared with the items' windows word by word.
 
 Items shorter than `window` get fingerprints of their own length, made only for lengths that occur.
 The benchmark's tables are broadcast only if their windows are counted at `BROADCAST_ROWS` and
-`BROADCAST_BYTES` of words at most; above either, both joins shuffle.
+`BROADCAST_BYTES` of words at most; above either, the joins shuffle. So it is with the rows that are hit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +49,24 @@ def _grams(w: Column, k: int) -> Column:
     return _upto(F.size(w) - (k - 1), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
 
 
-def _winnowed(grams: Column, run: int, length: int) -> Column:
-    """Distinct fingerprints of one window length, tagged with it."""
-    least = grams if run == 1 else _upto(F.size(grams) - (run - 1), lambda i: F.array_min(F.slice(grams, i + 1, run)))
-    return F.transform(F.array_distinct(least), lambda x: F.xxhash64(x, F.lit(length)))
+def _least(grams: Column, run: int) -> Column:
+    """The smallest hash of each `run` consecutive k-grams, each once."""
+    return F.array_distinct(grams if run == 1 else _upto(F.size(grams) - (run - 1), lambda i: F.array_min(F.slice(grams, i + 1, run))))
 
 
 def _fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds fps: the distinct fingerprints of df's column w."""
+    """Adds fps: the distinct fingerprints of df's column w, tagged with the window length that they are for."""
     sizes = sorted({gram_size(n) for n in lengths})
     df = df.withColumns({f"g{k}": _grams(F.col("w"), k) for k in sizes})
-    parts = [F.coalesce(_winnowed(F.col(f"g{gram_size(n)}"), n - gram_size(n) + 1, n), F.array().cast("array<bigint>")) for n in lengths]
+    tagged = lambda n: F.transform(_least(F.col(f"g{gram_size(n)}"), n - gram_size(n) + 1), lambda x: F.xxhash64(x, F.lit(n)))
+    parts = [F.coalesce(tagged(n), F.array().cast("array<bigint>")) for n in lengths]
     return df.withColumn("fps", F.concat(*parts) if len(parts) > 1 else parts[0]).drop(*(f"g{k}" for k in sizes))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _prints(df: DataFrame, *keep: str) -> DataFrame:
     """One row per fingerprint. The outer form keeps the optimiser from copying the array's whole
     expression, lambdas included, into a filter on its size."""
@@ -75,59 +81,93 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     return items.select("item", "length", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("length")))).alias("span")).distinct()
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10
-) -> DataFrame:
-    """One row per input row: the id, n_words, n_hit, hit_starts, items and contaminated.
-
-    hit_starts holds (length, start) of each window found, items the sorted item ids as strings.
-    Null and empty texts have no words and no hits; null ids are kept. Equal rows get equal
-    results. Items without words are ignored, and items whose id is null are not counted as items
-    though their words count as hit. An empty benchmark hits nothing. Other columns are not read.
-    """
-    prepare(docs.sparkSession)
+def _hit_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame | None:
+    """(id, row_hash, hit_starts, items) of the rows that hold a window; None without any items."""
     spans = saved(item_windows(benchmark, item_col, item_text_col, window))
     volume = F.octet_length(F.array_join("span", " ")) + F.octet_length(F.coalesce("item", F.lit("")))
     per_length = spans.groupBy("length").agg(F.count("*").alias("n"), F.sum(volume).alias("volume")).collect()  # one row for each window length, at most `window` rows
     lengths = sorted(r["length"] for r in per_length)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), words(F.col(text_col)).alias("w"))
-    none = {"hit_starts": F.array().cast("array<struct<length:int,start:int>>"), "items": F.array().cast("array<string>")}
     if not lengths:
-        out = rows.select("id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *(c.alias(k) for k, c in none.items()))
-        return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_starts", "items", F.lit(False).alias("contaminated"))
+        return None
     small = sum(r["n"] for r in per_length) <= BROADCAST_ROWS and sum(r["volume"] for r in per_length) <= BROADCAST_BYTES
     near = F.broadcast if small else (lambda df: df)
 
+    # 1. Rows of which a fingerprint is one of the benchmark's.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     item_prints = _prints(_fingerprints(spans.withColumnRenamed("span", "w"), lengths)).select("fp").distinct()
-    hits = (
-        _prints(_fingerprints(rows, lengths), "id", "row_hash")
-        .join(near(item_prints), "fp", "left_semi")
-        .groupBy("id", "row_hash").agg(F.collect_set("fp").alias("found"))
-    ).select(F.col("id").alias("hit_id"), F.col("row_hash").alias("hit_hash"), "found")
-
-    met = rows.join(hits, (F.col("row_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
+    hits = saved(_prints(_fingerprints(rows.select("id", "row_hash", words(F.col("text")).alias("w")), lengths), "id", "row_hash").join(near(item_prints), "fp", "left_semi").select("id", "row_hash").distinct())
+    n_hits = hits.count()
+    same = lambda df: (F.col("row_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id"))
+    named = lambda df: df.withColumnsRenamed({"id": "hit_id", "row_hash": "hit_hash"})
+    met = rows.join(_small(named(hits), n_hits), same(hits)).select("id", "row_hash", words(F.col("text")).alias("w"))
+
+    # 2. The places of the k-grams that a fingerprint names.
+    anchors = None
+    for k in sorted({gram_size(x) for x in lengths}):
+        own = [x for x in lengths if gram_size(x) == k]
+        grams = [spans.where(F.col("length") == x).select("length", F.explode(_least(_grams(F.col("span"), k), x - k + 1)).alias("gram")) for x in own]
+        grams = reduce(DataFrame.unionByName, grams).distinct()
+        placed = met.select("id", "row_hash", F.posexplode(F.coalesce(_grams(F.col("w"), k), F.array().cast("array<bigint>"))).alias("p", "gram"))
+        found = placed.join(near(grams), "gram").select("id", "row_hash", "length", "p")
+        anchors = found if anchors is None else anchors.unionByName(found)
+    anchors = saved(anchors.groupBy("id", "row_hash").agg(F.collect_set(F.struct("length", "p")).alias("at")))
+
+    # 3. The windows around them, compared word by word. Each carries its own words only, not the text's.
     n = F.size("w")
 
-    def starts(length: int) -> Column:
-        k = gram_size(length)
-        at = F.filter(F.sequence(F.lit(0), n - k), lambda i: F.array_contains("found", F.xxhash64(F.xxhash64(*(F.get("w", i + j) for j in range(k))), F.lit(length))))
-        wide = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - (length - k), F.lit(0)), F.least(p, n - length))))
-        return F.when(F.col("found").isNotNull() & (n >= length), F.transform(F.array_distinct(wide), lambda s: F.struct(F.lit(length).alias("length"), s.alias("start"))))
-
-    found = F.concat(*(F.coalesce(starts(x), none["hit_starts"]) for x in lengths))
-    at = met.select("id", "row_hash", "w", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("at"))
-    at = at.select("id", "row_hash", "n_words", "at", F.when(F.col("at").isNotNull(), F.slice("w", F.col("at.start") + 1, F.col("at.length"))).alias("span"))
-    seen = at.join(near(spans.select("span", F.coalesce("item", F.lit("")).alias("hit_item"), F.col("item").isNotNull().alias("named"))), "span", "left")
-    out = (
-        seen.groupBy("id", "row_hash", "n_words")
-        .agg(F.collect_set(F.when(F.col("hit_item").isNotNull(), F.col("at"))).alias("hit_starts"), F.array_sort(F.collect_set(F.when(F.col("named"), F.col("hit_item")))).alias("items"))
-        .withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("hit_starts", lambda a: F.sequence(a["start"], a["start"] + a["length"] - 1))))).cast("long"))
-    )
-    # Equal rows meet in one group; the outer join below gives each its row again.
-    repeats = rows.groupBy("id", "row_hash").count().where("count > 1").select(F.col("id").alias("rep_id"), F.col("row_hash").alias("rep_hash"), "count")
-    out = out.join(repeats, (F.col("row_hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id")), "left")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("count", F.lit(1)).cast("int"))))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort("hit_starts").alias("hit_starts"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    def around(a: Column) -> Column:
+        first, last = F.greatest(a["p"] - (a["length"] - F.least(a["length"], F.lit(5))), F.lit(0)), F.least(a["p"], n - a["length"])
+        return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda s: F.struct(a["length"].alias("length"), s.cast("int").alias("start"))))
+
+    held = met.join(_small(named(anchors), n_hits), same(anchors))
+    wide = F.array_distinct(F.flatten(F.filter(F.transform("at", around), lambda x: x.isNotNull())))
+    cut = held.select("id", "row_hash", "w", wide.alias("wide")).select("id", "row_hash", F.explode(F.transform("wide", lambda a: F.struct(a.alias("at"), F.slice("w", a["start"] + 1, a["length"]).alias("span")))).alias("x"))
+    seen = cut.select("id", "row_hash", "x.at", "x.span").join(near(spans.select("span", "item")), "span")
+    return seen.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set("at")).alias("hit_starts"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10
+) -> DataFrame:
+    """One row per input row: the id, n_words, n_hit, hit_starts, items and contaminated.
+
+    hit_starts holds (length, start) of each window found, items the sorted item ids as strings.
+    Null and empty texts have no words and no hits; null ids are kept. Equal rows get equal
+    results. Items without words are ignored, and items whose id is null are not counted as items
+    though their words count as hit. An empty benchmark hits nothing. Other columns are not read.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    found = _hit_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    starts, items = F.array().cast("array<struct<length:int,start:int>>"), F.array().cast("array<string>")
+    if found is None:
+        out = rows.withColumns({"hit_starts": starts, "items": items})
+    else:
+        found = saved(found)
+        size = found.agg(F.count("*").alias("n"), F.sum(F.size("hit_starts")).alias("places")).first()
+        found = found.select(F.col("id").alias("hit_id"), F.col("row_hash").alias("hit_hash"), "hit_starts", "items")
+        found = _small(found, size["n"] + (size["places"] or 0) // 4)
+        out = rows.join(found, (F.col("row_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id")), "left").withColumns({"hit_starts": F.coalesce("hit_starts", starts), "items": F.coalesce("items", items)})
+    # hit_starts is sorted: the words of a window that no window before has covered count. Windows differ in length, so the furthest end so far is kept.
+    step = "struct<stop:int,n:bigint>"
+    by_start = F.array_sort(F.transform("hit_starts", lambda a: F.struct(a["start"].alias("start"), (a["start"] + a["length"]).alias("stop"))))
+    covered = F.aggregate(
+        by_start, F.struct(F.lit(0).alias("stop"), F.lit(0).cast("long").alias("n")).cast(step),
+        lambda s, a: F.struct(F.greatest(s["stop"], a["stop"]).alias("stop"), (s["n"] + F.greatest(a["stop"] - F.greatest(a["start"], s["stop"]), F.lit(0))).cast("long").alias("n")),
+    )
+    return out.select(F.col("id").alias(id_col), "n_words", covered["n"].alias("n_hit"), "hit_starts", "items", (F.size("hit_starts") > 0).alias("contaminated"))
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10
+) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no window of the benchmark. Each row is judged by its own text."""
+    prepare(docs.sparkSession)
+    found = _hit_rows(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    if found is None:
+        return docs
+    bad = saved(found.select(F.col("id").alias("hit_id"), F.col("row_hash").alias("hit_hash")))
+    return docs.join(_small(bad, bad.count()), F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("hit_hash")), "left_anti")
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
