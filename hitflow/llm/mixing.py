@@ -3,17 +3,21 @@
 1. A naive Bayes classifier is counted from a labelled table: each document has a few bounded
    features (binned shares of symbols, capitals, distinct words, word length, size), and the
    posterior of a domain is the normalised product of its prior and feature likelihoods.
-2. Document rates start at 1 and follow an accelerated projected gradient of the squared gap
-   between each domain's expected tokens, sum(rate * tokens * posterior), and its target. Rates are
+2. Document rates start at 1 and follow an accelerated projected gradient of the squared relative gap
+   between each domain's expected tokens, sum(rate * tokens * posterior), and its target. The gap
+   counts relative to the domain's tokens, and a document's step is the average of its domains'
+   relative gaps, so that a domain of a millionth of all tokens moves as fast as any other. Rates are
    projected on rate >= 0 (and <= max_rate where given) after each step. A step needs one number
    per domain, summed on Spark over the posteriors; documents of equal rounded posteriors are
-   summed before, so a step reads a small table and never the texts.
+   summed before, so a step reads a small table and never the texts. Steps end where each domain is
+   within `GAP` of its target, or where no step helps (a warning says so: the targets are out of reach).
 3. A document appears floor(rate + u) times, u being a hash of its id in [0, 1): the expected count
    is its rate.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +30,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ("symbols", "capitals", "distinct", "length", "size")
 BIN_COUNT = 16
 ROUND = 3
+GAP = 1e-3
 
 
 def tokens(text: Column) -> Column:
@@ -84,84 +89,120 @@ def posteriors(features: DataFrame, model: dict) -> DataFrame:
     return scored.withColumn("post", F.transform("score", lambda s: F.round(s / total, ROUND))).drop("score")
 
 
-def _rate(history: list[tuple[list[float], float]], high: float, at: str) -> Column:
-    """The rate (or the extrapolated point) of a posterior after the steps of history."""
+def _rate(history: list[tuple[list[float], float]], have: list[float], high: float, at: str) -> Column:
+    """The rate (or the extrapolated point) of a posterior after the steps of history (a relative gap per domain, and momentum)."""
     step = "array<struct<g:array<double>,beta:double>>"
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not history:
         return start[at]
     past = F.array(*(F.struct(F.array(*(F.lit(x) for x in g)).alias("g"), F.lit(b).alias("beta")) for g, b in history)).cast(step)
+    share = F.zip_with("post", F.array(*(F.lit(1.0 / h if h > 0 else 0.0) for h in have)), lambda p, u: p * u)
+    whole = F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
+    share = F.transform(share, lambda x: F.when(whole > 0, x / whole).otherwise(0.0))
 
     def move(state: Column, h: Column) -> Column:
-        down = F.aggregate(F.zip_with("post", h["g"], lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
+        down = F.aggregate(F.zip_with(share, h["g"], lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
         r = F.least(F.greatest(state["y"] - down, F.lit(0.0)), F.lit(high))
         return F.struct(r.alias("r"), (r + h["beta"] * (r - state["r"])).alias("y"))
 
     return F.aggregate(past, start, move)[at]
 
 
-def fit_rates(scored: DataFrame, targets: list[float], max_rate: float | None = None, steps: int = 40, tolerance: float = 1e-5) -> list:
-    """The steps (gradient per domain, momentum) that lead to the rates."""
+def fit_rates(groups: DataFrame, have: list[float], targets: list[float], max_rate: float | None = None, steps: int = 60) -> list:
+    """The steps (relative gap per domain, momentum) that lead to the rates; `groups` has post and its tokens, `have` each domain's tokens."""
     k, high, history, t = len(targets), float(max_rate or 1e18), [], 1.0
-    groups = saved(scored.groupBy("post").agg(F.sum("n_tokens").cast("double").alias("tokens")))
-    whole = groups.agg(F.sum("tokens")).first()[0] or 1.0
+    scale = [max(h, t) or 1.0 for h, t in zip(have, targets, strict=True)]
     best = None
     for _ in range(steps):
-        at = groups.select("tokens", "post", _rate(history, high, "y").alias("y"))
-        got = at.agg(*(F.sum(F.col("tokens") * F.col("y") * F.get("post", F.lit(i))) for i in range(k))).first()
-        gap = [((got[i] or 0.0) - targets[i]) / whole for i in range(k)]
-        size = sum(g * g for g in gap) ** 0.5
-        if size < tolerance or best is not None and abs(best - size) < tolerance * 1e-2:
+        at = groups.select("tokens", "post", _rate(history, have, high, "y").alias("y"), _rate(history, have, high, "r").alias("r"))
+        sums = at.agg(*(F.sum(F.col("tokens") * F.col(c) * F.get("post", F.lit(i))) for c in ("y", "r") for i in range(k))).first()
+        gaps = [(x or 0.0) - t for x, t in zip(sums, [*targets, *targets], strict=True)]
+        size = max(abs(g) / s for g, s in zip(gaps[k:], scale, strict=True))
+        if size < GAP:
+            return history
+        if best is not None and size > best * (1 - 1e-3) and len(history) > 12:
             break
-        best = size
+        best = size if best is None else min(size, best)
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        history.append((gap, (t - 1) / after))
+        history.append(([g / h if h > 0 else 0.0 for g, h in zip(gaps[:k], have, strict=True)], (t - 1) / after))
         t = after
+    warnings.warn(f"mixing: a domain stays {size:.2%} off its target", stacklevel=2)
     return history
 
 
+def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], domain_col: str, id_col: str, text_col: str, label_id_col: str | None, total_tokens: float | None, max_rate: float | None):
+    """Features of all rows, and the model with its domains' tokens and steps; None without labelled rows."""
+    features = saved(document_features(docs, id_col, text_col))
+    model = fit_domains(features, labelled, label_id_col or id_col, domain_col)
+    names = model["domains"]
+    if not names:
+        return features, None
+    scored = posteriors(features, model)
+    groups = saved(scored.groupBy("post").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    have = [float(x or 0.0) for x in groups.agg(*(F.sum(F.col("tokens") * F.get("post", F.lit(i))) for i in range(len(names)))).first()]
+    wanted = {d: float(w) for d, w in weights.items() if w > 0}
+    if lost := sorted(d for d in wanted if d not in names or not have[names.index(d)]):
+        warnings.warn(f"mixing: domains without labels or tokens are left out: {lost}", stacklevel=3)
+        wanted = {d: w for d, w in wanted.items() if d not in lost}
+    share = [wanted.get(d, 0.0) / (sum(wanted.values()) or 1.0) for d in names]
+    total = total_tokens or min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=sum(have))
+    return features, model | {"have": have, "steps": fit_rates(groups, have, [s * total for s in share], max_rate) if wanted else [], "high": float(max_rate or 1e18)}
+
+
+def _rated(features: DataFrame, model: dict, seed: int) -> DataFrame:
+    """Adds post, rate and copies."""
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rated = posteriors(features, model).withColumn("rate", F.round(_rate(model["steps"], model["have"], model["high"], "r"), 9))
+    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+
+
 def mix(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], domain_col: str, id_col: str = "doc_id", text_col: str = "text",
     label_id_col: str | None = None, total_tokens: float | None = None, max_rate: float | None = None, seed: int = 11,
 ) -> DataFrame:
     """One row per input row: the id, n_tokens, post (map of domain to posterior), rate and copies.
 
-    `weights` gives each domain's share of tokens; domains without one have target 0. By default
+    `weights` gives each domain's share of tokens; domains without one have target 0. A domain without labels or
+    without tokens cannot be mixed in: it is left out of the shares, with a warning. By default
     the total is the largest that needs no domain to grow. Null and empty texts have no tokens and
     get features like any text. With no labelled rows, or none that match, every rate is 1. A null
     id draws its own fixed number; rows that share an id draw the same. Repeated label rows count once.
     """
     prepare(docs.sparkSession)
-    features = saved(document_features(docs, id_col, text_col))
-    model = fit_domains(features, labelled, label_id_col or id_col, domain_col)
-    names = model["domains"]
-    if not names:
+    features, model = _fitted(docs, labelled, weights, domain_col, id_col, text_col, label_id_col, total_tokens, max_rate)
+    if model is None:
         return features.select(F.col("id").alias(id_col), "n_tokens", F.create_map().cast("map<string,double>").alias("post"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    scored = saved(posteriors(features, model))
-    now = scored.agg(*(F.sum(F.col("n_tokens") * F.get("post", F.lit(i))) for i in range(len(names)))).first()
-    have = [float(x or 0.0) for x in now]
-    share = [float(weights.get(d, 0.0)) / sum(weights.values()) for d in names]
-    total = total_tokens or min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=sum(have))
-    history = fit_rates(scored, [s * total for s in share], max_rate)
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rated = scored.withColumn("rate", F.round(_rate(history, float(max_rate or 1e18), "r"), 9))
-    return rated.select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        F.map_from_arrays(F.array(*(F.lit(d) for d in names)), F.col("post")).alias("post"),
-        "rate",
-        F.floor(F.col("rate") + draw).cast("int").alias("copies"),
-    )
+    post = F.map_from_arrays(F.array(*(F.lit(d) for d in model["domains"])), F.col("post"))
+    return _rated(features, model, seed).select(F.col("id").alias(id_col), "n_tokens", post.alias("post"), "rate", "copies")
 
 
-def reference_rates(rows: Iterable[tuple[float, list[float]]], targets: list[float], max_rate: float | None = None, steps: int = 3000) -> list[float]:
+def resampled(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], domain_col: str, id_col: str = "doc_id", text_col: str = "text",
+    label_id_col: str | None = None, total_tokens: float | None = None, max_rate: float | None = None, seed: int = 11,
+) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as mix() says. Each row is judged by its own text; its features are computed again, no text is shuffled."""
+    prepare(docs.sparkSession)
+    _, model = _fitted(docs, labelled, weights, domain_col, id_col, text_col, label_id_col, total_tokens, max_rate)
+    if model is None:
+        return docs
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rated = _rated(_binned(own.withColumn("tok", tokens(F.col("text")))), model, seed).where("copies > 0")
+    if max_rate is None or max_rate > 1:
+        rated = rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rated.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def reference_rates(rows: Iterable[tuple[float, list[float]]], targets: list[float], max_rate: float | None = None, steps: int = 20000) -> list[float]:
     """For tests: plain projected gradient over (tokens, posteriors) rows, in numpy."""
     import numpy as np
 
     rows = list(rows)
     w, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    have = w @ p
+    u = p / have
+    u /= u.sum(axis=1, keepdims=True)
     r = np.ones(len(rows))
     for _ in range(steps):
-        gap = ((r * w) @ p - np.array(targets)) / w.sum()
-        r = np.clip(r - p @ gap, 0, max_rate or np.inf)
+        r = np.clip(r - u @ (((r * w) @ p - np.array(targets)) / have), 0, max_rate or np.inf)
     return r.tolist()

@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
 
+import pytest
 from hitflow.llm import mixing, registry
 
 
@@ -22,7 +26,7 @@ def test_rates_match_reference_and_targets(spark):
     have = [sum(n * p[i] for n, p in rows) for i in range(2)]
     total = min(have[0] / 0.9, have[1] / 0.1)
     want = mixing.reference_rates(rows, [0.9 * total, 0.1 * total])
-    assert max(abs(a.rate - b) for a, b in zip(got, want, strict=True)) < 0.02
+    assert max(abs(a.rate - b) for a, b in zip(got, want, strict=True)) < 0.03
     mixed = [sum(r.rate * r.n_tokens * r.post[k] for r in got) for k in names]
     assert abs(mixed[0] / sum(mixed) - 0.9) < 0.005
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
@@ -37,3 +41,62 @@ def test_no_labels_and_no_rows(spark):
 def test_query(spark, sf):
     got = registry.op2_mixing(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.rate >= 0 for r in got)
+
+
+def plain_posteriors(rows, labelled):
+    """Naive Bayes by the module's description: (id, text) rows, labels by id."""
+
+    def bins(text):
+        text = text or ""
+        tok = [t for t in re.split("[ \t-\r]+", text) if t]
+        chars, n = max(1, len(text)), len(tok)
+        symbols = sum(not (c.isalnum() or c.isspace()) for c in text) / chars
+        capitals = sum("A" <= c <= "Z" for c in text) / chars
+        return [min(15, int(math.sqrt(symbols) * 30)), min(15, int(math.sqrt(capitals) * 20)), min(15, int(len(set(tok)) / max(n, 1) * 16)), min(15, chars // max(n, 1)), min(15, int(math.log2(1 + n)))]
+
+    table = {d: [Counter() for _ in range(5)] for d in set(labelled.values())}
+    for key, text in rows:
+        if key in labelled:
+            for i, b in enumerate(bins(text)):
+                table[labelled[key]][i][b] += 1
+    out = []
+    for _, text in rows:
+        score = {d: math.log(sum(t[0].values()) + 16) + sum(math.log((t[i][b] + 1) / (sum(t[i].values()) + 16)) for i, b in enumerate(bins(text))) for d, t in table.items()}
+        high = max(score.values())
+        whole = sum(math.exp(s - high) for s in score.values())
+        out.append({d: math.exp(s - high) / whole for d, s in score.items()})
+    return out
+
+
+def test_posteriors_match_plain_bayes(spark):
+    df = docs(spark)
+    labels = {r.doc_id: r.kind for r in df.collect() if r.doc_id is not None and r.doc_id % 2 == 0 and r.kind}
+    got = mixing.mix(df, df.where("doc_id % 2 = 0"), {"good": 0.9, "poor": 0.1}, "kind").collect()
+    want = plain_posteriors([(r.doc_id, r.text) for r in df.collect()], labels)
+    assert all(abs(r.post[d] - p[d]) <= 0.00051 for r, p in zip(got, want, strict=True) for d in p)
+
+
+def test_domains_out_of_reach_do_not_empty_the_corpus(spark):
+    df = docs(spark, 200)
+    with pytest.warns(UserWarning, match="left out: ..absent"):
+        got = mixing.mix(df, df.where("kind is not null"), {"good": 0.5, "poor": 0.25, "absent": 0.25}, "kind").collect()
+    whole = {k: sum(r.rate * r.n_tokens * r.post[k] for r in got) for k in ("good", "poor")}
+    assert whole["good"] > 500 and abs(whole["good"] / sum(whole.values()) - 2 / 3) < 0.01
+
+
+def test_a_rare_domain_reaches_its_target(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(60)), "common") for i in range(2000)] + [(5000 + i, "RARE!! " * 10, "rare") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = mixing.mix(df, df, {"common": 0.995, "rare": 0.005}, "kind").collect()
+    have = {k: sum(r.rate * r.n_tokens * r.post[k] for r in got) for k in ("common", "rare")}
+    assert abs(have["rare"] / sum(have.values()) - 0.005) < 2e-5
+
+
+def test_rows_are_resampled_one_by_one(spark):
+    good, poor = " ".join(f"w{i}" for i in range(50)), "SPAM!!! " * 50
+    df = spark.createDataFrame([(i, good, f"g{i}") for i in range(100)] + [(5, poor, "p5"), (None, good, "n"), (None, poor, "np")] + [(200 + i, poor, f"p{i}") for i in range(30)], "doc_id long, text string, rate string")
+    labels = df.where("doc_id between 50 and 99 or doc_id >= 200").selectExpr("doc_id", "substr(rate, 1, 1) as kind")
+    got = mixing.resampled(df, labels, {"g": 1.0}, "kind", max_rate=1.0)
+    assert got.columns == df.columns
+    kept = sorted(r.rate for r in got.collect())
+    assert kept == sorted([f"g{i}" for i in range(100)] + ["n"])
