@@ -8,7 +8,8 @@ prediction time, the earlier models are the ones fitted on the whole sample.
 Word features are the presence of a lower-cased word, or of a word's first 4, 5 or 6 bytes. For
 each category, the `FEATURES` features with the strongest association (a signed chi-square of
 `LEAST_SCORE` at least, so that chance does not choose) are found by counting all features of the
-sample on Spark. The sample is the `SAMPLE` labelled documents with the smallest
+sample on Spark, fold by fold: the features of an out-of-fold model are chosen without its fold's labels.
+The sample is the `SAMPLE` labelled documents with the smallest
 hash of id (a bound on what is fitted, whatever the size of the corpus); its rows, reduced to
 the chosen features, are fitted in one task. Every document is scored, over its whole text.
 """
@@ -81,7 +82,7 @@ def _present(texts: pa.Array, chosen: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterable[pa.RecordBatch], n_labels: int) -> Iterator[pa.RecordBatch]:
-    names = ["feature", "n", *(f"n{i}" for i in range(n_labels))]
+    """Documents with each feature, by fold: all (n<fold>), and those of each label (n<fold>_<label>)."""
     for batch in (b for whole in batches for b in blocks(whole, "text")):
         doc, h = _features(batch.column("text"))
         order = np.lexsort((doc, h))
@@ -90,9 +91,13 @@ def _count(batches: Iterable[pa.RecordBatch], n_labels: int) -> Iterator[pa.Reco
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         doc, h = doc[new], h[new]
         feature, at = np.unique(h, return_inverse=True)
-        labels = [np.asarray(batch.column(f"y{i}"))[doc] for i in range(n_labels)]
-        counts = [np.bincount(at, y, minlength=len(feature)).astype(np.int64) for y in (np.ones(len(doc)), *labels)]
-        yield pa.record_batch([pa.array(feature.view(np.int64)), *map(pa.array, counts)], names=names)
+        fold, labels = np.asarray(batch.column("fold"))[doc], [np.ones(len(doc)), *(np.asarray(batch.column(f"y{i}"))[doc] for i in range(n_labels))]
+        counts = [np.bincount(at, (fold == f) * y, minlength=len(feature)).astype(np.int64) for f in range(FOLDS) for y in labels]
+        yield pa.record_batch([pa.array(feature.view(np.int64)), *map(pa.array, counts)], names=["feature", *_count_names(n_labels)])
+
+
+def _count_names(n_labels: int) -> list[str]:
+    return [f"n{f}{x}" for f in range(FOLDS) for x in ("", *(f"_{i}" for i in range(n_labels)))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 8) -> np.ndarray:
@@ -115,32 +120,46 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 on out-of-fold predictions, in the middle of its range."""
+    """The threshold with the best F1 on out-of-fold predictions, in the middle of its range, of those that are right
+    at least every second time (predictions without skill would else call everything toxic); 0.5 without any."""
     grid = np.linspace(0.05, 0.95, 91)
     hit = np.array([((p >= t) & (y > 0)).sum() for t in grid])
-    f1 = 2 * hit / np.maximum(1, np.array([(p >= t).sum() for t in grid]) + (y > 0).sum())
+    called = np.array([(p >= t).sum() for t in grid])
+    f1 = np.where((2 * hit >= called) & (hit > 0), 2 * hit / np.maximum(1, called + (y > 0).sum()), 0.0)
+    if not f1.any():
+        return 0.5
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     return float(grid[best[len(best) // 2]])
 
 
-def _fit(table: pa.Table, n_labels: int, n_chosen: int) -> pa.Table:
-    order = np.argsort(np.asarray(table["key"]), kind="stable")
-    x = np.zeros((len(order), n_chosen + STATS), np.float64)
-    for i, (present, stats) in enumerate(zip(table["present"].to_pylist(), table["stats"].to_pylist(), strict=True)):
-        x[i, present] = 1
-        x[i, n_chosen:] = stats
-    x = x[order]
-    fold = np.arange(len(x)) % FOLDS
+def chain(x: np.ndarray, fold: np.ndarray, labels: list[np.ndarray], chosen: list[np.ndarray]) -> list[dict]:
+    """The links of the chain: weights over (features, probabilities of earlier categories) and threshold. `chosen` says for
+    each fold which columns its out-of-fold models may use, and at the end those of the whole."""
     links = []
-    for c in range(n_labels):
-        y = np.asarray(table[f"y{c}"]).astype(np.float64)[order]
+    for y in labels:
+        earlier = np.ones(len(links), bool)
         out = np.zeros(len(x))
         for f in range(FOLDS):
-            train, test = fold != f, fold == f
+            train, test, on = fold != f, fold == f, np.append(chosen[f], earlier)
             if test.any() and train.any():
-                out[test] = _probability(x[test], _logistic(x[train], y[train]))
-        links.append({"w": _logistic(x, y).tolist(), "cut": _cut(out, y)})
+                out[test] = _probability(x[test][:, on], _logistic(x[train][:, on], y[train]))
+        on = np.append(chosen[-1], earlier)
+        w = np.zeros(len(on) + 1)
+        w[np.append(on, True)] = _logistic(x[:, on], y)
+        links.append({"w": w.tolist(), "cut": _cut(out, y)})
         x = np.column_stack([x, out])
+    return links
+
+
+def _fit(table: pa.Table, n_labels: int, chosen: list[np.ndarray]) -> pa.Table:
+    order = np.argsort(np.asarray(table["key"]), kind="stable")
+    n_chosen = len(chosen[0])
+    x = np.zeros((len(order), n_chosen + STATS), np.float64)
+    for i, (present, stats) in enumerate(zip(table["present"].to_pylist(), table["stats"].to_pylist(), strict=True)):
+        x[i, present] = 1
+        x[i, n_chosen:] = stats
+    labels = [np.asarray(table[f"y{c}"]).astype(np.float64)[order] for c in range(n_labels)]
+    links = chain(x[order], np.asarray(table["fold"])[order], labels, [np.append(c, np.ones(STATS, bool)) for c in chosen])
     return pa.table({"model": [json.dumps(links)]})
 
 
@@ -152,30 +171,37 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     own = labels.groupBy(F.col(id_col).cast("long").alias("key")).agg(*(F.max(F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories)))
     own = own.where(" and ".join(["key is not null", *(f"y{i} is not null" for i in range(len(categories)))]))
     own = own.orderBy(F.xxhash64("key"), "key").limit(sample)  # a few numbers for each row of the bounded sample
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(own), "key"))
-    k = len(categories)
-    total = rows.agg(F.count("*").alias("n"), *(F.sum(f"y{i}").alias(f"n{i}") for i in range(k))).first()
-    if not total["n"]:
+    fold = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(FOLDS)).cast("int")
+    rows = saved(docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(own), "key").withColumn("fold", fold))
+    k, names = len(categories), _count_names(len(categories))
+    per_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(f"y{i}").alias(f"n{i}") for i in range(k))).collect()}
+    if not per_fold:
         return None
-    shape = ", ".join(["feature long", "n long", *(f"n{i} long" for i in range(k))])
-    counts = rows.select("text", *(f"y{i}" for i in range(k))).mapInArrow(lambda it: _count(it, k), shape)
-    counts = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *(f"n{i}" for i in range(k))))).where("n >= 3")
-    counts = saved(counts)
-    n, chosen = float(total["n"]), set()
-    for i in range(k):
-        expected = F.col("n") * (total[f"n{i}"] / n)
-        score = (F.col(f"n{i}") - expected) * F.abs(F.col(f"n{i}") - expected) / (expected + 0.5)
-        chosen |= {r["feature"] for r in counts.where(score >= LEAST_SCORE).orderBy(F.desc(score), "feature").select("feature").limit(FEATURES).collect()}
-    picked = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
+    shape = ", ".join(["feature long", *(f"{c} long" for c in names)])
+    counts = rows.select("text", "fold", *(f"y{i}" for i in range(k))).mapInArrow(lambda it: _count(it, k), shape)
+    counts = counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names)).where(" + ".join(f"n{f}" for f in range(FOLDS)) + " >= 3")
+    counts, best = saved(counts), None
+    for f in range(FOLDS + 1):  # without fold f, and at last with all
+        others = [g for g in range(FOLDS) if g != f]
+        n = float(sum(per_fold[g]["n"] for g in others if g in per_fold))
+        for i in range(k):
+            share = sum(per_fold[g][f"n{i}"] for g in others if g in per_fold) / max(n, 1.0)
+            seen, labelled = (sum((F.col(f"n{g}{x}") for g in others), F.lit(0)) for x in ("", f"_{i}"))
+            score = (labelled - seen * share) * F.abs(labelled - seen * share) / (seen * share + 0.5)
+            top = counts.select(F.lit(f).alias("f"), "feature", score.alias("score")).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "feature").limit(FEATURES)
+            best = top if best is None else best.unionByName(top)
+    found = best.select("f", "feature").distinct().collect()  # (FOLDS + 1) * categories * FEATURES rows at most
+    picked = np.sort(np.array(sorted({r["feature"] for r in found}), np.int64).view(np.uint64))
+    chosen = [np.isin(picked.view(np.int64), [r["feature"] for r in found if r["f"] == f]) for f in range(FOLDS + 1)]
 
     def reduce(batches):
         for batch in (b for whole in batches for b in blocks(whole, "text")):
             x = _present(batch.column("text"), picked)
-            fields = [batch.column("key"), *(batch.column(f"y{i}") for i in range(k)), pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array(list(_stats(batch.column("text"))), pa.list_(pa.float64()))]
-            yield pa.record_batch(fields, names=["key", *(f"y{i}" for i in range(k)), "present", "stats"])
+            fields = [batch.column("key"), batch.column("fold"), *(batch.column(f"y{i}") for i in range(k)), pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array(list(_stats(batch.column("text"))), pa.list_(pa.float64()))]
+            yield pa.record_batch(fields, names=["key", "fold", *(f"y{i}" for i in range(k)), "present", "stats"])
 
-    reduced = rows.mapInArrow(reduce, ", ".join(["key long", *(f"y{i} int" for i in range(k)), "present array<int>", "stats array<double>"]))
-    fitted = reduced.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _fit(t, k, len(picked)), "model string").first()["model"]
+    reduced = rows.mapInArrow(reduce, ", ".join(["key long", "fold int", *(f"y{i} int" for i in range(k)), "present array<int>", "stats array<double>"]))
+    fitted = reduced.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _fit(t, k, chosen), "model string").first()["model"]
     return {"categories": categories, "chosen": picked, "links": json.loads(fitted)}
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hitflow.llm import registry, toxicity
 
 
@@ -45,3 +46,45 @@ def test_edges(spark):
 
 def test_query(spark, sf):
     assert registry.op5_toxicity(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def plain_logistic(x, y):
+    """Ridge logistic regression by gradient steps."""
+    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    ridge = np.append(np.ones(x.shape[1] - 1), 1e-6)
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + 1)
+    v, last = w.copy(), w
+    for t in range(6000):
+        last, w = w, v - step * (x.T @ (1 / (1 + np.exp(-x @ v)) - y) + ridge * v)
+        v = w + t / (t + 3) * (w - last)
+    return w
+
+
+def test_chain_matches_a_plain_one():
+    rng = np.random.default_rng(3)
+    x = (rng.random((160, 6)) < 0.4).astype(float)
+    first = ((x[:, 0] + x[:, 1] + rng.random(160)) > 1.4).astype(float)
+    second = ((first + x[:, 2] + rng.random(160)) > 1.6).astype(float)
+    fold = rng.integers(0, toxicity.FOLDS, 160)
+    chosen = [np.array([True] * 6), np.array([True] * 5 + [False]), *([np.array([True] * 6)] * 3)]
+    links = toxicity.chain(x, fold, [first, second], chosen)
+    earlier = np.zeros((160, 0))
+    for link, y in zip(links, (first, second), strict=True):
+        whole = np.column_stack([x, earlier])
+        w = plain_logistic(whole, y)
+        assert np.abs(w - np.array(link["w"])).max() < 1e-3
+        out = np.zeros(160)
+        for f in range(toxicity.FOLDS):
+            on = np.append(chosen[f], np.ones(earlier.shape[1], bool))
+            v = plain_logistic(whole[fold != f][:, on], y[fold != f])
+            out[fold == f] = 1 / (1 + np.exp(-np.column_stack([whole[fold == f][:, on], np.ones((fold == f).sum())]) @ v))
+        f1 = lambda t: 2 * ((out >= t) & (y > 0)).sum() / max(1, (out >= t).sum() + y.sum())
+        assert f1(link["cut"]) >= max(f1(t) for t in np.linspace(0.05, 0.95, 91)) - 0.02
+        earlier = np.column_stack([earlier, out])
+
+
+def test_query_catches_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.toxic for r in registry.op5_toxicity(spark, sf).collect()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got]
+    assert sum(got[k] == bool(t) for k, t in labels) >= 0.95 * len(labels)
