@@ -9,7 +9,7 @@ that lies, in both documents, on a difference cover modulo `period`: the cover h
 members for every difference of offsets. So only the anchors at cover positions are hashed and
 matched (4 of 13 positions for a window of 20), and only windows around an anchor that occurs
 elsewhere are extended to whole windows and compared. Anchors are a filter: a false hit costs one
-more window and changes no result. Windows are compared by 96 bits of hash and their bucket.
+more window and changes no result. Windows are compared by 96 bits of hash, from word hashes of two bases.
 
 Work is spread as follows. Documents are dealt to groups of about 2 MB by a hash of id and text,
 so copies of one text spread over all groups. Each group sends each of its distinct anchors and

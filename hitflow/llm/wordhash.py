@@ -9,7 +9,7 @@ passes per byte, and the values are the same in every task and on every machine.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BYTE_BASE = U64(0x9E3779B97F4A7C15)
+_BYTE_BASE_2 = U64(0x94D049BB133111EB)
 _WORD_BASE = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
 #: Separator bytes of the two word definitions in use: ASCII white space, and every ASCII byte
@@ -75,14 +76,20 @@ class Words:
     hash: np.ndarray  # uint64 per word
     start: np.ndarray  # byte offset of each word in the block
     end: np.ndarray
+    codes: np.ndarray  # a code of each byte of the block, case folded where asked for
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        """A word hash of another base: words that collide in one do not in the other, but by chance."""
+        return _word_hashes(self.codes, self.start, self.end, _BYTE_BASE_2)
+
     def grams(self, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of each run of n words that lies in one document."""
-        h = self.hash
+        """(index of the first word, hash) of each run of n words that lies in one document; `which` 1 gives hashes of other bases."""
+        h = self.hash if which == 0 else self.second
         if len(h) < n:
             return np.empty(0, np.int64), np.empty(0, U64)
         base = _WORD_BASE[which]
@@ -124,11 +131,15 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACE, fold: bool = Fals
     doc = np.searchsorted(off, s, "right") - 1
     first = np.zeros(n + 1, np.int64)
     np.cumsum(np.bincount(doc, minlength=n), out=first[1:])
-    total = np.zeros(len(buf) + 1, U64)
-    if len(buf):
-        np.cumsum(_byte_table(fold)[buf] * _powers(_BYTE_BASE, len(buf)), out=total[1:])
-    value = (total[e] - total[s]) * _powers(_BYTE_BASE, max(len(buf), 1), inverse=True)[s] if len(s) else np.empty(0, U64)
-    return Words(doc, first, mix(value + (e - s).astype(U64)), s, e)
+    codes = _byte_table(fold)[buf]
+    return Words(doc, first, _word_hashes(codes, s, e, _BYTE_BASE), s, e, codes)
+
+
+def _word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
+    total = np.zeros(len(codes) + 1, U64)
+    np.cumsum(codes * _powers(base, len(codes)), out=total[1:])
+    value = (total[end] - total[start]) * _powers(base, max(len(codes), 1), inverse=True)[start]
+    return mix(value + (end - start).astype(U64))
 
 
 def blocks(batch: pa.RecordBatch | pa.Table, column: str, most: int = 4 << 20):
