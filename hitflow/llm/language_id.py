@@ -14,9 +14,10 @@ interpolated log probabilities and of back-off weights, one column per language,
 search serves all languages.
 
 A document gets the language with the lowest cross-entropy per character over its whole text.
-Rejection is calibrated on sampled documents left out of the counts: a text is rejected where its
-cross-entropy is above what all but `REJECT` of the left-out documents of the language have, by
-their number of characters (short texts vary more).
+Rejection is calibrated on the sample itself, each half scored by models of the other half. A text's
+excess, its cross-entropy above its language's mean, shrinks with the root of its length, so excess
+times root is alike at all lengths; of all sampled documents of any language, the `REJECT` with the most lie
+above the limit (with fewer than 1 / `REJECT` documents nothing is rejected).
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from .wordhash import U64, blocks, mix
 
 ORDER = 4
 PER_LANGUAGE = 2000
-CALIBRATION = 8
-REJECT = 0.002
+HALVES = 2
+REJECT = 0.01
 TEMPERATURE = 20.0
 _BITS = U64(21)  # a code point
 
@@ -62,10 +63,10 @@ def _grams(points: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
 
 
 def _count(batches: Iterable[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of the highest order with their count, per language."""
+    """Distinct n-grams of the highest order with their count, per language and half."""
     for batch in (b for whole in batches for b in blocks(whole, "text")):
         points, cut = characters(batch.column("text"))
-        which = np.repeat(np.asarray(batch.column("number")), np.diff(cut)).astype(np.int64)
+        which = np.repeat(np.asarray(batch.column("number")) * HALVES + np.asarray(batch.column("half")), np.diff(cut)).astype(np.int64)
         if len(points) < order:
             continue
         doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
@@ -96,7 +97,8 @@ class Model:
     contexts: list[np.ndarray]
     log_gamma: list[np.ndarray]
     unseen: np.ndarray  # log probability of an unknown character
-    limits: np.ndarray | None = None
+    usual: np.ndarray | None = None  # mean cross-entropy of each language's own texts
+    limit: float = np.inf  # of excess times the root of the length
 
     def entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character in bits, texts by languages, and the number of characters scored."""
@@ -139,9 +141,9 @@ class Model:
         low = bits[np.arange(len(best)), best]
         odds = np.exp(-TEMPERATURE * (bits - low[:, None]))
         score = 1 / odds.sum(axis=1)
-        limit = np.full(len(best), np.inf) if self.limits is None else self.limits[best, np.minimum(np.log2(np.maximum(n, 1)).astype(int), self.limits.shape[1] - 1)]
+        excess = 0.0 if self.usual is None else (low - self.usual[best]) * np.sqrt(n)
         none = np.asarray(pc.fill_null(pc.invert(pc.match_substring_regex(texts, r"\p{L}")), True))
-        return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, low), none | (low > limit)
+        return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, low), none | (excess > self.limit)
 
 
 def _hash_of(columns: np.ndarray) -> np.ndarray:
@@ -217,35 +219,37 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, id_col: str = "d
     share = [(x, i, min(1.0, per_language / sizes[x])) for i, x in enumerate(languages)]
     table = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, number int, share double"))  # a row for each language
     draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    sample = saved(rows.withColumn("draw", draw).join(table, "lang").where("draw < share").select("number", "text", (F.pmod(F.xxhash64("key", F.lit(5)), F.lit(CALIBRATION)) == 0).alias("apart")))
+    sample = saved(rows.withColumn("draw", draw).join(table, "lang").where("draw < share").select("number", "text", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(HALVES)).cast("int").alias("half")))
     names = [f"c{i}" for i in range(ORDER)]
     shape = ", ".join(["number long", *(f"{c} long" for c in names), "n long"])
-
-    def counted(part: DataFrame) -> Model:
-        found = part.select("number", "text").mapInArrow(lambda it: _count(it, ORDER), shape)
-        found = found.groupBy("number", *names).agg(F.sum("n").alias("n")).toArrow()  # distinct n-grams of the bounded sample
-        number, grams, n = np.asarray(found["number"]), np.column_stack([np.asarray(found[c]) for c in names]), np.asarray(found["n"]).astype(np.float64)
-        return kneser_ney([(np.ascontiguousarray(grams[number == i]), n[number == i]) for i in range(len(languages))], languages)
-
-    trial = counted(sample.where("not apart"))
-    kept = sample.where("apart").select("number", "text").mapInArrow(lambda it: _calibration(it, trial), "number int, size int, bits double")
-    spread = kept.groupBy("number", "size").agg(F.expr(f"percentile_approx(bits, {1 - REJECT}, 1000)").alias("limit")).collect()
-    limits = np.full((len(languages), 24), np.inf)
-    for r in spread:
-        limits[r["number"], r["size"]] = r["limit"] * 1.02
-    limits = np.maximum.accumulate(np.where(np.isinf(limits), -np.inf, limits)[:, ::-1], axis=1)[:, ::-1]  # short texts get the limits of long ones at least
-    model = counted(sample)
-    model.limits = np.where(np.isinf(limits), np.inf, limits)
+    found = sample.mapInArrow(lambda it: _count(it, ORDER), shape).groupBy("number", *names).agg(F.sum("n").alias("n")).toArrow()  # distinct n-grams of the bounded sample
+    number, grams, n = np.asarray(found["number"]), np.column_stack([np.asarray(found[c]) for c in names]), np.asarray(found["n"]).astype(np.float64)
+
+    def counted(halves: list[int]) -> Model:
+        own = [np.isin(number, [i * HALVES + h for h in halves]) for i in range(len(languages))]
+        return kneser_ney([_collapse(grams[x], n[x]) if x.any() else (grams[:0], n[:0]) for x in own], languages)
+
+    trials = [counted([h for h in range(HALVES) if h != own]) for own in range(HALVES)]
+    scored = saved(sample.mapInArrow(lambda it: _calibration(it, trials), "number int, chars long, bits double"))
+    usual = np.zeros(len(languages))
+    for r in scored.groupBy("number").agg((F.sum(F.col("bits") * F.col("chars")) / F.sum("chars")).alias("mean")).collect():
+        usual[r["number"]] = r["mean"]
+    excess = (F.col("bits") - F.get(F.array(*(F.lit(float(u)) for u in usual)), F.col("number"))) * F.sqrt("chars")
+    known, limit = scored.agg(F.count("*"), F.percentile_approx(excess, 1 - REJECT, 100_000)).first()
+    model = counted(list(range(HALVES)))
+    model.usual, model.limit = usual, float(limit) if known * REJECT >= 1 else np.inf
     return model
 
 
-def _calibration(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _calibration(batches: Iterable[pa.RecordBatch], trials: list[Model]) -> Iterator[pa.RecordBatch]:
+    """Characters and cross-entropy of each text under its language's model of the other half."""
     for batch in (b for whole in batches for b in blocks(whole, "text")):
-        bits, n = model.entropy(batch.column("text"))
-        number = np.asarray(batch.column("number"))
-        some = np.flatnonzero(n > 0)
-        size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int32), 23)
-        yield pa.record_batch([pa.array(number[some].astype(np.int32)), pa.array(size[some]), pa.array(bits[some, number[some]])], names=["number", "size", "bits"])
+        for half, model in enumerate(trials):
+            own = batch.filter(pc.equal(batch.column("half"), half))
+            if own.num_rows:
+                bits, n = model.entropy(own.column("text"))
+                number, some = np.asarray(own.column("number")), np.flatnonzero(n > 0)
+                yield pa.record_batch([pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int64)), pa.array(bits[some, number[some]])], names=["number", "chars", "bits"])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
