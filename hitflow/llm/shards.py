@@ -28,6 +28,7 @@ BINS = 1024
 DIMENSIONS = ("k_id", "k_size", "k_source", "k_lang")
 _LOW_BITS, _HIGH = 36, 1 << 20
 SLICES = 64
+BUCKETS = 1024
 
 
 @dataclass
@@ -50,15 +51,29 @@ class Node:
         return [self] if not self.children else [x for c in self.children for x in c.leaves()]
 
 
+def _by_bytes(units: DataFrame, name: str) -> DataFrame:
+    """(name, k_name): the place of a value of a text dimension is the share of all bytes that lie in values before it (and
+    half of its own), so two values are as far apart as the bytes between them. Values count by buckets of their hash."""
+    bucket = F.pmod(F.xxhash64(name), F.lit(BUCKETS))
+    rows = units.groupBy(bucket.alias("b")).agg(F.sum("bytes").alias("w")).collect()  # BUCKETS rows at most
+    total, before, at = sum(r["w"] for r in rows) or 1, 0, {}
+    for r in sorted(rows, key=lambda r: r["b"]):
+        at[r["b"]] = int((before + r["w"] / 2) / total * (_HIGH - 1))
+        before += r["w"]
+    table = F.broadcast(units.sparkSession.createDataFrame(list(at.items()), "b long, place long"))
+    return units.withColumn("b", bucket.cast("long")).join(table, "b", "left").drop("b").withColumnRenamed("place", f"p_{name}")
+
+
 def _coordinates(units: DataFrame) -> DataFrame:
     """Each dimension as 20 bits of position and 36 bits of unit hash to break ties."""
     low, high, most = units.agg(F.min("first_id"), F.max("first_id"), F.max("size")).first()
     span = max(1, (high or 0) - (low or 0))
+    units = _by_bytes(_by_bytes(units, "source"), "lang")
     where = {
         "k_id": F.floor((F.coalesce("first_id", F.lit(low or 0)) - (low or 0)) / F.lit(float(span)) * (_HIGH - 1)),
         "k_size": F.floor(F.log1p(F.col("size").cast("double")) / F.log1p(F.lit(float(most or 1))) * (_HIGH - 1)),
-        "k_source": F.pmod(F.xxhash64("source"), F.lit(_HIGH)),
-        "k_lang": F.pmod(F.xxhash64("lang"), F.lit(_HIGH)),
+        "k_source": F.coalesce("p_source", F.lit(0)),
+        "k_lang": F.coalesce("p_lang", F.lit(0)),
     }
     tie = F.pmod(F.xxhash64("text_hash", "text_crc32", "part"), F.lit(1 << _LOW_BITS))
     return units.withColumns({k: (c.cast("long") * F.lit(1 << _LOW_BITS) + tie).cast("long") for k, c in where.items()})

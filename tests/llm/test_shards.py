@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from hitflow.llm import registry
+from hitflow.llm import registry, shards
 from hitflow.llm.shards import check_plan, shard
 
 
@@ -28,7 +28,26 @@ def test_edges(spark):
     assert shard(df.where("false"), 4).collect() == []
 
 
-def test_query(spark, sf):
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = registry.op9_kd_shards(spark, sf).collect()
-    n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert len(got) == n and check_plan(got, 40)["gapless"] and {r["law"] for r in got} == {"bytes"}
+    plan = check_plan(got, 40)
+    assert len(got) == len(docs) and plan["gapless"] and {r["law"] for r in got} == {"bytes"} and {r["shard"] for r in got} == set(range(40))
+    mean = sum(plan["bytes"].values()) / 40
+    assert all(0.95 * mean < b < 1.05 * mean for b in plan["bytes"].values()), plan
+    homes = {}
+    for r in got:
+        text = docs[r["doc_id"]] or ""
+        assert r["size"] == len(text.encode()) + 16 and r["text_crc32"] == zlib.crc32(text.encode()) and r["grown_shard"] is None
+        homes.setdefault(text, set()).add(r["shard"])
+    assert all(len(h) == 1 for h in homes.values())
+
+
+def test_a_dimension_is_as_wide_as_its_bytes(spark):
+    """Two sources of equal bytes are half of the width apart, whatever their names; a rare one is close to its neighbour."""
+    rows = [(i, i, 100, "p" if i % 2 else "q", None if i % 50 else "x") for i in range(1000)]
+    units = spark.createDataFrame(rows, "first_id long, text_hash long, bytes long, source string, lang string").selectExpr("*", "bytes as size", "1L as text_crc32", "0 as part")
+    got = shards._coordinates(units).selectExpr("max(k_source) - min(k_source) as s", "max(k_lang) - min(k_lang) as l").first()
+    whole = 1 << 56
+    assert 0.49 * whole < got.s < 0.51 * whole and 0.49 * whole < got.l < 0.51 * whole
