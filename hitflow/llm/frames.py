@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure a checkpoint folder is set.
 
-    The cluster names the shared folder in spark.checkpoint.dir; a folder of our own is used only
-    where that is unset (tests on one machine).
+    The cluster names the shared folder in spark.checkpoint.dir. Where that is unset, a folder of our
+    own is used on one machine (master local), and anywhere else this is an error: other machines
+    would not see it. With spark.cleaner.referenceTracking.cleanCheckpoints=true Spark removes what is no longer used.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 

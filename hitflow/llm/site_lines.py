@@ -43,7 +43,7 @@ def drop_site_lines(pages: DataFrame, lines: Column, host: Column, id_col: str =
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("line"))
-    rows = rows.withColumn("row_hash", F.xxhash64("id", "host", "line"))
+    rows = saved(rows.withColumn("row_hash", F.xxhash64("id", "host", "line")))  # pages are parsed once
     totals = rows.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = rows.select("host", F.explode_outer(F.array_distinct(F.transform("line", lambda x: F.xxhash64(x)))).alias("hash")).where("hash is not null")
