@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +43,44 @@ def normal_pdf(x: Column, mean: float, std: float) -> Column:
     return F.exp(z * z * -0.5) / F.lit(std * 2.5066282746310002)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Compute once, write to the checkpoint folder, and go on from there.
+
+    The cluster names a shared folder in spark.checkpoint.dir; one of our own is used where that is unset on one machine.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def sliced(df: DataFrame, time: str, slice_ns: float = SLICE_NS) -> DataFrame:
     return df.withColumn("slice", F.floor(F.col(time) / F.lit(slice_ns)))
 
 
-def with_previous(df: DataFrame, time: str, slice_ns: float = SLICE_NS) -> DataFrame:
-    """Adds prev_time, the time of the row before in time order, and slice.
+def with_previous(df: DataFrame, time: str, slice_ns: float = SLICE_NS, *by: str) -> DataFrame:
+    """Adds prev_time, the time of the row before in time order (of equal `by`), and slice.
 
     The window runs per slice; the last time of each slice is carried to the next slice that has
     rows through a table of one row per slice, so no task sees all rows.
     """
     rows = sliced(df, time, slice_ns)
-    last = rows.groupBy("slice").agg(F.max(time).alias("last"))
-    carried = last.select("slice", F.lag("last").over(Window.orderBy("slice")).alias("before"))
-    own = F.lag(time).over(Window.partitionBy("slice").orderBy(time))
-    return rows.join(carried, "slice").withColumn("prev_time", F.coalesce(own, "before")).drop("before")
+    last = rows.groupBy(*by, "slice").agg(F.max(time).alias("last"))
+    carried = last.select(*by, "slice", F.lag("last").over(Window.partitionBy(*by).orderBy("slice")).alias("before"))
+    own = F.lag(time).over(Window.partitionBy(*by, "slice").orderBy(time))
+    return rows.join(carried, [*by, "slice"]).withColumn("prev_time", F.coalesce(own, "before")).drop("before")
+
+
+def runs(df: DataFrame, time: str, gap: float, name: str, slice_ns: float = SLICE_NS, *by: str) -> DataFrame:
+    """Adds `name`: the time of the first row of the row's run, where a gap above `gap` in time order (of equal `by`) ends a run."""
+    rows = with_previous(df, time, slice_ns, *by)
+    rows = rows.withColumn("cut", F.when(F.col("prev_time").isNull() | (F.col(time) - F.col("prev_time") > gap), F.col(time)))
+    cuts = rows.groupBy(*by, "slice").agg(F.max("cut").alias("last_cut"))
+    before = cuts.select(*by, "slice", F.max("last_cut").over(Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    own = F.max("cut").over(Window.partitionBy(*by, "slice").orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(before, [*by, "slice"]).withColumn(name, F.coalesce(own, "carried")).drop("cut", "carried", "prev_time", "slice")
 
 
 def numbered(df: DataFrame, part: str, *order, name: str = "row") -> DataFrame:
@@ -69,34 +94,37 @@ def numbered(df: DataFrame, part: str, *order, name: str = "row") -> DataFrame:
     return df.join(before, part).withColumn(name, (F.col("before") + own - 1).cast("long")).drop("before")
 
 
-def exact_quantile(df: DataFrame, column: str, share: float = 0.5, most: int = 10_000, bins: int = 1024) -> float | None:
+def exact_quantile(df: DataFrame, column: str, share: float = 0.5, most: int = 10_000, bins: int = 1024, weight: str | None = None) -> float | None:
     """The interpolated quantile (as numpy and pandas define it), by narrowing a histogram.
 
     Each pass is one aggregate with at most `bins` rows for the driver; it ends when the bin that
-    holds the rank has at most `most` values or one distinct value. Nulls are left out.
+    holds the rank has at most `most` rows or one distinct value. Nulls are left out. With a
+    `weight` column, a row stands for so many equal values.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    x = df.select(F.col(column).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).where("x is not null")
+    n, low, high, rows = x.agg(F.sum("w"), F.min("x"), F.max("x"), F.count("*")).first()
     if not n:
         return None
     at = share * (n - 1)
     ranks = sorted({int(at), min(n - 1, int(at) + 1)})
     found: dict[int, float] = {}
     for rank in ranks:
-        lo, hi, skipped, inside = low, high, 0, n
+        lo, hi, skipped, inside = low, high, 0, rows
         while rank not in found:
             if lo == hi:
                 found[rank] = lo
             elif inside <= most or (hi - lo) / bins <= 0 or lo + (hi - lo) / bins <= lo:
-                values = sorted(v["x"] for v in x.where((F.col("x") >= lo) & (F.col("x") <= hi)).collect())
-                found |= {r: values[r - skipped] for r in ranks if skipped <= r < skipped + len(values)}
+                below = skipped
+                for v in sorted(x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").agg(F.sum("w").alias("w")).collect()):
+                    found |= {r: v["x"] for r in ranks if below <= r < below + v["w"]}
+                    below += v["w"]
             else:
                 key = F.least(F.floor((F.col("x") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
-                counted = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                counted = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(key.alias("k")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
                 for r in sorted(counted.collect(), key=lambda r: r["k"]):
-                    if skipped + r["n"] > rank:
+                    if skipped + r["w"] > rank:
                         lo, hi, inside = r["lo"], r["hi"], r["n"]
                         break
-                    skipped += r["n"]
+                    skipped += r["w"]
     a, b = found[ranks[0]], found[ranks[-1]]
     return a + (b - a) * (at - int(at))

@@ -4,31 +4,32 @@ A hit joins every cluster that has a pixel within `max_gap + 1` (Chebyshev) and
 time: `chain` counts from the cluster's last hit, `min` from its first. Clusters that a hit joins
 merge. Eligibility belongs to clusters, not to pairs of hits, so components of a pair graph would be
 wrong. A gap above the reach between consecutive hits (of any pixel) cuts the time line into
-epochs that no cluster crosses; epochs are folded independently in Spark SQL, and those above
-`FOLD_ROWS` hits in one vectorised pass per epoch.
+epochs that no cluster crosses. The epochs that begin in one slice of time go through one vectorised
+pass; a slice with more than `LARGE` hits is dealt to several. An epoch with more than `LARGE` hits is split further, in turn by
+the connected components of its pixels (whatever their times) and by gaps above the reach within a
+component, until its parts are small or nothing changes: no cluster crosses either cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SLICE_NS, require, with_previous
+from ..functions import SLICE_NS, require, runs, saved
 
-FOLD_ROWS = 64
+LARGE = 200_000
+ROUNDS = 8
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    return require(hits, {"x_pix", "y_pix", "time_ns"}, "clustering").where("time_ns is not null and x_pix is not null and y_pix is not null")
 
 
 def epochs(hits: DataFrame, dt_ns: float, slice_ns: float = SLICE_NS) -> DataFrame:
     """Adds epoch: the time of the first hit of the row's epoch. Hits without a time or place go."""
-    rows = require(hits, {"x_pix", "y_pix", "time_ns"}, "clustering").where("time_ns is not null and x_pix is not null and y_pix is not null")
-    rows = with_previous(rows, "time_ns", slice_ns)
-    rows = rows.withColumn("cut", F.when(F.col("prev_time").isNull() | (F.col("time_ns") - F.col("prev_time") > dt_ns), F.col("time_ns")))
-    cuts = rows.groupBy("slice").agg(F.max("cut").alias("last_cut"))
-    before = cuts.select("slice", F.max("last_cut").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    own = F.max("cut").over(Window.partitionBy("slice").orderBy("time_ns").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(before, "slice").withColumn("epoch", F.coalesce(own, "carried")).drop("cut", "carried", "prev_time", "slice")
+    return runs(_placed(hits), "time_ns", dt_ns, "epoch", slice_ns)
 
 
 def fold_expression(members: str, dt_ns: float, max_gap: int, time_criterion: str) -> Column:
@@ -74,6 +75,51 @@ def _labels(x: np.ndarray, y: np.ndarray, t: np.ndarray, dt: float, d: int, chai
     return np.array([root(i) for i in range(n)])
 
 
+def _islands(table: pa.Table, d: int) -> pa.Table:
+    """Connected components of one part's distinct pixels (no more than the sensor has)."""
+    x, y = np.asarray(table["x"]), np.asarray(table["y"])
+    number = {p: i for i, p in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+    island = np.full(len(x), -1)
+    for first in range(len(x)):
+        if island[first] >= 0:
+            continue
+        island[first], todo = first, [first]
+        while todo:
+            i = todo.pop()
+            for u in range(x[i] - d, x[i] + d + 1):
+                for v in range(y[i] - d, y[i] + d + 1):
+                    j = number.get((u, v))
+                    if j is not None and island[j] < 0:
+                        island[j] = first
+                        todo.append(j)
+    return pa.table({"part": table["part"], "x": table["x"], "y": table["y"], "island": island.astype(np.int32)})
+
+
+def _split(rows: DataFrame, reach: float, d: int, slice_ns: float) -> DataFrame:
+    """Rows (epoch, t, x, y, ...) of large epochs with a column part, within which all their clusters lie."""
+    rows = rows.withColumn("part", F.xxhash64("epoch"))
+    before = None
+    for _ in range(ROUNDS):
+        islands = rows.select("part", "x", "y").distinct().groupBy("part").applyInArrow(lambda t: _islands(t, d), "part long, x int, y int, island int")
+        rows = rows.join(islands, ["part", "x", "y"]).withColumn("part", F.xxhash64("part", "island")).drop("island")
+        rows = runs(rows, "t", reach, "begin", slice_ns, "part").withColumn("part", F.xxhash64("part", "begin")).drop("begin")
+        rows = saved(rows)
+        now = rows.groupBy("part").count().agg(F.count("*"), F.max("count")).first()
+        if now == before or now[1] <= LARGE:
+            break
+        before = now
+    return rows
+
+
+def _cluster(table: pa.Table, reach: float, d: int, chain: bool) -> pa.Table:
+    """The hits of one group with the first hit (in time, then place) of each one's cluster."""
+    table = table.sort_by([("t", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    x, y, t = (np.asarray(table[c]) for c in "xyt")
+    _, first, at = np.unique(_labels(x, y, t, reach, d, chain), return_index=True, return_inverse=True)
+    head = first[at]
+    return pa.table({**{c: table[c] for c in ("t", "x", "y", "tot", "key")}, "t0": t[head], "x0": x[head], "y0": y[head], "head": head == np.arange(len(t))})
+
+
 def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_criterion: str = "chain", safety_margin_ns: float = 200.0, slice_ns: float = SLICE_NS) -> DataFrame:
     """(cluster_id, time_ns, x_pix, y_pix, tot, key) of every hit with a time and a place.
 
@@ -82,29 +128,31 @@ def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_
     than "chain" counts from the first hit. `key` carries a column `given_id` of the hits as text
     (null without one). An empty table gives no rows.
     """
-    reach = dt_ns + min(0.0, safety_margin_ns)
-    carried = F.col("given_id").cast("string") if "given_id" in hits.columns else F.lit(None).cast("string")
+    reach, d, chain = dt_ns + min(0.0, safety_margin_ns), max_gap + 1, time_criterion == "chain"
+    key = F.col("given_id").cast("string") if "given_id" in hits.columns else F.lit(None).cast("string")
     tot = F.col("tot").cast("int") if "tot" in hits.columns else F.lit(None).cast("int")
-    hit = F.struct(F.col("time_ns").alias("t"), F.col("x_pix").cast("int").alias("x"), F.col("y_pix").cast("int").alias("y"), "tot", "key")
-    rows = epochs(hits.withColumns({"tot": tot, "key": carried}), reach, slice_ns).select("epoch", hit.alias("h"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("epoch")))
-    small = rows.where(F.col("n") <= FOLD_ROWS).groupBy("epoch").agg(F.array_sort(F.collect_list("h")).alias("members"))
-    folded = small.select("epoch", fold_expression("members", reach, max_gap, time_criterion).alias("m"))
-    # Labels in the order of their first hit: members are sorted, so that is the order of the clusters' starts.
-    folded = folded.withColumn("labels", F.array_distinct(F.transform("m", lambda a: a["c"])))
-    folded = folded.select("epoch", "labels", F.explode("m").alias("m")).select("epoch", "m.t", "m.x", "m.y", "m.tot", "m.key", F.array_position("labels", F.col("m.c")).cast("int").alias("c"))
-
-    def big(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "x", "y"], kind="stable")
-        label = _labels(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.t.to_numpy(), reach, max_gap + 1, time_criterion == "chain")
-        return pdf.assign(c=(pd.factorize(label)[0] + 1).astype("int32"))
-
-    large = rows.where(F.col("n") > FOLD_ROWS).select("epoch", "h.*").groupBy("epoch").applyInPandas(big, "epoch double, t double, x int, y int, tot int, key string, c int")
-    labelled = folded.unionByName(large).withColumn("slice", F.floor(F.col("epoch") / F.lit(slice_ns))).repartition("slice")
-    sizes = labelled.groupBy("slice", "epoch").agg(F.max("c").alias("k")).groupBy("slice").agg(F.sum("k").alias("k"))
+    rows = _placed(hits).select(F.col("time_ns").cast("double").alias("t"), F.col("x_pix").cast("int").alias("x"), F.col("y_pix").cast("int").alias("y"), tot.alias("tot"), key.alias("key"))
+    n = rows.count()
+    rows = runs(rows, "t", reach, "epoch", slice_ns)
+    begins, columns = F.floor(F.col("epoch") / F.lit(slice_ns)).cast("long"), ["t", "x", "y", "tot", "key"]
+    if n <= LARGE:
+        dealt = rows.select(begins.alias("g"), F.lit(0).alias("h"), *columns)
+    else:
+        rows = saved(rows)
+        sizes = rows.groupBy("epoch").count()
+        large = sizes.where(F.col("count") > LARGE).select("epoch")
+        n_large = large.count()
+        large = F.broadcast(large) if n_large < 100_000 else large
+        slices = sizes.groupBy(begins.alias("g")).agg(F.ceil(F.sum("count") / LARGE).cast("int").alias("parts"))
+        dealt = rows.join(large, "epoch", "left_anti").withColumn("g", begins).join(slices, "g").select("g", F.pmod(F.xxhash64("epoch"), F.col("parts")).cast("int").alias("h"), *columns)
+        if n_large:
+            dealt = dealt.unionByName(_split(rows.join(large, "epoch"), reach, d, slice_ns).select(F.col("part").alias("g"), F.lit(-1).alias("h"), *columns))
+    found = dealt.groupBy("g", "h").applyInArrow(lambda t: _cluster(t, reach, d, chain), "t double, x int, y int, tot int, key string, t0 double, x0 int, y0 int, head boolean")
+    found = saved(found.withColumn("slice", F.floor(F.col("t0") / F.lit(slice_ns))))
+    sizes = found.where("head").groupBy("slice").agg(F.count("*").alias("k"))
     before = sizes.select("slice", (F.sum("k").over(Window.orderBy("slice")) - F.col("k")).alias("before"))
-    own = F.dense_rank().over(Window.partitionBy("slice").orderBy("epoch", "c"))
-    out = labelled.withColumn("own", own).join(before, "slice")
+    own = F.dense_rank().over(Window.partitionBy("slice").orderBy("t0", "x0", "y0"))
+    out = found.withColumn("own", own).join(before, "slice")
     return out.select((F.col("before") + F.col("own") - 1).cast("long").alias("cluster_id"), F.col("t").alias("time_ns"), F.col("x").alias("x_pix"), F.col("y").alias("y_pix"), "tot", "key")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import SLICE_NS, runs
 from ..operators.clustering import fold_expression
 
 HORIZON_NS = 200_000
@@ -18,17 +19,21 @@ HORIZON_NS = 200_000
 def stream_clusters(hits: DataFrame, dt_ns: int = 2000, max_gap: int = 0, time_criterion: str = "chain", late_ns: int = HORIZON_NS, tile: str | None = None) -> DataFrame:
     """(epoch, label, n_pixels, t_min, t_max, tot_sum) of each cluster, in append mode, once the
     watermark has passed its session. Hits that come more than late_ns late are dropped by the
-    watermark. `tile` names a detector column that splits the state over tasks; without one, all
-    hits share one session key."""
+    watermark. `tile` names the column of a detector (or chip) that no cluster crosses; it splits the
+    state over tasks, and a stream of more than one task's hits needs it: without one, all hits of a
+    stream share one session key. A bounded input needs none: its epochs are found slice by slice."""
     keys = [tile] if tile else []
-    # Spark wants a key beside a streaming session window; this one is the same for all hits.
-    detector = F.col(tile) if tile else F.coalesce(F.col("x_pix") * 0, F.lit(0))
-    rows = hits.where("time_ns is not null").withColumn("detector", detector).withColumn("ts", F.timestamp_micros(F.floor("time_ns").cast("long")))
-    if rows.isStreaming:
-        rows = rows.withWatermark("ts", f"{late_ns} microseconds")
     hit = F.struct(F.col("time_ns").alias("t"), F.col("x_pix").alias("x"), F.col("y_pix").alias("y"), "tot", F.lit(None).cast("string").alias("key"))
-    epochs = rows.groupBy(F.session_window("ts", f"{dt_ns} microseconds").alias("session"), "detector", *keys).agg(F.array_sort(F.collect_list(hit)).alias("members"))
-    folded = epochs.select(*keys, F.col("session.start").alias("epoch"), fold_expression("members", float(dt_ns), max_gap, time_criterion).alias("m"))
+    members = F.array_sort(F.collect_list(hit)).alias("members")
+    rows = hits.where("time_ns is not null and x_pix is not null and y_pix is not null")
+    if rows.isStreaming:
+        # Spark wants a key beside a streaming session window; without a tile it is the same for all hits.
+        detector = F.col(tile) if tile else F.lit(0) * F.col("x_pix")
+        rows = rows.withColumn("detector", detector).withColumn("ts", F.timestamp_micros(F.floor("time_ns").cast("long"))).withWatermark("ts", f"{late_ns} microseconds")
+        epochs = rows.groupBy(F.session_window("ts", f"{dt_ns} microseconds").alias("session"), "detector", *keys).agg(members).withColumn("epoch", F.col("session.start"))
+    else:
+        epochs = runs(rows, "time_ns", float(dt_ns), "begin", SLICE_NS, *keys).groupBy("begin", *keys).agg(members).withColumn("epoch", F.timestamp_micros(F.floor("begin").cast("long")))
+    folded = epochs.select(*keys, "epoch", fold_expression("members", float(dt_ns), max_gap, time_criterion).alias("m"))
     labels = folded.select(*keys, "epoch", "m", F.explode(F.array_distinct(F.transform("m", lambda a: a["c"]))).alias("label"))
     own = labels.withColumn("m", F.filter("m", lambda a: a["c"] == F.col("label")))
     times = F.transform("m", lambda a: a["t"])

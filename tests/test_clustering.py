@@ -46,16 +46,32 @@ def test_case(spark, name, rows, settings, n):
 
 
 @pytest.mark.parametrize("mode", ["chain", "min"])
-@pytest.mark.parametrize("fold_rows", [64, 0])
-def test_random_hits_match_the_model(spark, monkeypatch, mode, fold_rows):
-    monkeypatch.setattr(clustering, "FOLD_ROWS", fold_rows)
-    rng = random.Random(fold_rows + len(mode))
+@pytest.mark.parametrize("large", [200_000, 12])
+def test_random_hits_match_the_model(spark, monkeypatch, mode, large):
+    monkeypatch.setattr(clustering, "LARGE", large)
+    rng = random.Random(large + len(mode))
     rows = [(rng.randint(0, 7), rng.randint(0, 7), 40 * rng.randint(0, 60) + rng.randint(0, 12)) for _ in range(220)]
     rows += rows[:3]
     for dt, gap in ((10, 0), (25, 1), (45, 0)):
         assert found(spark, rows, dt_ns=float(dt), max_gap=gap, time_criterion=mode, slice_ns=300.0) == footprints(rows, dt, gap, mode == "chain")
 
 
+def test_one_long_epoch_is_dealt_to_several_tasks(spark, monkeypatch):
+    """Hits without any gap above the reach, on islands of pixels; within an island there are gaps."""
+    monkeypatch.setattr(clustering, "LARGE", 100)
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        x, y = 12 * rng.randint(0, 9), 12 * rng.randint(0, 9)
+        rows += [(x + rng.randint(0, 2), y + rng.randint(0, 2), 5 * i + rng.randint(0, 20)) for _ in range(4)]
+    df = spark.createDataFrame([(int(x), int(y), float(t)) for x, y, t in rows], "x_pix int, y_pix int, time_ns double")
+    one = clustering.epochs(df, 40.0)
+    assert one.select("epoch").distinct().count() == 1
+    parts = clustering._split(one.selectExpr("epoch", "time_ns as t", "x_pix as x", "y_pix as y"), 40.0, 1, 300.0).groupBy("part").count().collect()
+    assert len(parts) > 50 and max(r["count"] for r in parts) <= 100 and sum(r["count"] for r in parts) == len(rows)
+    assert found(spark, rows, dt_ns=40.0, slice_ns=300.0) == footprints(rows, 40, 0, True)
+
+
 def test_empty_and_null(spark):
     df = spark.createDataFrame([(None, 1, 1.0, 1), (1, 1, None, 1), (1, 1, 5.0, None)], "x_pix int, y_pix int, time_ns double, tot int")
     assert cluster_hits(df.where("false")).collect() == []
