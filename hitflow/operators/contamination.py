@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import histogram
@@ -20,10 +20,12 @@ def baseline_density(df: DataFrame, low: float = 0.0, high: float = 100.0) -> Da
 
 
 def class_fractions(df: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
-    """(hard_label, n, mislabel_fraction): an indicator, density times the span of the class, at most 1."""
-    spans = df.where("hard_label >= 0 and folded_tof_ns is not null").groupBy("hard_label").agg(F.count("*").alias("n"), (F.max("folded_tof_ns") - F.min("folded_tof_ns")).alias("span"))
-    base = baseline_density(df, low, high).select("density")
-    return spans.join(F.broadcast(base), F.lit(True)).select("hard_label", "n", F.round(F.least(F.lit(1.0), F.col("density") * F.col("span")), 4).alias("mislabel_fraction"))  # base is one row
+    """(hard_label, n, mislabel_fraction): an indicator, density times the span of the class, at most 1. The input is read once."""
+    x = F.col("folded_tof_ns")
+    per = df.where(x.isNotNull()).groupBy("hard_label").agg(F.count("*").alias("n"), F.count_if((x >= low) & (x < high)).alias("n_window"), (F.max(x) - F.min(x)).alias("span"))
+    whole = Window.partitionBy(F.lit(0))  # over a row for each class
+    per = per.withColumn("density", F.sum("n_window").over(whole) / (F.sum("n").over(whole) * F.lit(high - low)))
+    return per.where("hard_label >= 0").select("hard_label", "n", F.round(F.least(F.lit(1.0), F.col("density") * F.col("span")), 4).alias("mislabel_fraction"))
 
 
 def tidy(df: DataFrame, features: list[str] = MORPHOLOGY) -> DataFrame:
@@ -32,7 +34,7 @@ def tidy(df: DataFrame, features: list[str] = MORPHOLOGY) -> DataFrame:
 
 
 def bimodality(df: DataFrame, features: list[str] = MORPHOLOGY, least: int = 10, iterations: int = 30) -> DataFrame:
-    """(hard_label, feature, n, bic_1, bic_2, minority_fraction, bimodal) of classes with `least` rows.
+    """(hard_label, feature, n, bic_1, bic_2, minority_fraction, bimodal) of classes with `least` rows; the fraction is 0 where the class is not bimodal.
 
     Values are log1p(x - min + 1e-3). One and two Gaussians are compared by BIC. All groups are
     fitted at once: an iteration is one aggregate over distinct values, and its parameters are one
@@ -68,7 +70,8 @@ def bimodality(df: DataFrame, features: list[str] = MORPHOLOGY, least: int = 10,
         n = r["n"]
         bic1 = 2 * math.log(n) + n * (math.log(2 * math.pi * r["v"]) + 1)
         bic2 = 5 * math.log(n) - 2 * now[k][5]
-        out.append((*k, int(n), bic1, bic2, min(now[k][0], 1 - now[k][0]), bic2 < bic1 - 2))
+        bimodal = bic2 < bic1 - 2
+        out.append((*k, int(n), bic1, bic2, min(now[k][0], 1 - now[k][0]) if bimodal else 0.0, bimodal))
     return spark.createDataFrame(out, "hard_label int, feature string, n long, bic_1 double, bic_2 double, minority_fraction double, bimodal boolean")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, histogram, require
 
+#: The inputs of the classifier, and the scalars beside a patch.
 MODEL_FEATURES = ["n_pixels", "tot_sum", "tot_max", "tot_mean", "cx_w", "cy_w", "bbox_w", "bbox_h", "eccentricity", "linearity", "compactness", "dt_min_vs_argmax"]
-PATCH_SCALARS = ["n_pixels", "tot_sum", "tot_max", "bbox_w"]
+PATCH_SCALARS = ["n_pixels", "tot_sum", "tot_max", "eccentricity"]
 
 
 def _moment(s: str, a: str, b: str, ab: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def flown(spark: SparkSession, d: str, p: float | None = None) -> DataFrame:
 
 def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, mixture.Mixture]:
     p = period(spark, d)
-    own = flown(spark, d, p)
+    own = fn.saved(flown(spark, d, p))  # read by the fit and by what comes after
     m = mixture.fit(own, "folded_tof_ns", mixture.Mixture.start(p, MEANS, STDS), STEPS, tolerance=0.0)
     return own, m
 
@@ -174,7 +175,8 @@ def a_spread(spark, d):
 
 @query("per", "SELECT count(*) AS n_missed_gaps FROM gaps, per WHERE gap / p >= 1.5 AND gap / p < 100")
 def a_missed_edges(spark, d):
-    return edges.edge_report(adapters.edges(spark, d), period(spark, d)).select("n_missed_gaps")
+    counts = edges.gap_counts(adapters.edges(spark, d))
+    return edges.edge_report(adapters.edges(spark, d), edges.measure_period(None, counts=counts), counts=counts).select("n_missed_gaps")
 
 
 @query(
@@ -183,7 +185,8 @@ def a_missed_edges(spark, d):
 FROM (SELECT any_value(p) AS period_ns, stddev_pop(gap) AS sd, count(*) AS n, count(*) FILTER (gap / p >= 1.5 AND gap / p < 100) AS n_missed_gaps, CAST(coalesce(sum(round_even(gap / p - 1, 0)) FILTER (gap / p >= 1.5 AND gap / p < 100), 0) AS BIGINT) AS n_missing, sum(gap) AS span_ns FROM gaps, per)""",
 )
 def a_report(spark, d):
-    return edges.edge_report(adapters.edges(spark, d), period(spark, d))
+    counts = edges.gap_counts(adapters.edges(spark, d))
+    return edges.edge_report(adapters.edges(spark, d), edges.measure_period(None, counts=counts), counts=counts)
 
 
 @query("gaps", f"SELECT bin, count(*) AS n FROM (SELECT {bins_sql('gap', '0.0::DOUBLE', '9000.0::DOUBLE', 200)} AS bin FROM gaps) WHERE bin IS NOT NULL GROUP BY bin")
@@ -392,7 +395,7 @@ def h_report(spark, d):
 
 
 def _boosted(spark, d):
-    rows = learning.time_block_split(learning.labelled(labels(spark, d))).persist()
+    rows = fn.saved(learning.time_block_split(learning.labelled(labels(spark, d))))
     return rows, learning.fit_boosted(rows)
 
 
@@ -490,10 +493,9 @@ def _perceptron(spark, d):
     lab = labels(spark, d)
     rows = patches.aligned(patches.dense(sparse(spark, d)), lab, features.PATCH_SCALARS).where("hard_label >= 0")
     rows = rows.withColumn("scalars", F.array(*features.PATCH_SCALARS))
-    from pyspark.ml.functions import array_to_vector
-
-    rows = learning.time_block_split(rows.withColumns({c: array_to_vector(c) for c in ("ch0", "ch1", "scalars")})).persist()
-    model = learning.fit_perceptron(rows.where("split = 'train'"), ["ch0", "ch1", "scalars"], "hard_label", len(MEANS) + 1)
+    rows = learning.time_block_split(rows.withColumns({c: array_to_vector(c) for c in ("ch0", "ch1", "scalars")}))
+    rows = fn.saved(rows)
+    model = learning.fit_perceptron(rows.where("split = 'train'"), ["ch0", "ch1", "scalars"], "hard_label", len(MEANS) + 1, val=rows.where("split = 'val'"))
     return model.transform(rows)
 
 
@@ -504,8 +506,6 @@ def i_mlp(spark, d):
 
 @query()
 def i_temperature(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     scored = _perceptron(spark, d).where("split = 'val'").withColumn("logits", vector_to_array("rawPrediction"))
     return spark.createDataFrame([(learning.temperature(scored, "logits", "hard_label"),)], "temperature double")
 
