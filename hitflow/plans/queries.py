@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,9 +32,9 @@ CTE = {
     list_distinct([a.c for a in f.m if abs(a.x - n.x) <= {d} and abs(a.y - n.y) <= {d} and n.t - {edge}([b.t for b in f.m if b.c = a.c]) <= {dt}]) AS hc
     FROM fold f JOIN numbered n ON f.epoch = n.epoch AND n.k = f.k + 1))""",
     "members": "SELECT epoch, unnest(m) AS e FROM (SELECT epoch, arg_max(m, k) AS m FROM fold GROUP BY epoch)",
-    "labelled": "SELECT epoch, e.c AS c, e.x AS x_pix, e.y AS y_pix, e.t AS time_ns, e.tot AS tot FROM members",
+    "labelled": "SELECT epoch, e.c AS c, e.x AS x_pix, e.y AS y_pix, e.t AS time_ns, e.tot AS tot, e.g AS g FROM members",
     "ids": "SELECT epoch, c, row_number() OVER (ORDER BY t0, x0, y0) - 1 AS cluster_id FROM (SELECT epoch, c, min(time_ns) AS t0, arg_min(x_pix, (time_ns, x_pix, y_pix)) AS x0, arg_min(y_pix, (time_ns, x_pix, y_pix)) AS y0 FROM labelled GROUP BY epoch, c)",
-    "clustered": "SELECT cluster_id, time_ns, x_pix, y_pix, tot FROM labelled JOIN ids USING (epoch, c)",
+    "clustered": "SELECT cluster_id, time_ns, x_pix, y_pix, tot, g FROM labelled JOIN ids USING (epoch, c)",
     "sums": """SELECT given_id AS cluster_id, count(*) AS n_pixels, min(time_ns) AS t_min, max(time_ns) AS t_max, CAST(sum(tot) AS HUGEINT) AS s, CAST(sum(tot * x_pix) AS HUGEINT) AS sx, CAST(sum(tot * y_pix) AS HUGEINT) AS sy,
   CAST(sum(tot * x_pix * x_pix) AS HUGEINT) AS sxx, CAST(sum(tot * x_pix * y_pix) AS HUGEINT) AS sxy, CAST(sum(tot * y_pix * y_pix) AS HUGEINT) AS syy, max(tot) AS tm,
   max(x_pix) - min(x_pix) + 1 AS bw, max(y_pix) - min(y_pix) + 1 AS bh, arg_max(time_ns, (tot, -time_ns)) AS t_argmax_tot FROM hits GROUP BY given_id""",
@@ -356,6 +357,12 @@ def f_confidence_hist(spark, d):
     return mixture.confidence_histogram(labels(spark, d))
 
 
+@query(f"e{STEPS}", f"SELECT round(x, 6) AS x, round((w0 * exp(((x - m0) / s0) * ((x - m0) / s0) * -0.5) / (s0 * 2.5066282746310002) + w1 * exp(((x - m1) / s1) * ((x - m1) / s1) * -0.5) / (s1 * 2.5066282746310002) + wb / p) * n * p / 199, 6) AS expected FROM (SELECT i * (p / 999) AS x, e.*, (SELECT count(*) FROM xs) AS n FROM e{STEPS} e, range(1000) AS r(i))")
+def f_fit_curve(spark, d):
+    own, m = fitted(spark, d)
+    return mixture.fit_curve(own, m)[1].select(*six("x", "expected"))
+
+
 # --- splits and measures
 
 
@@ -441,12 +448,35 @@ def g_morphology_hist(spark, d):
     return contamination.morphology_histograms(labels(spark, d), "tot_sum", 0.0, 5000.0)
 
 
-@query()
+BIMODAL_STEPS = 10
+
+
+def _bimodality_sql() -> str:
+    """One and two Gaussians per class and feature, compared by BIC, with a fixed number of steps; a CTE for each step."""
+    tidy = " UNION ALL ".join(f"SELECT hard_label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM lab WHERE hard_label >= 0" for f in contamination.MORPHOLOGY)
+    log_p = lambda w, m, v: f"ln({w}) - (x - {m}) * (x - {m}) / (2 * {v}) - ln({v} * {2 * math.pi!r}) / 2"
+    ctes = [
+        f"tidy AS MATERIALIZED ({tidy})",
+        "bx AS MATERIALIZED (SELECT hard_label, feature, ln(1 + (value - low + 1e-3)) AS x FROM tidy JOIN (SELECT hard_label, feature, min(value) AS low FROM tidy GROUP BY ALL HAVING count(*) >= 10) USING (hard_label, feature))",
+        "b_one AS MATERIALIZED (SELECT hard_label, feature, CAST(count(*) AS DOUBLE) AS n, greatest(avg(x * x) - avg(x) * avg(x), 1e-6) AS v, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.9) AS b FROM bx GROUP BY ALL)",
+        "b0 AS (SELECT hard_label, feature, n, 0.5::DOUBLE AS w, a AS m1, b AS m2, v AS v1, v AS v2, 0.0::DOUBLE AS ll FROM b_one)",
+    ]
+    for i in range(1, BIMODAL_STEPS + 1):
+        ctes.append(f"""b{i} AS MATERIALIZED (SELECT hard_label, feature, n, least(1 - 1e-6, greatest(1e-6, s1 / n)) AS w, m1, m2, greatest(1e-6, q1 / s1 - m1 * m1) AS v1, greatest(1e-6, q2 / s2 - m2 * m2) AS v2, ll
+  FROM (SELECT *, x1 / s1 AS m1, x2 / s2 AS m2 FROM (SELECT hard_label, feature, any_value(n) AS n, sum(l) AS ll, sum(g) AS s1, sum(g * x) AS x1, sum(g * x * x) AS q1, sum(1 - g) AS s2, sum((1 - g) * x) AS x2, sum((1 - g) * x * x) AS q2
+  FROM (SELECT *, exp(l1 - l) AS g FROM (SELECT *, greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2))) AS l FROM (SELECT bx.*, n, {log_p("w", "m1", "v1")} AS l1, {log_p("(1 - w)", "m2", "v2")} AS l2 FROM bx JOIN b{i - 1} USING (hard_label, feature)))) GROUP BY hard_label, feature)))""")
+    return ", " + ",\n".join(ctes) + f"""
+SELECT hard_label, feature, CAST(n AS BIGINT) AS n, round(bic_1, 3) AS bic_1, round(bic_2, 3) AS bic_2, round(CASE WHEN bic_2 < bic_1 - 2 THEN least(w, 1 - w) ELSE 0.0 END, 5) AS minority_fraction, bic_2 < bic_1 - 2 AS bimodal
+FROM (SELECT f.hard_label, f.feature, o.n, f.w, 2 * ln(o.n) + o.n * (ln({2 * math.pi!r} * o.v) + 1) AS bic_1, 5 * ln(o.n) - 2 * f.ll AS bic_2 FROM b{BIMODAL_STEPS} f JOIN b_one o USING (hard_label, feature))"""
+
+
+@query("lab", _bimodality_sql())
 def g_bimodality(spark, d):
-    return contamination.bimodality(labels(spark, d), iterations=10)
+    found = contamination.bimodality(labels(spark, d), iterations=BIMODAL_STEPS)
+    return found.withColumns({"bic_1": F.round("bic_1", 3), "bic_2": F.round("bic_2", 3), "minority_fraction": F.round("minority_fraction", 5)})
 
 
-@query()
+@query("clustered", "SELECT cluster_id, arg_min(g, (-n, g)) AS truth_id FROM (SELECT cluster_id, g, count(*) AS n FROM clustered GROUP BY cluster_id, g) GROUP BY cluster_id")
 def g_truth_matched(spark, d):
     return contamination.match_truth(clustering.cluster_hits(hits(spark, d)))
 
@@ -489,6 +519,33 @@ def i_reliability(spark, d):
     return learning.reliability(ruled(spark, d).where("hard_label >= 0"), "label_confidence", F.col("hard_label") == F.col("predicted_label"))
 
 
+@query("patch", "SELECT cluster_id, round(sum(ch0), 6) AS ch0, sum(ch1) AS ch1, any_value(n_pixels) AS n_pixels, any_value(tot_sum) AS tot_sum, any_value(tot_max) AS tot_max, round(any_value(eccentricity), 6) AS eccentricity, any_value(hard_label) AS hard_label, round(any_value(posterior_background), 6) AS posterior_background FROM patch JOIN lab USING (cluster_id) GROUP BY cluster_id")
+def i_aligned(spark, d):
+    """Patches with their scalars and labels; of each channel its sum."""
+    rows = patches.aligned(patches.dense(sparse(spark, d)), labels(spark, d).withColumn("n_pixels", F.col("n_pixels").cast("long")), features.PATCH_SCALARS)
+    whole = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rows.select("cluster_id", F.round(whole("ch0"), 6).alias("ch0"), whole("ch1").alias("ch1"), F.col("n_pixels").cast("long").alias("n_pixels"), "tot_sum", "tot_max", *six("eccentricity"), "hard_label", *six("posterior_background"))
+
+
+def _temperature_sql(steps: int = 40, low: float = 0.05, high: float = 10.0) -> str:
+    """The grid search on fixed logits: the best of a geometric grid, then of one between its neighbours."""
+    grid = lambda lo, hi, src: f"SELECT i, {lo} * pow({hi} / {lo}, i / {steps - 1}.0::DOUBLE) AS t FROM range({steps}) AS r(i){src}"
+    best = lambda g: f"SELECT arg_min(i, (loss, i)) AS i FROM (SELECT i, avg(ln(exp((l0 - top) / t) + exp((l1 - top) / t) + exp((l2 - top) / t)) - (own - top) / t) AS loss FROM logits, {g} GROUP BY i)"
+    return f""", logits AS MATERIALIZED (SELECT *, greatest(l0, l1, l2) AS top, CASE hard_label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END AS own FROM (SELECT hard_label, (250 - folded_tof_ns) / 40 AS l0, (folded_tof_ns - 175) / 40 AS l1, abs(folded_tof_ns - 220) / 90 AS l2 FROM lab WHERE hard_label >= 0)),
+g1 AS MATERIALIZED ({grid(f"{low}::DOUBLE", f"{high}::DOUBLE", "")}), k1 AS ({best("g1")}),
+ends AS (SELECT (SELECT t FROM g1 WHERE g1.i = greatest(0, k1.i - 1)) AS lo, (SELECT t FROM g1 WHERE g1.i = least({steps - 1}, k1.i + 1)) AS hi FROM k1),
+g2 AS MATERIALIZED ({grid("lo", "hi", ", ends")}), k2 AS ({best("g2")})
+SELECT round(greatest(1e-3, t), 9) AS temperature FROM g2 JOIN k2 ON g2.i = k2.i"""
+
+
+@query("lab", _temperature_sql())
+def i_temperature_fixed(spark, d):
+    """The temperature of fixed logits, which SQL can give too."""
+    x = F.col("folded_tof_ns")
+    scored = fn.saved(learning.labelled(labels(spark, d)).select("hard_label", F.array((250 - x) / 40, (x - 175) / 40, F.abs(x - 220) / 90).alias("logits")))
+    return spark.createDataFrame([(round(learning.temperature(scored, "logits", "hard_label"), 9),)], "temperature double")
+
+
 def _perceptron(spark, d):
     lab = labels(spark, d)
     rows = patches.aligned(patches.dense(sparse(spark, d)), lab, features.PATCH_SCALARS).where("hard_label >= 0")
