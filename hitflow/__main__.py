@@ -1,4 +1,7 @@
-"""python -m hitflow run --hits FILE --edges FILE --out FOLDER [--config FILE], or --synth NS in place of files."""
+"""python -m hitflow run --hits FILE --edges FILE --out FOLDER [--config FILE], or --synth NS in place of files.
+
+With --raw MODULE:FUNCTION, --hits names raw files (comma-separated) that the function reads.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +11,27 @@ from pyspark.sql import SparkSession
 
 from .operators import synth
 from .plans import pipeline
-from .sources import Config, choose_source, load_config
+from .sources import Config, choose_source, load_config, load_edges, load_raw
 
 
 def main(argv: list[str] | None = None) -> str:
     p = argparse.ArgumentParser(prog="hitflow", description=__doc__)
     p.add_argument("command", choices=["run"])
-    for name in ("--hits", "--edges", "--config"):
+    for name in ("--hits", "--edges", "--config", "--raw"):
         p.add_argument(name)
     p.add_argument("--out", required=True)
     p.add_argument("--synth", type=float, default=3e6, help="length of generated data in ns")
     p.add_argument("--synth-only", action="store_true")
     p.add_argument("--no-classifier", action="store_true")
+    p.add_argument("--no-network", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("hitflow").getOrCreate()
     config = load_config(a.config) if a.config else Config()
     generate = lambda s: (synth.synth_hits(s, a.synth, config.seed)[0], synth.synth_edges(s, a.synth, seed=config.seed))
-    hits, pulses = choose_source(spark, None, a.hits, a.edges, generate, a.synth_only)
-    text = pipeline.markdown(pipeline.run(hits, pulses, a.out, config, not a.no_classifier))
+    raw = (lambda s: (load_raw(s, a.hits.split(","), a.raw), load_edges(s, a.edges))) if a.raw else None
+    hits, pulses = choose_source(spark, raw, a.hits, a.edges, generate, a.synth_only)
+    out = pipeline.run(hits, pulses, a.out, config, not a.no_classifier, network=not a.no_network)
+    text = pipeline.markdown(out) + "\n" + pipeline.diagnostics(out)
     print(text)
     return text
 

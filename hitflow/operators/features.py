@@ -52,3 +52,8 @@ def merge_features(clusters: DataFrame, features: DataFrame, id_col: str = "clus
 
 def timewalk_histogram(features: DataFrame) -> DataFrame:
     return histogram(features, clip(F.col("dt_min_vs_argmax"), -200.0, 2000.0), -200.0, 2000.0, 100)
+
+
+def timewalk_points(features: DataFrame) -> DataFrame:
+    """(tot_sum, tot_max, dt_min_vs_argmax) of each cluster: the scatter beside the histogram."""
+    return features.select("cluster_id", "tot_sum", "tot_max", "dt_min_vs_argmax")

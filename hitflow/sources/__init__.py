@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import require
+from ..operators import quality
 
 HITS = T.StructType([T.StructField("x_pix", T.IntegerType()), T.StructField("y_pix", T.IntegerType()), T.StructField("time_ns", T.DoubleType()), T.StructField("tot", T.IntegerType())])
 EDGES = T.StructType([T.StructField("time_ns", T.DoubleType())])
@@ -42,13 +45,22 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, k in kinds.items() if isinstance(k, T.DoubleType)})
 
 
-def load_hits(spark: SparkSession, path: str, column_map: dict[str, str] | None = None) -> DataFrame:
+def load_hits(spark: SparkSession, path: str, column_map: dict[str, str] | None = None, check: bool = True) -> DataFrame:
     df = read_table(spark, path, HITS).withColumnsRenamed(column_map or {})
-    return _typed(require(df, {"x_pix", "y_pix", "time_ns"}, "hits"), HITS)
+    return _checked(_typed(require(df, {"x_pix", "y_pix", "time_ns"}, "hits"), HITS), path, check)
 
 
-def load_edges(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(require(read_table(spark, path, EDGES), {"time_ns"}, "edges"), EDGES)
+def load_edges(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    return _checked(_typed(require(read_table(spark, path, EDGES), {"time_ns"}, "edges"), EDGES), path, check)
+
+
+def _checked(df: DataFrame, path: str, check: bool) -> DataFrame:
+    """Warns of times out of order (by `arrival` where the table has it, else by place in the files) and of spans that cannot be; never fails."""
+    if check:
+        rows = df if "arrival" in df.columns else df.withColumn("arrival", F.monotonically_increasing_id())
+        for said in quality.warnings(rows, "time_ns", "arrival"):
+            warnings.warn(f"{path}: {said}", stacklevel=3)
+    return df
 
 
 def choose_source(spark: SparkSession, raw: Callable | None, hits_path: str | None, edges_path: str | None, synth: Callable, synth_only: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -62,14 +74,14 @@ def choose_source(spark: SparkSession, raw: Callable | None, hits_path: str | No
 
 class RawHits(DataSource):
     """spark.read.format("rawhits").option("reader", "module:function").load(path): `function(path)` yields
-    tuples of (x_pix, y_pix, time_ns, tot); each comma-separated path is one partition."""
+    tuples of (x_pix, y_pix, time_ns, tot), or of the columns that option "schema" declares; each comma-separated path is one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "rawhits"
 
-    def schema(self) -> T.StructType:
-        return HITS
+    def schema(self) -> T.StructType | str:
+        return self.options.get("schema") or HITS
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _RawReader(self.options)
@@ -94,10 +106,12 @@ class _RawReader(DataSourceReader):
         yield from getattr(importlib.import_module(module), function)(partition.path)
 
 
-def load_raw(spark: SparkSession, paths: list[str], reader: str, column_map: dict[str, str] | None = None) -> DataFrame:
+def load_raw(spark: SparkSession, paths: list[str], reader: str, column_map: dict[str, str] | None = None, schema: str | None = None) -> DataFrame:
+    """Raw files through a reader function; `schema` declares its columns where they are not those of hits, and `column_map` renames them."""
     spark.dataSource.register(RawHits)
-    df = spark.read.format("rawhits").option("reader", reader).load(",".join(paths)).withColumnsRenamed(column_map or {})
-    return require(df, {"x_pix", "y_pix", "time_ns"}, "raw hits")
+    source = spark.read.format("rawhits").option("reader", reader)
+    df = (source.option("schema", schema) if schema else source).load(",".join(paths)).withColumnsRenamed(column_map or {})
+    return _typed(require(df, {"x_pix", "y_pix", "time_ns"}, "raw hits"), HITS)
 
 
 def write_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
@@ -116,9 +130,10 @@ def load_period(spark: SparkSession, folder: str, override: float | None = None)
     if override is not None:
         return float(override)
     try:
-        return float(spark.read.json(f"{folder}/edge_report.json").first()["period_ns"])
-    except Exception as e:
+        report = spark.read.json(f"{folder}/edge_report.json")
+    except AnalysisException as e:
         raise FileNotFoundError(f"no edge report in {folder}") from e
+    return float(report.first()["period_ns"])
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hitflow import functions as fn
 from hitflow import sources
-from hitflow.operators import contamination, edges, features, learning, mixture, patches, quality, synth, tof
+from hitflow.operators import clustering, contamination, edges, features, learning, mixture, patches, quality, synth, tof
 from hitflow.plans import pipeline
 from hitflow.streaming import stream_clusters
 from pyspark.sql import functions as F
@@ -153,6 +153,17 @@ def test_generator_and_run(spark, tmp_path):
     assert abs(sources.load_period(spark, str(tmp_path)) - 1785) < 1
     assert out["clusters"].where("tof_valid and not folded_tof_ns between 0 and 1786").count() == 0
     assert "## counts" in pipeline.markdown(out)
+    text = pipeline.diagnostics(out)
+    assert "## bimodality" in text and "## reliability" in text and "Not measured" in text
+    scored = {r.cluster_id: r.predicted_label for r in out["clusters"].where("hard_label >= 0").collect()}
+    kept = learning.load_model(f"{tmp_path}/boosted.model")
+    again = learning.predict(out["clusters"].drop("predicted_label"), kept).where("hard_label >= 0").collect()
+    assert len(scored) > 100 and {r.cluster_id: r.predicted_label for r in again} == scored
+    network = learning.load_model(f"{tmp_path}/network.model")
+    rows = spark.read.parquet(f"{tmp_path}/aligned.parquet").where("split = 'test'")
+    right = network.transform(rows).where("prediction = hard_label").count() / rows.count()
+    accuracy = out["network_scores"].where("class = 'accuracy'").first()
+    assert right == pytest.approx(accuracy.recall, abs=1e-5)
     with pytest.raises(RuntimeError, match="no cluster"):
         synth.synth_hits(spark, 1.0)
 
@@ -172,3 +183,37 @@ def test_stream_gives_the_clusters_of_the_batch(spark, tmp_path):
     q.stop()
     columns = ["n_pixels", "t_min", "t_max", "tot_sum"]
     assert sorted(map(tuple, spark.table("live").select(columns).collect())) == sorted(map(tuple, stream_clusters(hits).select(columns).collect()))
+
+
+def test_labels_agree_with_the_truth_of_generated_data(spark):
+    """The background's share of labels is near the share of clusters that wrapped by the generator's truth."""
+    hits, truth = synth.synth_hits(spark, 3e6)
+    pulses = synth.synth_edges(spark, 3e6)
+    clusters = tof.attach_tof(features.cluster_features(synth_clusters := clustering.cluster_hits(hits)), pulses, 1785.0)
+    labelled, _ = mixture.label_clusters(clusters, 1785.0, [175.0, 250.0], [20.0, 20.0], 50)
+    known = labelled.where("hard_label >= 0")
+    background = known.agg(F.avg((F.col("hard_label") == 2).cast("int"))).first()[0]
+    wrapped = truth.agg(F.avg((F.col("wrap_count") > 0).cast("int"))).first()[0]
+    assert abs(background - wrapped) < 0.25
+    if hits.where("given_id is not null").count():
+        matched = contamination.match_truth(synth_clusters)
+        assert matched.count() == matched.select("cluster_id").distinct().count()
+
+
+def test_checks_on_load_and_raw_columns(spark, tmp_path):
+    times(spark, [5e9 - i * 1e6 for i in range(50)]).coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    with pytest.warns(UserWarning, match="time order"):
+        sources.load_edges(spark, str(tmp_path / "e.parquet"))
+    assert sources.load_edges(spark, str(tmp_path / "e.parquet"), check=False).count() == 50
+    (tmp_path / "rawpart.py").write_text("def read(path):\n    yield (1, 2, 3.0, int(path))\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "rawpart.py"))
+    df = sources.load_raw(spark, ["7", "8"], "rawpart:read", {"col": "x_pix", "row": "y_pix"}, "col int, row int, time_ns double, tot int")
+    assert sorted(map(tuple, df.collect())) == [(1, 2, 3.0, 7), (1, 2, 3.0, 8)]
+
+
+def test_soft_labels_and_early_stop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x), float(y), int(x + y > 0), 0.9 if x + y <= 0 else 0.1, 0.9 if x + y > 0 else 0.1) for x, y in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "x double, y double, hard_label int, p0 double, p1 double")
+    model = learning.fit_perceptron(df.limit(200), ["x", "y"], "hard_label", 2, hidden=4, steps=60, val=df.offset(200), round_steps=15, soft=["p0", "p1"])
+    assert model.transform(df).where("prediction = hard_label").count() >= 280
