@@ -30,7 +30,12 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ("symbols", "capitals", "distinct", "length", "size")
 BIN_COUNT = 16
 ROUND = 3
-GAP = 1e-3
+GAP = 3e-3
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once for each row: the optimiser copies a plain expression to every place that names it."""
+    return df.withColumn("once", F.explode_outer(F.array(value))).withColumn(name, F.col("once")).drop("once")
 
 
 def tokens(text: Column) -> Column:
@@ -60,7 +65,7 @@ def _binned(df: DataFrame) -> DataFrame:
 def document_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_tokens, bins) of each row. The texts are read here once and nowhere else."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _binned(rows.withColumn("tok", tokens(F.col("text"))))
+    return _binned(_once(rows, "tok", tokens(F.col("text"))))
 
 
 def fit_domains(features: DataFrame, labelled: DataFrame, id_col: str, domain_col: str) -> dict:
@@ -83,50 +88,49 @@ def posteriors(features: DataFrame, model: dict) -> DataFrame:
             total = float(sum(row))
             w = w + F.get(F.array(*(F.log(F.lit(x / total)) for x in row)), F.get("bins", F.lit(i)))
         weights.append(w)
-    scored = features.withColumn("score", F.array(*weights))
-    scored = scored.withColumn("score", F.transform("score", lambda s: F.exp(s - F.array_max("score"))))
-    total = F.aggregate("score", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("post", F.transform("score", lambda s: F.round(s / total, ROUND))).drop("score")
+    scored = _once(features, "score", F.array(*weights)).withColumn("top", F.array_max("score"))
+    scored = _once(scored, "score", F.transform("score", lambda s: F.exp(s - F.col("top"))))
+    scored = _once(scored, "whole", F.aggregate("score", F.lit(0.0), lambda a, x: a + x))
+    return _once(scored, "post", F.transform("score", lambda s: F.round(s / F.col("whole"), ROUND))).drop("score", "top", "whole")
 
 
-def _rate(history: list[tuple[list[float], float]], have: list[float], high: float, at: str) -> Column:
-    """The rate (or the extrapolated point) of a posterior after the steps of history (a relative gap per domain, and momentum)."""
-    step = "array<struct<g:array<double>,beta:double>>"
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not history:
-        return start[at]
-    past = F.array(*(F.struct(F.array(*(F.lit(x) for x in g)).alias("g"), F.lit(b).alias("beta")) for g, b in history)).cast(step)
-    share = F.zip_with("post", F.array(*(F.lit(1.0 / h if h > 0 else 0.0) for h in have)), lambda p, u: p * u)
-    whole = F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
-    share = F.transform(share, lambda x: F.when(whole > 0, x / whole).otherwise(0.0))
+def _with_share(df: DataFrame, have: list[float]) -> DataFrame:
+    """Adds share: how a row's step is averaged over its domains, by posterior relative to the domain's tokens."""
+    df = _once(df, "share", F.zip_with("post", F.array(*(F.lit(1.0 / h if h > 0 else 0.0) for h in have)), lambda p, u: p * u))
+    df = _once(df, "whole", F.aggregate("share", F.lit(0.0), lambda a, x: a + x))
+    return _once(df, "share", F.transform("share", lambda x: F.when(F.col("whole") > 0, x / F.col("whole")).otherwise(0.0))).drop("whole")
 
-    def move(state: Column, h: Column) -> Column:
-        down = F.aggregate(F.zip_with(share, h["g"], lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-        r = F.least(F.greatest(state["y"] - down, F.lit(0.0)), F.lit(high))
-        return F.struct(r.alias("r"), (r + h["beta"] * (r - state["r"])).alias("y"))
 
-    return F.aggregate(past, start, move)[at]
+def _rate(history: list[tuple[list[float], float]], high: float, at: str) -> Column:
+    """The rate (or the extrapolated point) of a row's share after the steps of history (a relative gap per domain, and momentum)."""
+    if not history:
+        return F.lit(1.0)
+    past = ", ".join(f"struct(array({', '.join(f'{x!r}D' for x in g)}) AS g, {b!r}D AS beta)" for g, b in history)
+    # r follows y - step, cut at 0 and at the highest rate; y is extrapolated from r.
+    return F.expr(f"""aggregate(array({past}), struct(1.0D AS r, 1.0D AS y), (s, h) ->
+        element_at(transform(array(least(greatest(s.y - aggregate(zip_with(share, h.g, (p, g) -> p * g), 0.0D, (a, x) -> a + x), 0.0D), {high!r}D)), r -> struct(r AS r, r + h.beta * (r - s.r) AS y)), 1)).{at}""")
 
 
 def fit_rates(groups: DataFrame, have: list[float], targets: list[float], max_rate: float | None = None, steps: int = 60) -> list:
-    """The steps (relative gap per domain, momentum) that lead to the rates; `groups` has post and its tokens, `have` each domain's tokens."""
+    """The steps (relative gap per domain, momentum) that lead to the rates; `groups` has post, share and tokens, `have` each domain's tokens."""
     k, high, history, t = len(targets), float(max_rate or 1e18), [], 1.0
-    scale = [max(h, t) or 1.0 for h, t in zip(have, targets, strict=True)]
-    best = None
+    before, idle = None, 0
     for _ in range(steps):
-        at = groups.select("tokens", "post", _rate(history, have, high, "y").alias("y"), _rate(history, have, high, "r").alias("r"))
-        sums = at.agg(*(F.sum(F.col("tokens") * F.col(c) * F.get("post", F.lit(i))) for c in ("y", "r") for i in range(k))).first()
-        gaps = [(x or 0.0) - t for x, t in zip(sums, [*targets, *targets], strict=True)]
-        size = max(abs(g) / s for g, s in zip(gaps[k:], scale, strict=True))
+        at = groups.select("tokens", "post", _rate(history, high, "y").alias("y"))
+        sums = at.agg(*(F.sum(F.col("tokens") * F.col("y") * F.get("post", F.lit(i))) for i in range(k))).first()
+        gap = [((x or 0.0) - t) / h if h > 0 else 0.0 for x, t, h in zip(sums, targets, have, strict=True)]
+        size = max(map(abs, gap))
         if size < GAP:
             return history
-        if best is not None and size > best * (1 - 1e-3) and len(history) > 12:
+        value = sum(g * g for g in gap)
+        idle = idle + 1 if before is not None and value > before * (1 - 2e-2) else 0
+        if idle == 4:
             break
-        best = size if best is None else min(size, best)
+        before = value
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        history.append(([g / h if h > 0 else 0.0 for g, h in zip(gaps[:k], have, strict=True)], (t - 1) / after))
+        history.append((gap, (t - 1) / after))
         t = after
-    warnings.warn(f"mixing: a domain stays {size:.2%} off its target", stacklevel=2)
+    warnings.warn(f"mixing: a domain stays {size:.2%} of its tokens off its target", stacklevel=2)
     return history
 
 
@@ -138,7 +142,7 @@ def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], dom
     if not names:
         return features, None
     scored = posteriors(features, model)
-    groups = saved(scored.groupBy("post").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    groups = saved(scored.groupBy("post").agg(F.sum("n_tokens").cast("double").alias("tokens")))  # few rows: posteriors are rounded
     have = [float(x or 0.0) for x in groups.agg(*(F.sum(F.col("tokens") * F.get("post", F.lit(i))) for i in range(len(names)))).first()]
     wanted = {d: float(w) for d, w in weights.items() if w > 0}
     if lost := sorted(d for d in wanted if d not in names or not have[names.index(d)]):
@@ -146,13 +150,13 @@ def _fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], dom
         wanted = {d: w for d, w in wanted.items() if d not in lost}
     share = [wanted.get(d, 0.0) / (sum(wanted.values()) or 1.0) for d in names]
     total = total_tokens or min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=sum(have))
-    return features, model | {"have": have, "steps": fit_rates(groups, have, [s * total for s in share], max_rate) if wanted else [], "high": float(max_rate or 1e18)}
+    return features, model | {"have": have, "steps": fit_rates(saved(_with_share(groups, have)), have, [s * total for s in share], max_rate) if wanted else [], "high": float(max_rate or 1e18)}
 
 
 def _rated(features: DataFrame, model: dict, seed: int) -> DataFrame:
     """Adds post, rate and copies."""
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rated = posteriors(features, model).withColumn("rate", F.round(_rate(model["steps"], model["have"], model["high"], "r"), 9))
+    rated = _once(_with_share(posteriors(features, model), model["have"]), "rate", F.round(_rate(model["steps"], model["high"], "r"), 9)).drop("share")
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
@@ -187,7 +191,8 @@ def resampled(
         return docs
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rated = _rated(_binned(own.withColumn("tok", tokens(F.col("text")))), model, seed).where("copies > 0")
+    binned = _binned(_once(own, "tok", tokens(F.col("text"))))
+    rated = _rated(_once(binned, "bins", F.col("bins")), model, seed).where("copies > 0")
     if max_rate is None or max_rate > 1:
         rated = rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rated.select(*(F.col(n).alias(c) for c, n in names.items()))
