@@ -41,12 +41,6 @@ class Node:
     cut: int | None = None
     children: list[Node] = field(default_factory=list)
 
-    def place(self) -> Column:
-        """The name of the leaf that a unit falls into."""
-        if not self.children:
-            return F.lit(self.name)
-        return F.when(F.col(self.dim) < F.lit(self.cut), self.children[0].place()).otherwise(self.children[1].place())
-
     def leaves(self) -> list[Node]:
         return [self] if not self.children else [x for c in self.children for x in c.leaves()]
 
@@ -79,16 +73,17 @@ def _coordinates(units: DataFrame) -> DataFrame:
     return units.withColumns({k: (c.cast("long") * F.lit(1 << _LOW_BITS) + tie).cast("long") for k, c in where.items()})
 
 
-def _by_node(nodes: list[Node], pick) -> Column:
-    out = F.lit(None)
+def _by_node(nodes: list[Node], pick, other: Column | None = None) -> Column:
+    """A value for each node, in one flat CASE."""
+    out = F.when(F.lit(False), pick(nodes[0]))
     for n in nodes:
-        out = F.when(F.col("node") == n.name, pick(n)).otherwise(out)
-    return out
+        out = out.when(F.col("node") == n.name, pick(n))
+    return out.otherwise(F.lit(None) if other is None else other)
 
 
-def _split_level(units: DataFrame, root: Node, nodes: list[Node], room: dict[int, float], tolerance: float) -> None:
+def _split_level(units: DataFrame, nodes: list[Node], room: dict[int, float], tolerance: float) -> None:
     """Cut every node of the list; two or three aggregates for all of them."""
-    at = units.withColumn("node", root.place()).where(F.col("node").isin([n.name for n in nodes]))
+    at = units.where(F.col("node").isin([n.name for n in nodes]))
     aggs = [f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)]
     seen = {r["node"]: r for r in at.groupBy("node").agg(F.sum("bytes").alias("w"), *aggs).collect()}
     todo = {}
@@ -127,15 +122,18 @@ def _split_level(units: DataFrame, root: Node, nodes: list[Node], room: dict[int
         open_ = still
 
 
-def kd_tree(units: DataFrame, room: dict[int, float]) -> Node:
-    """Split units (bytes and the coordinates) among the shards of `room` in proportion to their room."""
+def kd_tree(units: DataFrame, room: dict[int, float]) -> tuple[Node, DataFrame]:
+    """Split units (bytes and the coordinates) among the shards of `room` in proportion to their room: the tree, and the units with
+    their leaf as node. Each level is written before the next, so no plan holds more than one level's cuts."""
     root, target = Node(sorted(room), 1), sum(room.values()) / max(1, len(room))
+    units = units.withColumn("node", F.lit(1))
     while nodes := [n for n in root.leaves() if len(n.shards) > 1]:
-        _split_level(units, root, nodes, room, target / 500)
+        _split_level(units, nodes, room, target / 500)
         for n in nodes:
             half = len(n.shards) // 2
             n.children = [Node(n.shards[:half], 2 * n.name), Node(n.shards[half:], 2 * n.name + 1)]
-    return root
+        units = saved(units.withColumn("node", _by_node(nodes, lambda n: F.when(F.col(n.dim) < F.lit(n.cut), 2 * n.name).otherwise(2 * n.name + 1), F.col("node"))))
+    return root, units
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", overhead: int = 16) -> DataFrame:
@@ -171,12 +169,10 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         load[s] += u["bytes"]
         fixed.append((u["text_hash"], u["text_crc32"], u["size"], u["part"], s))
     small = saved(units.where(F.col("bytes") <= target / 20))
-    tree = kd_tree(small, {s: max(0.0, target - w) for s, w in load.items()})
-    shard_of = F.lit(None)
-    for leaf in tree.leaves():
-        shard_of = F.when(F.col("node") == leaf.name, leaf.shards[0]).otherwise(shard_of)
+    tree, small = kd_tree(small, {s: max(0.0, target - w) for s, w in load.items()})
+    shard_of = _by_node(tree.leaves(), lambda leaf: F.lit(leaf.shards[0]))
     key = [*same, "part"]
-    placed = small.withColumn("node", tree.place()).select(*key, shard_of.cast("int").alias("shard"))
+    placed = small.select(*key, shard_of.cast("int").alias("shard"))
     placed = placed.unionByName(docs.sparkSession.createDataFrame(fixed, "text_hash long, text_crc32 long, size long, part int, shard int"))
 
     out = saved(dealt.join(placed, key).select("id", "size", "text_crc32", "text_hash", "shard", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SLICES)).cast("int").alias("slice")))
