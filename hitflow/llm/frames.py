@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,19 @@ def text_volume(df: DataFrame, text_col: str) -> int:
 def group_count(volume: int, per_group: int = 2 << 20, least: int = 64) -> int:
     """How many groups of about `per_group` bytes hold `volume` bytes."""
     return max(least, -(-volume // per_group))
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n", hot: int = 10_000, most: int = 1_000) -> DataFrame:
+    """Inner join of rows with a table of one row per key (nulls are a key like others), however many rows a key has.
+
+    `table` must be computed (saved); its column `count` is the number of rows of the key, and goes. Keys with more than `hot` rows are broadcast,
+    at most `most` of them (the largest): all further keys have few rows or are few enough to matter little, and are shuffled.
+    """
+    first = table.where(F.col(count) > hot).orderBy(F.desc(count), *keys).limit(most)  # broadcast: bounded by `most`
+    table, first = table.drop(count), F.broadcast(first.drop(count))
+    named = lambda t: t.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in t.columns if c not in keys))
+    same = lambda: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    gone = [f"_{k}" for k in keys]
+    large = rows.join(named(first), same()).drop(*gone)
+    small = rows.join(named(first).select(*gone), same(), "left_anti").join(named(table), same()).drop(*gone)
+    return large.unionByName(small)
