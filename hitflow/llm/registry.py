@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, main_text, minhash_dedup, mixing, shards, site_lines, spelling, substring_dedup, toxicity, vector_codes
+from . import decontaminate, embedding_dedup, language_id, main_text, minhash_dedup, mixing, personal_data, shards, site_lines, spelling, substring_dedup, toxicity, vector_codes
 from .frames import prepare
 
 
@@ -82,8 +82,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return personal_data.find(docs, personal_data.fit(personal_data.examples(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_toxicity, op6_main_text, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate, op11_spelling, op12_vector_codes)
+    named = (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_toxicity, op6_main_text, op7_minhash_dedup, op8_site_lines, op9_kd_shards, op10_decontaminate, op11_spelling, op12_vector_codes, op13_personal_data)
     return {f.__name__: f for f in named}
 
 
