@@ -7,17 +7,18 @@ wrong. A gap above the reach between consecutive hits (of any pixel) cuts the ti
 epochs that no cluster crosses. The epochs that begin in one slice of time go through one vectorised
 pass; a slice with more than `LARGE` hits is dealt to several. An epoch with more than `LARGE` hits is split further, in turn by
 the connected components of its pixels (whatever their times) and by gaps above the reach within a
-component, until its parts are small or nothing changes: no cluster crosses either cut.
+component, until its parts are small or nothing changes: no cluster crosses either cut. What stays connected is dealt strip by strip
+of time, and strips hand on their open clusters (`_over_strips`).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import SLICE_NS, require, runs, saved
+from ..functions import SLICE_NS, components, require, runs, saved
 
 LARGE = 200_000
 ROUNDS = 8
@@ -32,22 +33,16 @@ def epochs(hits: DataFrame, dt_ns: float, slice_ns: float = SLICE_NS) -> DataFra
     return runs(_placed(hits), "time_ns", dt_ns, "epoch", slice_ns)
 
 
-def fold_expression(members: str, dt_ns: float, max_gap: int, time_criterion: str) -> Column:
-    """The hits of `members` (sorted structs t, x, y, ...) with the label c of their cluster."""
-    d, edge = max_gap + 1, "array_max" if time_criterion == "chain" else "array_min"
-    step = f"""aggregate({members}, cast(array() as array<struct<t:double,x:int,y:int,tot:int,key:string,c:int>>), (m, h) ->
-      element_at(transform(array(array_distinct(transform(filter(m, a -> abs(a.x - h.x) <= {d} and abs(a.y - h.y) <= {d}
-          and h.t - {edge}(transform(filter(m, b -> b.c = a.c), b -> b.t)) <= {dt_ns!r}D), a -> a.c))), joined ->
-        element_at(transform(array(coalesce(array_min(joined), size(m))), label ->
-          concat(if(size(joined) > 1, transform(m, a -> struct(a.t, a.x, a.y, a.tot, a.key, if(array_contains(joined, a.c), label, a.c) as c)), m),
-                 array(struct(h.t as t, h.x as x, h.y as y, h.tot as tot, h.key as key, label as c)))), 1)), 1))"""
-    return F.expr(step)
+def _labels(x: np.ndarray, y: np.ndarray, t: np.ndarray, dt: float, d: int, chain: bool, carried: tuple | None = None) -> tuple[np.ndarray, dict]:
+    """A cluster label for each time-ordered hit, and the pixels of open footprints with their labels.
 
-
-def _labels(x: np.ndarray, y: np.ndarray, t: np.ndarray, dt: float, d: int, chain: bool) -> np.ndarray:
-    """Cluster label of each time-ordered hit: the open footprints are kept per cell of a coarse grid."""
-    n = len(t)
-    parent, first, last = list(range(n)), t.copy(), t.copy()
+    `carried` has clusters that were open before: (edge of each, x, y and number of each pixel), where the edge is the last time for
+    `chain` and the first for `min`. They are the labels 0, 1, ...; the hits follow. The open footprints are kept per cell of a coarse grid.
+    """
+    edge0, px0, py0, c0 = carried or ((), (), (), ())
+    k, n = len(edge0), len(edge0) + len(t)
+    parent, edge = list(range(n)), [*edge0, *t.tolist()]
+    xs, ys = x.tolist(), y.tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -55,24 +50,27 @@ def _labels(x: np.ndarray, y: np.ndarray, t: np.ndarray, dt: float, d: int, chai
         return i
 
     cells: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
-    for i in range(n):
-        cx, cy, joined = x[i] // d, y[i] // d, {}
+    for px, py, c in zip(px0, py0, c0, strict=True):
+        cells.setdefault((px // d, py // d), {})[px, py] = c
+    for i in range(k, n):
+        hx, hy, now = xs[i - k], ys[i - k], edge[i]
+        cx, cy, joined = hx // d, hy // d, set()
         for u in (cx - 1, cx, cx + 1):
             for v in (cy - 1, cy, cy + 1):
                 cell = cells.get((u, v))
                 for (px, py), j in list(cell.items()) if cell else ():
                     r = root(j)
-                    if t[i] - (last if chain else first)[r] > dt:
-                        if chain:
-                            del cell[px, py]  # it closed for good
-                    elif abs(px - x[i]) <= d and abs(py - y[i]) <= d:
-                        joined[r] = None
+                    if now - edge[r] > dt:
+                        del cell[px, py]  # it closed for good
+                    elif abs(px - hx) <= d and abs(py - hy) <= d:
+                        joined.add(r)
         for r in joined:
-            r = root(r)
             parent[r] = i
-            first[i] = min(first[i], first[r])
-        cells.setdefault((cx, cy), {})[int(x[i]), int(y[i])] = i
-    return np.array([root(i) for i in range(n)])
+            if not chain:
+                edge[i] = min(edge[i], edge[r])
+        cells.setdefault((cx, cy), {})[hx, hy] = i
+    roots = np.array([root(i) for i in range(n)], np.int64)
+    return roots, {p: (int(roots[j]), edge[roots[j]]) for cell in cells.values() for p, j in cell.items()}
 
 
 def _islands(table: pa.Table, d: int) -> pa.Table:
@@ -115,20 +113,126 @@ def _cluster(table: pa.Table, reach: float, d: int, chain: bool) -> pa.Table:
     """The hits of one group with the first hit (in time, then place) of each one's cluster."""
     table = table.sort_by([("t", "ascending"), ("x", "ascending"), ("y", "ascending")])
     x, y, t = (np.asarray(table[c]) for c in "xyt")
-    _, first, at = np.unique(_labels(x, y, t, reach, d, chain), return_index=True, return_inverse=True)
+    _, first, at = np.unique(_labels(x, y, t, reach, d, chain)[0], return_index=True, return_inverse=True)
     head = first[at]
     return pa.table({**{c: table[c] for c in ("t", "x", "y", "tot", "key")}, "t0": t[head], "x0": x[head], "y0": y[head], "head": head == np.arange(len(t))})
 
 
-def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_criterion: str = "chain", safety_margin_ns: float = 200.0, slice_ns: float = SLICE_NS) -> DataFrame:
-    """(cluster_id, time_ns, x_pix, y_pix, tot, key) of every hit with a time and a place.
+def _strips(rows: DataFrame) -> DataFrame:
+    """Adds strip: numbers of consecutive spans of a part's time with about LARGE hits each (hits of 1/8 of that stay together)."""
+    span = rows.groupBy("part").agg(F.min("t").alias("low"), F.max("t").alias("high"), (F.ceil(F.count("*") / LARGE) * 8).alias("bins"))
+    width = F.greatest((F.col("high") - F.col("low")) / F.col("bins"), F.lit(1e-9))
+    rows = rows.join(span, "part").withColumn("bin", F.floor((F.col("t") - F.col("low")) / width).cast("long")).drop("low", "high", "bins")
+    by_bin = Window.partitionBy("part").orderBy("bin")  # over bins: 8 for each LARGE hits of a part
+    before = rows.groupBy("part", "bin").agg(F.count("*").alias("n")).withColumn("full", F.floor((F.sum("n").over(by_bin) - F.col("n")) / LARGE))
+    before = before.select("part", "bin", (F.dense_rank().over(Window.partitionBy("part").orderBy("full")) - 1).cast("int").alias("strip"))
+    return rows.join(before, ["part", "bin"]).drop("bin")
 
-    Ids count from 0 in the order of the clusters' first time and, among equal times, first pixel.
-    A margin below 0 shortens the reach; at 0 and above it has no effect. Any time_criterion other
-    than "chain" counts from the first hit. `key` carries a column `given_id` of the hits as text
-    (null without one). An empty table gives no rows.
+
+OPEN = "part long, strip int, cx int, cy int, x int, y int, edge double"
+
+
+def _strip_pass(left: pa.Table, right: pa.Table, reach: float, d: int, chain: bool) -> tuple[pa.Table, np.ndarray, dict, list, int]:
+    """Labels of a strip's hits, given the clusters that the strip before left open (named by their smallest pixel)."""
+    left = left.sort_by([("t", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    x, y, t = (np.asarray(left[c]) for c in "xyt")
+    rows = list(zip(*(right[c].to_pylist() for c in ("cx", "cy", "x", "y", "edge")), strict=True))
+    names = sorted({r[:2] for r in rows})
+    number, edge = {name: i for i, name in enumerate(names)}, [0.0] * len(names)
+    for r in rows:
+        edge[number[r[:2]]] = r[4]
+    carried = (edge, [r[2] for r in rows], [r[3] for r in rows], [number[r[:2]] for r in rows])
+    roots, open_ = _labels(x, y, t, reach, d, chain, carried)
+    end = t[-1] if len(t) else -np.inf
+    return left, roots, {p: v for p, v in open_.items() if end - v[1] <= reach}, names, len(names)
+
+
+def _open_rows(open_: dict) -> tuple[dict, list[tuple]]:
+    """The name (smallest pixel) of each open cluster, and (cx, cy, x, y, edge) of each pixel."""
+    name: dict[int, tuple[int, int]] = {}
+    for p, (r, _) in open_.items():
+        name[r] = min(name.get(r, p), p)
+    return name, [(*name[r], *p, e) for p, (r, e) in open_.items()]
+
+
+def _over_strips(rows: DataFrame, reach: float, d: int, chain: bool) -> DataFrame:
+    """`_cluster`'s columns for connected parts (rows with part, t, x, y, tot, key) that are dealt to tasks strip by strip.
+
+    A strip's result depends on the clusters that the strip before leaves open. Every strip runs at once without any; then those whose
+    inherited clusters turned out otherwise run again, until nothing changes. Clusters are short beside strips, so two or three rounds do. If one
+    outlasts `ROUNDS` strips, neighbouring strips are put together and the rounds begin anew: at most ROUNDS passes for each
+    doubling. At the end the clusters on both sides of a border become one.
     """
-    reach, d, chain = dt_ns + min(0.0, safety_margin_ns), max_gap + 1, time_criterion == "chain"
+    rows = saved(_strips(rows))
+    while True:
+        strips = saved(rows.groupBy("part", "strip").agg(F.count("*").alias("hits")))  # a row for each LARGE hits
+
+        def left_open(at: DataFrame, inherited: DataFrame) -> DataFrame:
+            def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+                if not left.num_rows:
+                    return pa.table({c: pa.array([], k) for c, k in zip(("part", "strip", "cx", "cy", "x", "y", "edge"), (pa.int64(), *[pa.int32()] * 5, pa.float64()), strict=True)})
+                _, own = _open_rows(_strip_pass(left, right, reach, d, chain)[2])
+                n, column = len(own), lambda i, k: pa.array([r[i] for r in own], k)
+                return pa.table({"part": pa.array([key[0].as_py()] * n, pa.int64()), "strip": pa.array([key[1].as_py()] * n, pa.int32()), **{c: column(i, pa.int32()) for i, c in enumerate(("cx", "cy", "x", "y"))}, "edge": column(4, pa.float64())})
+
+            return at.groupBy("part", "strip").cogroup(inherited.groupBy("part", "strip")).applyInArrow(run, OPEN)
+
+        none = rows.sparkSession.createDataFrame([], OPEN)
+        now, marks, settled = saved(left_open(rows, none)), None, False
+        for _ in range(ROUNDS):
+            inherited = now.withColumn("strip", F.col("strip") + 1)
+            mark = inherited.groupBy("part", "strip").agg(F.sum(F.xxhash64("cx", "cy", "x", "y", "edge").cast("decimal(38,0)")).alias("mark"))
+            mark = saved(strips.join(mark, ["part", "strip"], "left").select("part", "strip", F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark")))
+            changed = mark.where("mark <> 0") if marks is None else mark.join(marks.withColumnRenamed("mark", "was"), ["part", "strip"]).where("mark <> was")
+            changed, marks = saved(changed.select("part", "strip")), mark
+            if not changed.take(1):
+                settled = True
+                break
+            again = left_open(rows.join(changed, ["part", "strip"], "left_semi"), inherited.join(changed, ["part", "strip"], "left_semi"))
+            now = saved(now.join(changed, ["part", "strip"], "left_anti").unionByName(again))
+        if settled:
+            break
+        rows = saved(rows.withColumn("strip", F.floor(F.col("strip") / 2).cast("int")))
+    inherited = now.withColumn("strip", F.col("strip") + 1)
+
+    def label(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        part, strip = key[0].as_py(), key[1].as_py()
+        hits, roots, open_, names, k = _strip_pass(left, right, reach, d, chain)
+        name, _ = _open_rows(open_)
+        own, (x, y, t) = roots[k:], (np.asarray(hits[c]) for c in "xyt")
+        _, first, at = np.unique(own, return_index=True, return_inverse=True)
+        head, n = first[at], len(own)
+        first_of = {int(own[f]): f for f in first}
+        border = {int(roots[i]): f"{part}|{strip - 1}|{c}" for i, c in enumerate(names)}
+        # A link ties a cluster of this strip to a border it crosses, or two borders where a cluster had no hit between.
+        links = [(int(roots[i]), f"{part}|{strip - 1}|{c}") for i, c in enumerate(names)] + [(r, f"{part}|{strip}|{c}") for r, c in name.items()]
+        links = [(first_of.get(r), border.get(r, b), b) for r, b in links]
+        cells = lambda values, more, kind: pa.array([*values, *more], kind)
+        m = len(links)
+        heads = [(None, None, None) if f is None else (float(t[f]), int(x[f]), int(y[f])) for f, _, _ in links]
+        return pa.table({
+            **{c: pa.concat_arrays([hits[c].combine_chunks() if isinstance(hits[c], pa.ChunkedArray) else hits[c], pa.nulls(m, hits[c].type)]) for c in ("t", "x", "y", "tot", "key")},
+            "t0": cells(t[head].tolist(), [h[0] for h in heads], pa.float64()), "x0": cells(x[head].tolist(), [h[1] for h in heads], pa.int32()), "y0": cells(y[head].tolist(), [h[2] for h in heads], pa.int32()),
+            "head": cells((head == np.arange(n)).tolist(), [False] * m, pa.bool_()), "part": pa.array([part] * (n + m), pa.int64()), "strip": pa.array([strip] * (n + m), pa.int32()),
+            "a": cells([None] * n, [f"{part}/{strip}/{h}" if h[0] is not None else a for (_, a, _), h in zip(links, heads, strict=True)], pa.string()), "b": cells([None] * n, [b for _, _, b in links], pa.string()),
+        })
+
+    columns = "t double, x int, y int, tot int, key string, t0 double, x0 int, y0 int, head boolean, part long, strip int, a string, b string"
+    found = saved(rows.groupBy("part", "strip").cogroup(inherited.join(strips, ["part", "strip"], "left_semi").groupBy("part", "strip")).applyInArrow(label, columns))
+    links, hits = found.where("b is not null"), found.where("b is null").drop("a", "b")
+    whole = components(links, "a", "b")
+    at = ["part", "strip", "t0", "x0", "y0"]
+    crossing = links.where("t0 is not null").select(*at, "a").distinct().join(whole.withColumnRenamed("node", "a"), "a")
+    first = crossing.groupBy("component").agg(F.min(F.struct("t0", "x0", "y0")).alias("first"))
+    moved = crossing.join(first, "component").select(*at, "first")
+    hits = hits.join(moved, at, "left")
+    own = F.col("first").isNull() | ((F.col("first.t0") == F.col("t0")) & (F.col("first.x0") == F.col("x0")) & (F.col("first.y0") == F.col("y0")))
+    return hits.select("t", "x", "y", "tot", "key", *(F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) for c in ("t0", "x0", "y0")), (F.col("head") & own).alias("head"))
+
+
+def _deal(hits: DataFrame, reach: float, d: int, slice_ns: float) -> tuple[DataFrame, DataFrame | None]:
+    """Hits (t, x, y, tot, key) in groups (g, h) that no cluster of this reach and distance or less crosses, and
+    the hits of connected parts above LARGE, if any, with their part."""
     key = F.col("given_id").cast("string") if "given_id" in hits.columns else F.lit(None).cast("string")
     tot = F.col("tot").cast("int") if "tot" in hits.columns else F.lit(None).cast("int")
     rows = _placed(hits).select(F.col("time_ns").cast("double").alias("t"), F.col("x_pix").cast("int").alias("x"), F.col("y_pix").cast("int").alias("y"), tot.alias("tot"), key.alias("key"))
@@ -136,18 +240,35 @@ def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_
     rows = runs(rows, "t", reach, "epoch", slice_ns)
     begins, columns = F.floor(F.col("epoch") / F.lit(slice_ns)).cast("long"), ["t", "x", "y", "tot", "key"]
     if n <= LARGE:
-        dealt = rows.select(begins.alias("g"), F.lit(0).alias("h"), *columns)
-    else:
-        rows = saved(rows)
-        sizes = rows.groupBy("epoch").count()
-        large = sizes.where(F.col("count") > LARGE).select("epoch")
-        n_large = large.count()
-        large = F.broadcast(large) if n_large < 100_000 else large
-        slices = sizes.groupBy(begins.alias("g")).agg(F.ceil(F.sum("count") / LARGE).cast("int").alias("parts"))
-        dealt = rows.join(large, "epoch", "left_anti").withColumn("g", begins).join(slices, "g").select("g", F.pmod(F.xxhash64("epoch"), F.col("parts")).cast("int").alias("h"), *columns)
-        if n_large:
-            dealt = dealt.unionByName(_split(rows.join(large, "epoch"), reach, d, slice_ns).select(F.col("part").alias("g"), F.lit(-1).alias("h"), *columns))
+        return rows.select(begins.alias("g"), F.lit(0).alias("h"), *columns), None
+    rows = saved(rows)
+    sizes = rows.groupBy("epoch").count()
+    large = sizes.where(F.col("count") > LARGE).select("epoch")
+    n_large = large.count()
+    large = F.broadcast(large) if n_large < 100_000 else large
+    slices = sizes.groupBy(begins.alias("g")).agg(F.ceil(F.sum("count") / LARGE).cast("int").alias("parts"))
+    dealt = rows.join(large, "epoch", "left_anti").withColumn("g", begins).join(slices, "g").select("g", F.pmod(F.xxhash64("epoch"), F.col("parts")).cast("int").alias("h"), *columns)
+    if not n_large:
+        return dealt, None
+    split = _split(rows.join(large, "epoch"), reach, d, slice_ns).select("part", *columns)
+    connected = saved(split.groupBy("part").count().where(F.col("count") > LARGE).select("part"))
+    small = split.join(connected, "part", "left_anti").select(F.col("part").alias("g"), F.lit(-1).alias("h"), *columns)
+    return dealt.unionByName(small), split.join(connected, "part", "left_semi") if connected.take(1) else None
+
+
+def cluster_hits(hits: DataFrame, dt_ns: float = 2000.0, max_gap: int = 0, time_criterion: str = "chain", safety_margin_ns: float = 200.0, slice_ns: float = SLICE_NS) -> DataFrame:
+    """(cluster_id, time_ns, x_pix, y_pix, tot, key) of every hit with a time and a place.
+
+    Ids count from 0 in the order of the clusters' first time and, among equal times, first pixel.
+    A margin below 0 shortens the reach; at 0 and above it has no effect. Any time_criterion other
+    than "chain" counts from the first hit. `key` carries a column `given_id` of the hits as text
+    (null without one). An empty table gives no rows.
+    """
+    reach, d, chain = dt_ns + min(0.0, safety_margin_ns), max_gap + 1, time_criterion == "chain"
+    dealt, connected = _deal(hits, reach, d, slice_ns)
     found = dealt.groupBy("g", "h").applyInArrow(lambda t: _cluster(t, reach, d, chain), "t double, x int, y int, tot int, key string, t0 double, x0 int, y0 int, head boolean")
+    if connected is not None:
+        found = found.unionByName(_over_strips(connected, reach, d, chain))
     found = saved(found.withColumn("slice", F.floor(F.col("t0") / F.lit(slice_ns))))
     sizes = found.where("head").groupBy("slice").agg(F.count("*").alias("k"))
     before = sizes.select("slice", (F.sum("k").over(Window.orderBy("slice")) - F.col("k")).alias("before"))
@@ -160,14 +281,29 @@ def summary(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster_id").agg(F.count("*").alias("n_pixels"), F.min("time_ns").alias("t_min"), F.max("time_ns").alias("t_max"))
 
 
-def sweep(hits: DataFrame, dt_values: list[float], gap_values: list[int]) -> DataFrame:
-    """(dt_ns, max_gap, n_clusters, mean_size, median_size, p95_size) for every pair of parameters, in one job."""
-    parts = None
-    for dt in dt_values:
-        for gap in gap_values:
-            sizes = cluster_hits(hits, dt, gap).groupBy("cluster_id").agg(F.count("*").alias("n")).select(F.lit(float(dt)).alias("dt_ns"), F.lit(gap).alias("max_gap"), "n")
-            parts = sizes if parts is None else parts.unionByName(sizes)
-    counted = parts.groupBy("dt_ns", "max_gap", "n").agg(F.count("*").alias("w"))  # a row for each size
+def sweep(hits: DataFrame, dt_values: list[float], gap_values: list[int], slice_ns: float = SLICE_NS) -> DataFrame:
+    """(dt_ns, max_gap, n_clusters, mean_size, median_size, p95_size) for every pair of parameters, in one pass over the hits.
+
+    Smaller parameters only divide clusters further, so the groups of the largest reach and gap serve all pairs: a task sorts
+    its group once and folds it for each pair. Only connected parts above LARGE are folded pair by pair, over strips.
+    """
+    pairs = [(float(dt), int(gap)) for dt in dt_values for gap in gap_values]
+    dealt, connected = _deal(hits, max(dt for dt, _ in pairs), max(gap for _, gap in pairs) + 1, slice_ns)
+
+    def sizes(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("t", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        x, y, t = (np.asarray(table[c]) for c in "xyt")
+        out = []
+        for dt, gap in pairs:
+            _, n = np.unique(_labels(x, y, t, dt, gap + 1, True)[0], return_counts=True)
+            out += [(dt, gap, int(a), int(b)) for a, b in zip(*np.unique(n, return_counts=True), strict=True)]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.float64(), pa.int32(), pa.int64(), pa.int64()))], names=["dt_ns", "max_gap", "n", "w"])
+
+    counted = dealt.groupBy("g", "h").applyInArrow(sizes, "dt_ns double, max_gap int, n long, w long")  # a row for each size in each group
+    for dt, gap in pairs if connected is not None else ():
+        own = _over_strips(connected, dt, gap + 1, True).groupBy("t0", "x0", "y0").agg(F.count("*").alias("n"))
+        counted = counted.unionByName(own.select(F.lit(dt).alias("dt_ns"), F.lit(gap).alias("max_gap"), "n", F.lit(1).cast("long").alias("w")))
+    counted = counted.groupBy("dt_ns", "max_gap", "n").agg(F.sum("w").alias("w"))
     return counted.groupBy("dt_ns", "max_gap").agg(
         F.sum("w").alias("n_clusters"), F.round(F.sum(F.col("n") * F.col("w")) / F.sum("w"), 6).alias("mean_size"),
         F.expr("percentile(n, 0.5, w)").alias("median_size"), F.round(F.expr("percentile(n, 0.95, w)"), 6).alias("p95_size"),

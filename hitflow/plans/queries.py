@@ -611,9 +611,10 @@ def n_truth_counts(spark, d):
     return adapters.truth(hits(spark, d)).groupBy("species").agg(F.count("*").alias("n"), F.avg("wrap_count").alias("wrap_rate"))
 
 
-@query()
+@query("feats", "SELECT cluster_id, n_pixels, tot_sum, round(eccentricity, 6) AS eccentricity, round(linearity, 6) AS linearity FROM feats ORDER BY md5(CAST(cluster_id AS VARCHAR)), cluster_id LIMIT 1000")
 def n_sample(spark, d):
-    return feats(spark, d).orderBy(F.xxhash64("cluster_id"), "cluster_id").limit(1000).select("cluster_id", "n_pixels", "tot_sum", "eccentricity", "linearity")
+    """A thousand clusters for the scatter plots, picked by a hash that both engines have."""
+    return feats(spark, d).orderBy(F.md5(F.col("cluster_id").cast("string")), "cluster_id").limit(1000).select("cluster_id", "n_pixels", "tot_sum", *six("eccentricity", "linearity"))
 
 
 # --- generator and others
@@ -630,17 +631,23 @@ def semi_join_filter(spark, d):
     return hits(spark, d).select("given_id", "time_ns").join(done, "given_id", "left_semi")
 
 
+def _given_span(spark, d) -> float:
+    """How long the given pulses last: generated data cover as much time."""
+    low, high = adapters.edges(spark, d).agg(F.min("time_ns"), F.max("time_ns")).first()
+    return (high or 0.0) - (low or 0.0)
+
+
 @query()
 def e_synth_edges(spark, d):
-    return synth.synth_edges(spark, 3e6)
+    return synth.synth_edges(spark, _given_span(spark, d))
 
 
 @query()
 def e_synth_hits(spark, d):
-    return synth.synth_hits(spark, 3e6)[0]
+    return synth.synth_hits(spark, _given_span(spark, d))[0]
 
 
 @query("clustered", "SELECT t_min, t_max, n_pixels, tot_sum FROM (SELECT cluster_id, min(time_ns) AS t_min, max(time_ns) AS t_max, count(*) AS n_pixels, CAST(sum(tot) AS BIGINT) AS tot_sum FROM clustered GROUP BY cluster_id)")
 def stream_clusters_batch(spark, d):
-    """The streaming plan over a bounded input: the same sessions and fold."""
-    return stream_clusters(hits(spark, d)).select("t_min", "t_max", F.col("n_pixels").cast("long").alias("n_pixels"), "tot_sum")
+    """The stream's clusters over a bounded input."""
+    return stream_clusters(hits(spark, d)).select("t_min", "t_max", "n_pixels", "tot_sum")

@@ -78,3 +78,57 @@ def test_empty_and_null(spark):
     assert [(r.cluster_id, r.n_pixels, r.t_min) for r in summary(cluster_hits(df)).collect()] == [(0, 1, 5.0)]
     with pytest.raises(ValueError, match="x_pix"):
         cluster_hits(df.drop("x_pix"))
+
+
+def strips_used(monkeypatch):
+    """How many strips the connected parts of a run had, round by round."""
+    seen, before = [], clustering._strips
+    monkeypatch.setattr(clustering, "_strips", lambda rows: seen.append(before(rows)) or seen[-1])
+    return seen
+
+
+@pytest.mark.parametrize("mode", ["chain", "min"])
+def test_a_connected_epoch_is_dealt_strip_by_strip(spark, monkeypatch, mode):
+    """One epoch whose pixels all touch: no cut in time or place, and clusters that cross the borders of strips."""
+    monkeypatch.setattr(clustering, "LARGE", 60)
+    seen = strips_used(monkeypatch)
+    rng = random.Random(11)
+    rows, t = [], 0
+    while len(rows) < 700:
+        t += rng.randint(1, 9)
+        rows.append((rng.randint(0, 14), rng.randint(0, 14), t))
+    want = footprints(rows, 20, 0, mode == "chain")
+    assert found(spark, rows, dt_ns=20.0, time_criterion=mode, slice_ns=500.0) == want
+    assert len(seen) == 1 and seen[0].select("part", "strip").distinct().count() >= 10
+    assert len(want) > 20
+
+
+def test_a_cluster_that_outlasts_all_strips(spark, monkeypatch):
+    """Steady flux on few pixels is one endless cluster beside short ones; a pixel hit once at the start still counts at the end."""
+    monkeypatch.setattr(clustering, "LARGE", 40)
+    monkeypatch.setattr(clustering, "ROUNDS", 3)
+    rng = random.Random(12)
+    rows = [(0, 0, 1), (1, 0, 2)] + [(rng.choice((1, 2, 3)), rng.choice((0, 1)), 6 * i) for i in range(1, 400)]
+    rows += [(rng.randint(5, 9), rng.randint(0, 3), rng.randint(0, 2400)) for _ in range(90)] + [(4, 3, 1200), (0, 1, 2397)]
+    want = footprints(rows, 15, 0, True)
+    assert max(len(c) for c in want) > 390 and len(want) > 10
+    assert found(spark, rows, dt_ns=15.0, slice_ns=500.0) == want
+
+
+@pytest.mark.parametrize("large", [200_000, 50])
+def test_sweep_reads_the_hits_once(spark, monkeypatch, large):
+    monkeypatch.setattr(clustering, "LARGE", large)
+    rng = random.Random(13)
+    rows = [(rng.randint(0, 20), rng.randint(0, 20), rng.randint(0, 3000)) for _ in range(400)]
+    df = spark.createDataFrame([(x, y, float(t)) for x, y, t in rows], "x_pix int, y_pix int, time_ns double")
+    got = clustering.sweep(df, [10.0, 60.0], [0, 2], slice_ns=500.0)
+    for r in got.collect():
+        sizes = sorted(len(c) for c in footprints(rows, r.dt_ns, r.max_gap, True))
+        assert (r.n_clusters, r.mean_size) == (len(sizes), round(sum(sizes) / len(sizes), 6))
+        at = 0.95 * (len(sizes) - 1)
+        low = int(at)
+        assert r.p95_size == round(sizes[low] + (sizes[min(low + 1, len(sizes) - 1)] - sizes[low]) * (at - low), 6)
+    assert got.count() == 4
+    if large > 400:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInArrow") == 1

@@ -1,5 +1,6 @@
 """The registered classifiers cover every labelled class at the operators' own sizes."""
 
+from hitflow.operators import learning
 from hitflow.plans import queries
 from pyspark.sql import functions as F
 
@@ -13,5 +14,9 @@ def test_registered_perceptron_learns_every_labelled_class(spark, sf, monkeypatc
 
 
 def test_registered_trees_have_the_operator_size(spark, sf):
-    models = queries._boosted(spark, sf)[1].stages[-1].models
-    assert all(m.getNumTrees == 20 and m.getMaxDepth() == 5 for m in models)
+    """At most 20 trees of depth 5: the val block ends the boosting of a model that has stopped improving."""
+    rows, model = queries._boosted(spark, sf)
+    models = model.stages[-1].models
+    assert all(1 <= m.getNumTrees <= 20 and m.getMaxDepth() == 5 for m in models)
+    whole = learning.fit_boosted(rows.withColumn("split", F.lit("train")))
+    assert all(m.getNumTrees == 20 and m.getMaxDepth() == 5 for m in whole.stages[-1].models)

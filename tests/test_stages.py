@@ -181,8 +181,7 @@ def test_stream_gives_the_clusters_of_the_batch(spark, tmp_path):
     q = stream_clusters(stream, late_ns=2_000_000).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    columns = ["n_pixels", "t_min", "t_max", "tot_sum"]
-    assert sorted(map(tuple, spark.table("live").select(columns).collect())) == sorted(map(tuple, stream_clusters(hits).select(columns).collect()))
+    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, stream_clusters(hits).collect()))
 
 
 def test_labels_agree_with_the_truth_of_generated_data(spark):
