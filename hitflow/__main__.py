@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> str:
     generate = lambda s: (synth.synth_hits(s, a.synth, config.seed)[0], synth.synth_edges(s, a.synth, seed=config.seed))
     raw = (lambda s: (load_raw(s, a.hits.split(","), a.raw), load_edges(s, a.edges))) if a.raw else None
     hits, pulses = choose_source(spark, raw, a.hits, a.edges, generate, a.synth_only)
-    out = pipeline.run(hits, pulses, a.out, config, not a.no_classifier, network=not a.no_network)
+    out = pipeline.run(hits, pulses, a.out, config, not a.no_classifier, patched=not a.no_network)
     text = pipeline.markdown(out) + "\n" + pipeline.diagnostics(out)
     print(text)
     return text

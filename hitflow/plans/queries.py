@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import clustering, contamination, edges, features, learning, mixture, patches, quality, synth, tof
+from ..operators import clustering, contamination, edges, features, learning, mixture, network, patches, quality, synth, tof
 from ..sources import adapters
 from ..streaming import stream_clusters
+from .pipeline import saliency_means
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -567,6 +568,28 @@ def i_temperature(spark, d):
     return spark.createDataFrame([(learning.temperature(scored, "logits", "hard_label"),)], "temperature double")
 
 
+def _network(spark, d):
+    """The convolution network over whole posteriors, and all rows with their split."""
+    names = ["posterior_peak_0", "posterior_peak_1", "posterior_background"]
+    rows = patches.aligned(patches.dense(sparse(spark, d), patches.channel_stats(sparse(spark, d), feats(spark, d).count())), labels(spark, d), features.PATCH_SCALARS).where("hard_label >= 0")
+    rows = rows.withColumns({"scalars": F.array(*features.PATCH_SCALARS), "target": network.posterior(names)})
+    rows = fn.saved(learning.time_block_split(rows))
+    return rows, network.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), 16, len(names))
+
+
+@query()
+def i_cnn(spark, d):
+    rows, fitted = _network(spark, d)
+    return learning.class_report(fitted.transform(rows.where("split = 'test'")), "hard_label", "prediction")
+
+
+@query()
+def i_saliency(spark, d):
+    """The mean saliency map of each class over the test block."""
+    rows, fitted = _network(spark, d)
+    return saliency_means(fitted.saliency(rows.where("split = 'test'"), "cluster_id", "hard_label"))
+
+
 # --- notebook measures
 
 

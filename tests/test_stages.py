@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hitflow import functions as fn
 from hitflow import sources
-from hitflow.operators import clustering, contamination, edges, features, learning, mixture, patches, quality, synth, tof
+from hitflow.operators import clustering, contamination, edges, features, learning, mixture, network, patches, quality, synth, tof
 from hitflow.plans import pipeline
 from hitflow.streaming import stream_clusters
 from pyspark.sql import functions as F
@@ -159,9 +159,9 @@ def test_generator_and_run(spark, tmp_path):
     kept = learning.load_model(f"{tmp_path}/boosted.model")
     again = learning.predict(out["clusters"].drop("predicted_label"), kept).where("hard_label >= 0").collect()
     assert len(scored) > 100 and {r.cluster_id: r.predicted_label for r in again} == scored
-    network = learning.load_model(f"{tmp_path}/network.model")
+    fitted = network.load(spark, f"{tmp_path}/network.model")
     rows = spark.read.parquet(f"{tmp_path}/aligned.parquet").where("split = 'test'")
-    right = network.transform(rows).where("prediction = hard_label").count() / rows.count()
+    right = fitted.transform(rows).where("prediction = hard_label").count() / rows.count()
     accuracy = out["network_scores"].where("class = 'accuracy'").first()
     assert right == pytest.approx(accuracy.recall, abs=1e-5)
     with pytest.raises(RuntimeError, match="no cluster"):
@@ -212,7 +212,10 @@ def test_checks_on_load_and_raw_columns(spark, tmp_path):
 
 def test_soft_labels_and_early_stop(spark):
     rng = np.random.default_rng(4)
-    rows = [(float(x), float(y), int(x + y > 0), 0.9 if x + y <= 0 else 0.1, 0.9 if x + y > 0 else 0.1) for x, y in rng.normal(size=(300, 2))]
-    df = spark.createDataFrame(rows, "x double, y double, hard_label int, p0 double, p1 double")
-    model = learning.fit_perceptron(df.limit(200), ["x", "y"], "hard_label", 2, hidden=4, steps=60, val=df.offset(200), round_steps=15, soft=["p0", "p1"])
+    rows = [(i, float(x), float(y), int(x + y > 0), 0.9 if x + y <= 0 else 0.1, 0.9 if x + y > 0 else 0.1) for i, (x, y) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "cluster_id long, x double, y double, hard_label int, p0 double, p1 double")
+    model = learning.fit_perceptron(df.limit(200), ["x", "y"], "hard_label", 2, hidden=4, steps=60, val=df.offset(200), round_steps=15)
     assert model.transform(df).where("prediction = hard_label").count() >= 280
+    soft = df.withColumns({"scalars": F.array("x", "y"), "target": network.posterior(["p0", "p1"])})
+    fitted = network.fit(soft.limit(200), soft.offset(200), 0, 2, hidden=16, dropout=0.0, rate=2e-2)
+    assert fitted.transform(soft).where("prediction = hard_label").count() >= 280
