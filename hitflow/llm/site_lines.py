@@ -19,14 +19,15 @@ from .frames import prepare, saved
 
 SALTS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
-DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6]|article|section|header|footer|nav|aside|main|table|tr|td|th|form|blockquote|pre|title|body|head|html)\b[^>]*>"
+#: What is left open takes the rest of the page, and a tag ends at the next one: each pattern passes over a page once.
+DROPPED = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+BREAKS = r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6]|article|section|header|footer|nav|aside|main|table|tr|td|th|form|blockquote|pre|title|body|head|html)\b[^<>]*>"
 
 
 def html_lines(html: Column) -> Column:
     """Text lines of a page: block tags and line feeds end lines, other tags vanish, blanks are dropped."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), DROPPED, "")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^<>]*>", "")
     return F.array_remove(F.split(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n"), r"\n+"), "")
 
 
@@ -34,6 +35,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
+def _among(x: Column, few: Column) -> Column:
+    """Whether x is in a sorted array: by looking through a short one, and by halving a long one."""
+    step = lambda s, _: F.struct(
+        F.when(F.get(few, F.floor((s["low"] + s["high"]) / 2).cast("int")) < x, F.floor((s["low"] + s["high"]) / 2).cast("int") + 1).otherwise(s["low"]).alias("low"),
+        F.when(F.get(few, F.floor((s["low"] + s["high"]) / 2).cast("int")) < x, s["high"]).otherwise(F.floor((s["low"] + s["high"]) / 2).cast("int")).alias("high"),
+    )
+    halves = F.sequence(F.lit(1), (F.floor(F.log2(F.size(few) + 1)) + 1).cast("int"))
+    at = F.aggregate(halves, F.struct(F.lit(0).alias("low"), F.size(few).alias("high")), step)["low"]
+    return F.when(F.size(few) <= 32, F.array_contains(few, x)).otherwise(F.coalesce(F.get(few, at) == x, F.lit(False)))
+
+
 def drop_site_lines(pages: DataFrame, lines: Column, host: Column, id_col: str = "page_id", ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
     """One row per input row: the id, host, n_lines, n_dropped and kept_text (kept lines joined by line feeds).
 
@@ -50,9 +62,9 @@ def drop_site_lines(pages: DataFrame, lines: Column, host: Column, id_col: str =
     counted = each.groupBy("host", "hash").agg(F.count("*").alias("n")).withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
     frequent = saved(counted.join(totals, ["host", "salt"]).where(F.col("n") > F.col("n_pages") * F.lit(ratio)).select("host", "hash"))
     # At most 1 / ratio frequent lines for each line of a page: the set of a host is as small as a page.
-    spread = frequent.groupBy("host").agg(F.collect_set("hash").alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = frequent.groupBy("host").agg(F.array_sort(F.collect_set("hash")).alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
-    kept = F.when(F.col("gone").isNull(), F.col("line")).otherwise(F.filter("line", lambda x: ~F.array_contains("gone", F.xxhash64(x))))
+    kept = F.when(F.col("gone").isNull(), F.col("line")).otherwise(F.filter("line", lambda x: ~_among(F.xxhash64(x), F.col("gone"))))
     out = out.select("id", "host", F.size("line").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(F.col("id").alias(id_col), "host", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
@@ -62,7 +74,7 @@ def digest(result: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def oracle(ratio: float = 0.5, min_pages: int = 3) -> str:
-    strip = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{DROPPED}', '', 'g'), '{BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    strip = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{DROPPED}', '', 'g'), '{BREAKS}', chr(10), 'g'), '<[^<>]*>', '', 'g')"
     return rf"""
 WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
     list_filter(string_split_regex(regexp_replace(regexp_replace({strip}, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+'), lambda x: x <> '') AS line FROM pages),
