@@ -119,7 +119,8 @@ def _hit_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         first, last = F.greatest(a["p"] - (a["length"] - F.least(a["length"], F.lit(5))), F.lit(0)), F.least(a["p"], n - a["length"])
         return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda s: F.struct(a["length"].alias("length"), s.cast("int").alias("start"))))
 
-    held = met.join(_small(named(anchors), n_hits), same(anchors))
+    places = anchors.agg(F.sum(F.size("at"))).first()[0] or 0  # a text of any length may have many
+    held = met.join(_small(named(anchors), n_hits + places // 4), same(anchors))
     wide = F.array_distinct(F.flatten(F.filter(F.transform("at", around), lambda x: x.isNotNull())))
     cut = held.select("id", "row_hash", "w", wide.alias("wide")).select("id", "row_hash", F.explode(F.transform("wide", lambda a: F.struct(a.alias("at"), F.slice("w", a["start"] + 1, a["length"]).alias("span")))).alias("x"))
     seen = cut.select("id", "row_hash", "x.at", "x.span").join(near(spans.select("span", "item")), "span")
