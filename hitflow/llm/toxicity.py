@@ -172,7 +172,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     own = own.where(" and ".join(["key is not null", *(f"y{i} is not null" for i in range(len(categories)))]))
     own = own.orderBy(F.xxhash64("key"), "key").limit(sample)  # a few numbers for each row of the bounded sample
     fold = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(FOLDS)).cast("int")
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(own), "key").withColumn("fold", fold))
+    # One row for each label: of rows that share an id, one whose text is not null, picked by its hash.
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(own.select("key")), "key")
+    texts = texts.groupBy("key").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.col("text")))).alias("text"))
+    rows = saved(texts.join(F.broadcast(own), "key").withColumn("fold", fold))
     k, names = len(categories), _count_names(len(categories))
     per_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(f"y{i}").alias(f"n{i}") for i in range(k))).collect()}
     if not per_fold:
