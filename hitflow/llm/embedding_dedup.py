@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, local_components
-from .frames import prepare, saved
+from .frames import join_by_key, prepare, saved
 
 SAMPLE, HEAVY = 2048, 8
 LEAST_CELLS, MOST_CELLS = 16, 256
@@ -373,11 +373,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     found = connected_components(edges).withColumnRenamed("node", "rep")
     ids = units.select("h1", "h2", "rep", "least_id", "w").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    ids = ids.join(counts.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").select("h1", "h2", "component", "least_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    ids = ids.join(counts.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").select("h1", "h2", "w", "component", "least_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     ids = saved(ids)
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = ids.join(least, "component").select("h1", "h2", "n_links", "component_id", F.lit(True).alias("fine"))
-    out = keyed.select("id", "fine", "h1", "h2").join(ids, ["fine", "h1", "h2"], "left")
+    ids = saved(ids.join(least, "component").select("h1", "h2", "w", "n_links", "component_id"))
+    # A vector that very many rows share, or that is none, is one key: the one is broadcast, the other joins nothing.
+    linked = join_by_key(keyed.where("fine").select("id", "h1", "h2"), ids, ["h1", "h2"], count="w").select("id", "n_links", "component_id")
+    alone = keyed.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = linked.unionByName(alone)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").cast(id_type).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast(id_type).alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
