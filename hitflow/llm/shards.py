@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import prepare, saved
+from .frames import join_by_key, prepare, saved
 
 BINS = 1024
 DIMENSIONS = ("k_id", "k_size", "k_source", "k_lang")
@@ -167,15 +167,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     for u in large:
         s = min(load, key=lambda k: (load[k], k))
         load[s] += u["bytes"]
-        fixed.append((u["text_hash"], u["text_crc32"], u["size"], u["part"], s))
+        fixed.append((u["text_hash"], u["text_crc32"], u["size"], u["part"], s, u["bytes"] // u["size"]))
     small = saved(units.where(F.col("bytes") <= target / 20))
     tree, small = kd_tree(small, {s: max(0.0, target - w) for s, w in load.items()})
     shard_of = _by_node(tree.leaves(), lambda leaf: F.lit(leaf.shards[0]))
     key = [*same, "part"]
-    placed = small.select(*key, shard_of.cast("int").alias("shard"))
-    placed = placed.unionByName(docs.sparkSession.createDataFrame(fixed, "text_hash long, text_crc32 long, size long, part int, shard int"))
+    rows_of = (F.col("bytes") / F.col("size")).cast("long")
+    placed = small.select(*key, shard_of.cast("int").alias("shard"), rows_of.alias("n"))
+    placed = placed.unionByName(docs.sparkSession.createDataFrame(fixed, "text_hash long, text_crc32 long, size long, part int, shard int, n long"))
 
-    out = saved(dealt.join(placed, key).select("id", "size", "text_crc32", "text_hash", "shard", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SLICES)).cast("int").alias("slice")))
+    # A unit below a shard's bytes may still have very many rows, of empty texts say: such keys are broadcast.
+    out = saved(join_by_key(dealt, saved(placed), key).select("id", "size", "text_crc32", "text_hash", "shard", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SLICES)).cast("int").alias("slice")))
     # A slot is the slices before plus the place in the slice, so no shard is sorted as a whole.
     before = out.groupBy("shard", "slice").count().selectExpr("shard", "slice", "sum(count) over (partition by shard order by slice) - count as before")
     ranked = out.selectExpr("*", "row_number() over (partition by shard, slice order by id, text_hash) - 1 as place")
