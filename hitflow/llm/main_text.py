@@ -5,7 +5,8 @@ finds the contiguous region with the highest sum.
 
 - Words score by their place: the innermost block element, the nearest class or id around them, and
   whether they are a link. Places that hold articles score positive, places that surround them and
-  links negative. Tags cost; a run of tags without words between costs `RUN_COST` at most.
+  links negative. Tags cost; a run of tags and links without other words between costs `RUN_COST` at most.
+- Within a page's one `article` (or `main`) nothing that is on costs, so the region holds it whole.
 - Elements that are never content (menus, forms, scripts, comments of readers and others named in
   `NEVER` and `MARKS`) and their words score nothing: inside an article they must not cut it in two.
   They are left out of the region. A mark or a form around the page's own text does not count: see `_spared`.
@@ -69,8 +70,11 @@ MARKS = frozenset(
 )
 #: Before a mark in one class name, these say that the element only has to do with it (no-comments, overflow-hidden).
 MODIFIERS = frozenset("has no non not overflow with without".split())
-#: What may follow a mark in an id; other ids that begin with one are headings turned into names (notice-of-appeal, share-prices).
-PARTS = MARKS | frozenset("area bar block body box button buttons column container content count form frame inner item items left link links list main outer panel post posts right section slot thread top unit wrap wrapper".split())
+#: What may follow a mark in a name; other names that begin with one are about something (notice-of-appeal, share-prices, social-history).
+PARTS = MARKS | frozenset(
+    "area bar block body bottom box button buttons column container content count desktop form frame icon icons inner item items left link links list main media mobile modal outer overlay panel "
+    "post posts primary right secondary section signup slot thread top trail unit wrap wrapper".split()
+)
 
 #: The rest of a page after an unclosed quote has no such quote, so that each kind of it is looked for in vain only once.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
@@ -129,13 +133,13 @@ class Page:
         return own
 
 
-def _is_mark(token: str, is_id: bool) -> bool:
-    """A class name (or id, role) that is a mark, or begins or ends with one that nothing before it takes back."""
+def _is_mark(token: str) -> bool:
+    """A class name, id or role that is a mark, or begins or ends with one that nothing else in it takes back."""
     words = _WORDS.findall(_DIGITS.sub(r"\1 \2", token))
     if not words or not MODIFIERS.isdisjoint(words[:-1]):
         return False
     ends = {words[0], words[-1]}
-    if is_id and not all(w in PARTS or w.isdigit() for w in words[1:]):
+    if not all(w in PARTS or w.isdigit() for w in words[1:]):
         ends.discard(words[0])
     if len(words) > 1 and words[0] not in ("is", "visually"):
         ends.discard("hidden")  # lg:hidden, hidden-xs: on some screens only
@@ -156,7 +160,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
             elif kind == "style":
                 marked = marked or _NOT_SHOWN.search(value) is not None
             else:
-                marked = marked or any(_is_mark(t, kind == "id") for t in value.split())
+                marked = marked or any(_is_mark(t) for t in value.split())
                 if kind != "role" and len(names) < 2:
                     names += _WORDS.findall(_DIGITS.sub(r"\1 \2", value))[:2]
     return "".join(f".{n}" for n in names[:2]), marked
@@ -263,7 +267,8 @@ def parse(source: str) -> Page:
 
 
 def _spared(page: Page) -> set[int]:
-    """Marked elements and forms that hold the page's own text, and so stay on.
+    """Marked elements and forms that hold the page's own text, and so stay on: one by itself, or all marked elements of one name together
+    (page builders wrap each part of a page in a "widget").
 
     They hold the page's outermost main, or else its longest outermost article; or, on a page without
     either, most of its words (links do not count). Where it is a mark, these words must come with a title, or, where no
@@ -290,15 +295,31 @@ def _spared(page: Page) -> set[int]:
         step[b] -= 1
     depth = list(accumulate(step))
     elsewhere = any(depth[t] == 0 for t in titles)
-    spared = set()
+    spared, named = set(), defaultdict(list)
     for i in soft:
-        e = elements[i]
-        n = words(e)
-        if 2 * n > total[-1] and (e.soft == "form" or any(e.first < t < e.last for t in titles) or not elsewhere and 10 * n > 9 * total[-1]):
-            spared.add(i)
+        named[elements[i].soft, elements[i].near].append(i)
+    groups = [[i] for i in soft] + [g for g in named.values() if len(g) > 1]
+    for group in groups:
+        n, stop = 0, -1
+        for i in group:  # in page order; one within another counts once
+            if elements[i].first >= stop:
+                n, stop = n + words(elements[i]), elements[i].last
+        if 2 * n > total[-1] and (elements[group[0]].soft == "form" or _holds(elements, group, titles) or not elsewhere and 10 * n > 9 * total[-1]):
+            spared.update(group)
     return spared
 
 
+def _holds(elements: list[Element], group: list[int], titles: list[int]) -> bool:
+    """Whether a title lies within one of the elements, both in page order."""
+    at = 0
+    for i in group:
+        while at < len(titles) and titles[at] <= elements[i].first:
+            at += 1
+        if at < len(titles) and titles[at] < elements[i].last:
+            return True
+    return False
+
+
 def _fixed(key: str) -> float:
     """Weight of a place or tag that no labelled page has shown."""
     kind, _, place = key.partition(" ")
@@ -318,18 +339,24 @@ def _general(key: str) -> str:
 
 
 def scores(page: Page, weights: dict[str, float]) -> list[float]:
-    """The score of each token."""
+    """The score of each token. Within the one marked article of a page nothing that is on costs."""
     known: dict[str, float] = {}
-    out, run = [], 0.0
-    for key, n in zip(page.keys(), page.words, strict=True):
+    out, run, marked = [], 0.0, page.articles == 1
+    for key, n, owner in zip(page.keys(), page.words, page.owner, strict=True):
         w = known.get(key)
         if w is None:
             w = weights.get(key)
             w = weights.get(_general(key)) if w is None else w
             w = known[key] = _fixed(key) if w is None else w
+        w = max(w, 0.0) if marked and page.elements[owner].inside and key[0] in "w<>" else w
         if key[0] == "w":
-            out.append(w * n)
-            run = 0.0 if n else run
+            own = w * n
+            if key.endswith(" a") and own <= 0:  # links are of the run: a table of contents costs no more than tags do
+                own = max(own, -RUN_COST - run)
+                run += own
+            elif n:
+                run = 0.0
+            out.append(own)
         elif key[0] == "x":
             out.append(0.0)
         else:
@@ -397,14 +424,14 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(keys, pa.string()), pa.array([total[k][1] for k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.int64())], names=["key", "inside", "outside"])
 
 
-def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, most_keys: int = 5000) -> dict[str, float]:
+def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
     """Weights of places and tags, from the labelled pages of the sample; empty where no page marks an article."""
     prepare(pages.sparkSession)
     n = pages.count()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     own = pages.where(draw < sample / max(1, n)).select(F.col(html_col).cast("string").alias("html"))
     counts = own.mapInArrow(_count, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.where("inside + outside > 0").orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(most_keys).collect()  # the most common keys; others get general or fixed weights
+    rows = counts.where("inside + outside > 0").collect()  # the places of the sampled pages, whose number is bounded
     weights = {}
     for r in rows:
         odds = math.log((r["inside"] + 0.5) / (r["outside"] + 0.5))
