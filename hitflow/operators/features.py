@@ -55,5 +55,5 @@ def timewalk_histogram(features: DataFrame) -> DataFrame:
 
 
 def timewalk_points(features: DataFrame) -> DataFrame:
-    """(tot_sum, tot_max, dt_min_vs_argmax) of each cluster: the scatter beside the histogram."""
-    return features.select("cluster_id", "tot_sum", "tot_max", "dt_min_vs_argmax")
+    """(cluster_id, n_pixels, dt_clipped, tot_mean) of each cluster: the scatter beside the histogram, coloured by tot_mean."""
+    return features.select("cluster_id", "n_pixels", clip(F.col("dt_min_vs_argmax"), -200.0, 2000.0).alias("dt_clipped"), "tot_mean")

@@ -2,7 +2,7 @@
 
 Each round fits one tree for each class to the gradients of the softmax loss. Features are cut into at most `BINS` bins at quantiles
 of the train block. A task adds up gradients, second derivatives and rows by class, node, feature and bin for its rows; Spark adds the tasks'
-histograms and finds each node's best split by feature; the driver sees a row for each class, node and feature, whatever the input.
+histograms and finds each node's best split by feature; the driver sees a row for each class and node, whatever the input.
 
 Growth is leaf-wise: of all leaves the one with the largest gain is split next, up to `leaves` leaves. One job makes the histograms
 of the children of every leaf that could be next, for all classes, so a round takes about as many jobs as its trees are deep and gives the very
@@ -58,16 +58,17 @@ class Tree:
         return node
 
 
-def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, ridge: float = 0.0) -> tuple[float, int]:
-    """Gain and bin (rows up to it go left) of the best split of one node by one feature's histogram; gain 0 without one."""
-    gl, hl, nl = np.cumsum(g), np.cumsum(h), np.cumsum(n)
-    gr, hr, nr = gl[-1] - gl, hl[-1] - hl, nl[-1] - nl
+def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, int, int]:
+    """Gain, feature and bin (rows up to it go left) of the best split of one node by its histograms (features, bins); gain 0 without one."""
+    gl, hl, nl = (np.cumsum(x, axis=1) for x in (g, h, n))
+    whole = [x[:, -1:] for x in (gl, hl, nl)]
+    gr, hr, nr = (w - x for w, x in zip(whole, (gl, hl, nl), strict=True))
     ok = (nl >= LEAST_ROWS) & (nr >= LEAST_ROWS) & (hl >= LEAST_H) & (hr >= LEAST_H)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(ok, gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - gl[-1] ** 2 / (hl[-1] + ridge), 0.0)
-    gain = gain.round(9)  # equal gains stay equal in whatever order tasks' sums are added; ties go to the lowest bin, feature and leaf
-    at = int(gain.argmax())
-    return (float(gain[at]), at) if gain[at] > 0 else (0.0, 0)
+        gain = np.where(ok, gl**2 / hl + gr**2 / hr - whole[0] ** 2 / whole[1], 0.0)
+    gain = gain.round(9)  # equal gains stay equal in whatever order tasks' sums are added; ties go to the lowest feature, bin and leaf
+    feature, at = np.unravel_index(int(gain.argmax()), gain.shape)
+    return (float(gain[feature, at]), int(feature), int(at)) if gain[feature, at] > 0 else (0.0, 0, 0)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -143,7 +144,7 @@ def _matrix(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], pending: list[list[Tree]], growing: list[Tree], wanted: list[list[int]], n_features: int) -> Iterator[pa.RecordBatch]:
-    """One task's histograms of the wanted nodes of each class, as (class, node, feature, g, h, n), and the val loss as class -1."""
+    """One task's histograms of the wanted nodes of each class, as (class, node, g, h, n), and the val loss as class -1."""
     k = len(growing)
     size = n_features * (BINS + 1)
     total = [np.zeros((3, len(w) * size)) for w in wanted]
@@ -168,19 +169,24 @@ def _histograms(batches: Iterator[pa.RecordBatch], pending: list[list[Tree]], gr
             key = ((at[own, None] * n_features + np.arange(n_features)) * (BINS + 1) + bins[own]).ravel()
             for i, v in enumerate((g[own], h[own], None)):
                 total[c][i] += np.bincount(key, None if v is None else np.repeat(v, n_features), len(wanted[c]) * size)
-    out = [(-1, 0, 0, np.array([loss]).tobytes(), np.array([float(rows)]).tobytes(), b"")]
+    out = [(-1, 0, np.array([loss]).tobytes(), np.array([float(rows)]).tobytes(), np.zeros(1).tobytes())] if rows else []
     for c in range(k):
-        by = total[c].reshape(3, len(wanted[c]), n_features, BINS + 1)
-        out += [(c, node, f, *(by[i, j, f].tobytes() for i in range(3))) for j, node in enumerate(wanted[c]) for f in range(n_features) if by[2, j, f].any()]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["class", "node", "feature", "g", "h", "n"])
+        by = total[c].reshape(3, len(wanted[c]), size)
+        out += [(c, node, *(by[i, j].tobytes() for i in range(3))) for j, node in enumerate(wanted[c]) if by[2, j].any()]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["class", "node", "g", "h", "n"])
 
 
 def _best(key: tuple, table: pa.Table) -> pa.Table:
-    """The best split of one node by one feature, with the node's sums (or the summed val loss)."""
+    """The best split of one node, with the node's sums (or the summed val loss)."""
     g, h, n = (np.sum([np.frombuffer(b) for b in table[c].to_pylist()], axis=0) for c in "ghn")
-    gain, at = best_split(g, h, n) if key[0].as_py() >= 0 else (0.0, 0)
-    return pa.table({"class": [key[0].cast(pa.int32())], "node": [key[1].cast(pa.int32())], "feature": [key[2].cast(pa.int32())], "gain": [gain], "bin": pa.array([at], pa.int32()), "g": [float(g.sum())], "h": [float(h.sum())]})
+    if key[0].as_py() >= 0:
+        g, h, n = (x.reshape(-1, BINS + 1) for x in (g, h, n))
+        gain, feature, at = best_split(g, h, n)
+        own = g[0].sum(), h[0].sum()  # every feature's bins hold all rows
+    else:
+        (gain, feature, at), own = (0.0, 0, 0), (g[0], h[0])
+    return pa.table({"class": [key[0].cast(pa.int32())], "node": [key[1].cast(pa.int32())], "feature": pa.array([feature], pa.int32()), "gain": [gain], "bin": pa.array([at], pa.int32()), "g": [float(own[0])], "h": [float(own[1])]})
 
 
 def _grown(expanded: Tree, splits: dict, leaves: int, rate: float) -> tuple[Tree | None, set[int]]:
@@ -246,11 +252,9 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
     n_features = len(features)
 
     def found(growing: list[Tree], wanted: list[list[int]]) -> tuple[dict, float | None]:
-        sums = data.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features), "class int, node int, feature int, g binary, h binary, n binary")
-        got = sums.groupBy("class", "node", "feature").applyInArrow(_best, "class int, node int, feature int, gain double, bin int, g double, h double").collect()  # a row for each class, wanted node and feature
-        by: dict = {}
-        for r in sorted((r for r in got if r["class"] >= 0), key=lambda r: (-r["gain"], r["feature"])):
-            by.setdefault((r["class"], r["node"]), (r["gain"], r["feature"], r["bin"], r["g"], r["h"]))
+        sums = data.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features), "class int, node int, g binary, h binary, n binary")
+        got = sums.groupBy("class", "node").applyInArrow(_best, "class int, node int, feature int, gain double, bin int, g double, h double").collect()  # a row for each class and wanted node
+        by = {(r["class"], r["node"]): (r["gain"], r["feature"], r["bin"], r["g"], r["h"]) for r in got if r["class"] >= 0}
         held = [(r["g"], r["h"]) for r in got if r["class"] < 0]
         return by, held[0][0] / held[0][1] if held and held[0][1] else None
 

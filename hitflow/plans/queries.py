@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import clustering, contamination, edges, features, learning, mixture, network, patches, quality, synth, tof
+from ..operators import clustering, contamination, edges, features, learning, mixture, network, patches, quality, synth, tof, trees
 from ..sources import adapters
 from ..streaming import stream_clusters
+from .figures import timewalk_cells
 from .pipeline import saliency_means
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +276,17 @@ def c_timewalk(spark, d):
     return features.timewalk_histogram(feats(spark, d))
 
 
+@query("feats", "SELECT cluster_id, n_pixels, least(greatest(dt_min_vs_argmax, -200.0), 2000.0) AS dt_clipped, round(tot_mean, 6) AS tot_mean FROM feats")
+def c_timewalk_points(spark, d):
+    return features.timewalk_points(feats(spark, d)).select("cluster_id", "n_pixels", "dt_clipped", *six("tot_mean"))
+
+
+@query("feats", f"SELECT bin_x, bin_y, count(*) AS n, round(avg(tot_mean), 6) AS mean_tot FROM (SELECT tot_mean, {bins_sql('least(CAST(n_pixels AS DOUBLE), 60.0)', '0.0::DOUBLE', '60.0::DOUBLE', 60)} AS bin_x, {bins_sql('least(greatest(dt_min_vs_argmax, -200.0), 2000.0)', '-200.0::DOUBLE', '2000.0::DOUBLE', 80)} AS bin_y FROM feats) GROUP BY bin_x, bin_y")
+def c_timewalk_cells(spark, d):
+    """The scatter by cells, as it is drawn."""
+    return timewalk_cells(feats(spark, d))
+
+
 # --- time of flight
 
 
@@ -418,6 +430,23 @@ def h_importance(spark, d):
     return learning.importances(_boosted(spark, d)[1])
 
 
+def _leafwise(spark, d):
+    rows = fn.saved(learning.time_block_split(learning.labelled(labels(spark, d))))
+    return rows, trees.fit(rows, features.MODEL_FEATURES, rounds=20)
+
+
+@query()
+def h_leafwise(spark, d):
+    """Leaf-wise multiclass trees of up to 63 leaves, in as many rounds as h_gbt has."""
+    rows, model = _leafwise(spark, d)
+    return learning.class_report(model.transform(rows.where("split = 'test'")), "hard_label", "prediction")
+
+
+@query()
+def h_split_counts(spark, d):
+    return _leafwise(spark, d)[1].split_counts(spark)
+
+
 # --- contamination
 
 

@@ -76,7 +76,7 @@ def test_trees_equal_those_of_one_split_at_a_time(spark, monkeypatch, keep):
 
 def test_accuracy_early_stop_and_files(spark, tmp_path):
     df = fixture(spark, 2000)
-    model = trees.fit(df, NAMES, rounds=14, leaves=15, rate=0.4, stop=3)
+    model = trees.fit(df, NAMES, rounds=8, leaves=15, rate=0.5, stop=3)
     test = df.where("split = 'test'")
     right = model.transform(test).where("prediction = hard_label").count() / test.count()
     plain = learning.fit_boosted(df, NAMES)
