@@ -48,6 +48,15 @@ def test_edges(spark):
     assert contamination(docs.where("false"), bench).collect() == []
 
 
+def test_very_long_texts(spark):
+    """A window at the end of a text of 300 000 words, and a text that is one item over and over."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu"
+    rows = [(1, "word " * 300_000 + item), (2, (item + " ") * 3000), (3, "x" * 2_000_000)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = result(contamination(docs, bench))
+    assert got == {1: (300_012, 12, ["7"]), 2: (36_000, 36_000, ["7"]), 3: (1, 0, [])}
+
+
 def test_query_matches_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

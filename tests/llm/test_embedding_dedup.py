@@ -72,3 +72,10 @@ def test_leaves_split_further(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "_small", lambda d, n: seen.append(n) or d)
     assert result(near_vectors(df, sample=64)) == brute_force(exact)
     assert len(seen) > 6  # more than one round of subtrees
+
+
+def test_a_third_of_all_rows_null_or_equal(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i % 3 == 0 else [1.0, 2.0, 3.0] if i % 3 == 1 else rng.normal(size=3).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as n", "2 as w", "'x' as h1")
+    assert result(near_vectors(df)) == brute_force(rows)

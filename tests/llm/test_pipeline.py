@@ -122,3 +122,13 @@ def test_the_whole(spark, given):
     assert sum(ids[i] > 0 for i in range(240)) >= 0.98 * 240
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_an_empty_table_stops_nothing(spark, tmp_path, empty):
+    rows, labels, items, _ = planted()
+    tables = {"documents": ([(k, t, "en", "s", len(t or "")) for k, t in rows[:60]], SCHEMA), "labels": (labels[:60], "doc_id long, quality int, toxic int"), "benchmark": (items, "item_id long, text string")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame([] if name == empty else data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == (0 if empty == "documents" else 60)

@@ -51,3 +51,16 @@ def test_a_dimension_is_as_wide_as_its_bytes(spark):
     got = shards._coordinates(units).selectExpr("max(k_source) - min(k_source) as s", "max(k_lang) - min(k_lang) as l").first()
     whole = 1 << 56
     assert 0.49 * whole < got.s < 0.51 * whole and 0.49 * whole < got.l < 0.51 * whole
+
+
+def test_very_long_empty_and_tied_texts(spark):
+    """A third of all rows null or empty, some texts far above a shard's bytes, and all metadata equal."""
+    rows = [(i, None if i % 2 else "", "s", "en") for i in range(1200)] + [(5000 + i, f"t{i:04d} " * 40, "s", "en") for i in range(2400)]
+    rows += [(9000 + i, chr(97 + i) * 400_000, "s", "en") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 as size", "'z' as shard", "2 as part", "3 as n")
+    got = shard(df, 4).collect()
+    plan = check_plan(got, 4)
+    assert plan["gapless"] and len(got) == len(rows)
+    large = {r["doc_id"]: r["shard"] for r in got if r["doc_id"] >= 9000}
+    mean = sum(plan["bytes"].values()) / 4
+    assert len(set(large.values())) == 3 and all(abs(b - mean) < 0.03 * mean for b in plan["bytes"].values()), plan
