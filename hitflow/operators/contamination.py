@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import histogram
+from ..functions import histogram, saved
 
 MORPHOLOGY = ["n_pixels", "tot_sum", "tot_max", "eccentricity"]
 
@@ -43,7 +43,7 @@ def bimodality(df: DataFrame, features: list[str] = MORPHOLOGY, least: int = 10,
     groups = ["hard_label", "feature"]
     rows = tidy(df, features)
     low = rows.groupBy(*groups).agg(F.min("value").alias("low"), F.count("*").alias("size")).where(F.col("size") >= least)
-    x = rows.join(low, groups).select(*groups, F.log1p(F.col("value") - F.col("low") + 1e-3).alias("x")).groupBy(*groups, "x").agg(F.count("*").cast("double").alias("n")).persist()
+    x = saved(rows.join(low, groups).select(*groups, F.log1p(F.col("value") - F.col("low") + 1e-3).alias("x")).groupBy(*groups, "x").agg(F.count("*").cast("double").alias("n")))
     total = F.sum("n")
     mean, square = F.sum(F.col("n") * F.col("x")) / total, F.sum(F.col("n") * F.col("x") * F.col("x")) / total
     one = {tuple(r[g] for g in groups): r for r in x.groupBy(*groups).agg(total.alias("n"), mean.alias("m"), F.greatest(square - mean * mean, F.lit(1e-6)).alias("v"), F.expr("percentile(x, 0.1, cast(n as long))").alias("a"), F.expr("percentile(x, 0.9, cast(n as long))").alias("b")).collect()}
@@ -64,7 +64,6 @@ def bimodality(df: DataFrame, features: list[str] = MORPHOLOGY, least: int = 10,
             s1, s2 = max(r["s1"], 1e-9), max(r["s2"], 1e-9)
             m1, m2 = r["x1"] / s1, r["x2"] / s2
             now[tuple(r[g] for g in groups)] = (min(1 - 1e-6, max(1e-6, s1 / r["n"])), m1, m2, max(1e-6, r["q1"] / s1 - m1 * m1), max(1e-6, r["q2"] / s2 - m2 * m2), r["ll"])
-    x.unpersist()
     out = []
     for k, r in one.items():
         n = r["n"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import histogram, normal_pdf
+from ..functions import histogram, normal_pdf, saved
 
 LEAST_STD = 1.0
 
@@ -49,30 +49,27 @@ class Mixture:
 
 def fit(values: DataFrame, column: str, start: Mixture, iterations: int = 200, tolerance: float = 1e-6) -> Mixture:
     """Expectation maximisation; one aggregate over the distinct values per iteration, a few numbers to the driver."""
-    x = values.select(F.col(column).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").cast("double").alias("n")).persist()
-    now = start
-    try:
-        for step in range(iterations):
-            own = [f"d{i}" for i in range(len(now.weights))]
-            rows = x.select("x", "n", *(d.alias(c) for c, d in zip(own, now.densities(F.col("x")), strict=True)))
-            rows = rows.withColumn("total", F.greatest(sum((F.col(c) for c in own[1:]), F.col(own[0])), F.lit(1e-300)))
-            rows = rows.select("x", "n", F.log("total").alias("ll"), *((F.col(c) / F.col("total") * F.col("n")).alias(f"g{i}") for i, c in enumerate(own)))
-            peaks = range(len(now.means))
-            r = rows.agg(
-                F.sum(F.col("ll") * F.col("n")).alias("ll"), F.sum("n").alias("n"), F.sum(f"g{len(now.means)}").alias("bg"),
-                *(F.sum(f"g{i}").alias(f"s{i}") for i in peaks), *(F.sum(F.col(f"g{i}") * F.col("x")).alias(f"sx{i}") for i in peaks), *(F.sum(F.col(f"g{i}") * F.col("x") * F.col("x")).alias(f"sxx{i}") for i in peaks),
-            ).first()
-            if not r["n"]:
-                return now
-            size = [max(r[f"s{i}"], 1e-9) for i in peaks]
-            means = [r[f"sx{i}"] / size[i] for i in peaks]
-            stds = [max(LEAST_STD, math.sqrt(max(0.0, (r[f"sxx{i}"] - 2 * means[i] * r[f"sx{i}"] + means[i] ** 2 * r[f"s{i}"]) / size[i]))) for i in peaks]
-            before = now.log_likelihood
-            now = Mixture(now.period, tuple(r[f"s{i}"] / r["n"] for i in peaks) + (r["bg"] / r["n"],), tuple(means), tuple(stds), r["ll"], before, step + 1)
-            if before is not None and abs(r["ll"] - before) < tolerance:
-                break
-    finally:
-        x.unpersist()
+    x = values.select(F.col(column).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").cast("double").alias("n"))
+    x, now = saved(x), start
+    for step in range(iterations):
+        own = [f"d{i}" for i in range(len(now.weights))]
+        rows = x.select("x", "n", *(d.alias(c) for c, d in zip(own, now.densities(F.col("x")), strict=True)))
+        rows = rows.withColumn("total", F.greatest(sum((F.col(c) for c in own[1:]), F.col(own[0])), F.lit(1e-300)))
+        rows = rows.select("x", "n", F.log("total").alias("ll"), *((F.col(c) / F.col("total") * F.col("n")).alias(f"g{i}") for i, c in enumerate(own)))
+        peaks = range(len(now.means))
+        r = rows.agg(
+            F.sum(F.col("ll") * F.col("n")).alias("ll"), F.sum("n").alias("n"), F.sum(f"g{len(now.means)}").alias("bg"),
+            *(F.sum(f"g{i}").alias(f"s{i}") for i in peaks), *(F.sum(F.col(f"g{i}") * F.col("x")).alias(f"sx{i}") for i in peaks), *(F.sum(F.col(f"g{i}") * F.col("x") * F.col("x")).alias(f"sxx{i}") for i in peaks),
+        ).first()
+        if not r["n"]:
+            return now
+        size = [max(r[f"s{i}"], 1e-9) for i in peaks]
+        means = [r[f"sx{i}"] / size[i] for i in peaks]
+        stds = [max(LEAST_STD, math.sqrt(max(0.0, (r[f"sxx{i}"] - 2 * means[i] * r[f"sx{i}"] + means[i] ** 2 * r[f"s{i}"]) / size[i]))) for i in peaks]
+        before = now.log_likelihood
+        now = Mixture(now.period, tuple(r[f"s{i}"] / r["n"] for i in peaks) + (r["bg"] / r["n"],), tuple(means), tuple(stds), r["ll"], before, step + 1)
+        if before is not None and abs(r["ll"] - before) < tolerance:
+            break
     return now
 
 
