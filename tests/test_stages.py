@@ -149,7 +149,7 @@ def test_generator_and_run(spark, tmp_path):
     assert sorted(r.time_ns for r in pulses.collect()) == [r.time_ns for r in pulses.orderBy("pulse").collect()]
     again = synth.synth_hits(spark, 3e6)[0]
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, again.repartition(3).collect()))
-    out = pipeline.run(hits, pulses, str(tmp_path), sources.Config(em_iterations=20), trees=3)
+    out = pipeline.run(hits, pulses, str(tmp_path), sources.Config(em_iterations=20, extra={"rounds": 4}), trees=3)
     assert abs(sources.load_period(spark, str(tmp_path)) - 1785) < 1
     assert out["clusters"].where("tof_valid and not folded_tof_ns between 0 and 1786").count() == 0
     assert "## counts" in pipeline.markdown(out)
