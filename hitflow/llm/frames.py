@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that a Python worker gets: 10 000 texts would be some 30 MB, held by the executor and its worker each.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure a checkpoint folder is set.
 
     The cluster names the shared folder in spark.checkpoint.dir. Where that is unset, a folder of our
     own is used on one machine (master local), and anywhere else this is an error: other machines
     would not see it. With spark.cleaner.referenceTracking.cleanCheckpoints=true Spark removes what is no longer used.
+    Arrow batches are bounded by bytes, where the session does not bound them itself.
     """
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

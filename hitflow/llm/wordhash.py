@@ -142,11 +142,12 @@ def _word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: np
     return mix(value + (end - start).astype(U64))
 
 
-def blocks(batch: pa.RecordBatch | pa.Table, column: str, most: int = 2 << 20):
-    """Cut a batch into slices of about `most` bytes of text (a longer text is a slice of its own)."""
+def blocks(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 20):
+    """Cut a batch into slices of about `most` bytes of text (a longer text is a slice of its own). Memory that a slice leaves free goes back."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     total, start, n = np.concatenate([[0], np.cumsum(size)]), 0, len(size)
     while start < n:
         stop = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
