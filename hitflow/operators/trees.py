@@ -6,7 +6,8 @@ histograms and finds each node's best split by feature; the driver sees a row fo
 
 Growth is leaf-wise: of all leaves the one with the largest gain is split next, up to `leaves` leaves. One job makes the histograms
 of the children of every leaf that could be next, for all classes, so a round takes about as many jobs as its trees are deep and gives the very
-trees of one split at a time. Scores go with the rows and are written every `KEEP` rounds. The val block ends the boosting after `stop` rounds without a lower
+trees of one split at a time. Rows are packed: a row of the written table is a block of some thousand rows as plain numpy bytes (bins in one byte each), so a job
+reads some tens of bytes a row and makes no object for any. Scores go with them and are written every `KEEP` rounds. The val block ends the boosting after `stop` rounds without a lower
 loss, and the best round's trees are kept.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import saved
 from .learning import class_weights
 
-BINS, KEEP = 255, 10
+BINS, KEEP, BLOCK = 255, 1, 100_000
 #: A leaf has at least so many rows and so much second derivative.
 LEAST_ROWS, LEAST_H = 20, 1e-3
 
@@ -47,12 +48,19 @@ class Tree:
             column += [empty, empty]
         return n, n + 1
 
-    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        """The node without children that each row (of bins by feature) falls into."""
+    def nodes_of(self, bins: np.ndarray, wanted: list[int] | None = None) -> np.ndarray:
+        """The node without children that each row (of bins by feature) falls into; with `wanted`, rows stop where none of these can follow."""
         feature, at, left, right = (np.array(c) for c in (self.feature, self.bin, self.left, self.right))
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        inner = feature >= 0
+        if wanted is not None:
+            leads = np.zeros(len(feature), bool)
+            leads[wanted] = True
+            for i in reversed(range(len(feature))):  # children come after their parent
+                leads[i] |= inner[i] and (leads[left[i]] or leads[right[i]])
+            inner &= leads
         while len(rows):
-            rows = rows[feature[node[rows]] >= 0]
+            rows = rows[inner[node[rows]]]
             own = node[rows]
             node[rows] = np.where(bins[rows, feature[own]] <= at[own], left[own], right[own])
         return node
@@ -100,7 +108,7 @@ class Boosted:
             for batch in batches:
                 if batch.num_rows:
                     p = softmax(_scores(self.bins(batch), np.tile(self.start, (batch.num_rows, 1)), self.trees))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(p.argmax(axis=1).astype(np.int32))], names=[*fields, "probability", "prediction"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64())), pa.array(p.argmax(axis=1).astype(np.int32))], names=[*fields, "probability", "prediction"])
 
         return df.select(*fields).mapInArrow(run, shape)
 
@@ -139,35 +147,53 @@ def _scores(bins: np.ndarray, scores: np.ndarray, trees: list[list[Tree]]) -> np
     return scores
 
 
-def _matrix(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
-    return np.asarray(batch.column(name).flatten(), kind).reshape(batch.num_rows, -1)
+PACKED = "y binary, is_val binary, bins binary, scores binary"
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], pending: list[list[Tree]], growing: list[Tree], wanted: list[list[int]], n_features: int) -> Iterator[pa.RecordBatch]:
+def _packed(y: np.ndarray, val: np.ndarray, bins: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """One block of rows."""
+    columns = (y.astype(np.int32), val.astype(bool), bins.astype(np.uint8), scores.astype(np.float64))
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["y", "is_val", "bins", "scores"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """y, is_val, bins and scores of about BLOCK rows at a time."""
+    kinds, blocks, rows = (("y", np.int32), ("is_val", bool), ("bins", np.uint8), ("scores", np.float64)), [], 0
+    whole = lambda: tuple(np.concatenate(c) for c in zip(*blocks, strict=True))
+    for batch in batches:
+        for one in zip(*(batch.column(c).to_pylist() for c, _ in kinds), strict=True):
+            y, val, bins, scores = (np.frombuffer(b, kind) for b, (_, kind) in zip(one, kinds, strict=True))
+            blocks.append((y, val, bins.reshape(len(y), n_features), scores.reshape(len(y), k)))
+            rows += len(y)
+            if rows >= BLOCK:
+                yield whole()
+                blocks, rows = [], 0
+    if blocks:
+        yield whole()
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], pending: list[list[Tree]], growing: list[Tree], wanted: list[list[int]], n_features: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One task's histograms of the wanted nodes of each class, as (class, node, g, h, n), and the val loss as class -1."""
     k = len(growing)
     size = n_features * (BINS + 1)
     total = [np.zeros((3, len(w) * size)) for w in wanted]
     loss, rows = 0.0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bins, y = _matrix(batch, "bins", np.int64), np.asarray(batch.column("y"))
-        p = softmax(_scores(bins, _matrix(batch, "scores", np.float64), pending))
-        val = np.asarray(batch.column("is_val").cast(pa.int8())) > 0
+    for y, val, bins, scores in _unpacked(batches, n_features, k):
+        p = softmax(_scores(bins, scores, pending))
         loss -= float(np.log(np.maximum(p[val, y[val]], 1e-15)).sum())
         rows += int(val.sum())
-        bins, y, p, weight = bins[~val], y[~val], p[~val], np.asarray(batch.column("weight"), np.float64)[~val]
+        bins, y, p, weight = bins[~val], y[~val], p[~val], weights[y[~val]]
         for c in range(k):
             if not wanted[c]:
                 continue
             place = np.full(len(growing[c].feature), -1)
             place[wanted[c]] = np.arange(len(wanted[c]))
-            at = place[growing[c].nodes_of(bins)]
-            own = at >= 0
-            g, h = weight * (p[:, c] - (y == c)), weight * p[:, c] * (1 - p[:, c]) * (k / max(1, k - 1))
+            at = place[growing[c].nodes_of(bins, wanted[c])]
+            own = np.flatnonzero(at >= 0)
+            pc, wc = p[own, c], weight[own]
+            g, h = wc * (pc - (y[own] == c)), wc * pc * (1 - pc) * (k / max(1, k - 1))
             key = ((at[own, None] * n_features + np.arange(n_features)) * (BINS + 1) + bins[own]).ravel()
-            for i, v in enumerate((g[own], h[own], None)):
+            for i, v in enumerate((g, h, None)):
                 total[c][i] += np.bincount(key, None if v is None else np.repeat(v, n_features), len(wanted[c]) * size)
     out = [(-1, 0, np.array([loss]).tobytes(), np.array([float(rows)]).tobytes(), np.zeros(1).tobytes())] if rows else []
     for c in range(k):
@@ -240,19 +266,18 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                lists = [pa.array(model.bins(batch).tolist(), pa.list_(pa.int16())), pa.array([start] * batch.num_rows, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("weight"), batch.column("is_val"), *lists], names=["y", "weight", "is_val", "bins", "scores"])
+            if n := batch.num_rows:
+                yield _packed(np.asarray(batch.column("y")), np.asarray(batch.column("is_val").cast(pa.int8())), model.bins(batch), np.tile(start, (n, 1)))
 
-    own = F.coalesce(*(F.when(F.col(label) == c, F.lit(float(w))) for c, (w, _) in sizes.items()), F.lit(1.0))
-    shape = "y int, weight double, is_val boolean, bins array<smallint>, scores array<double>"
-    data = saved(rows.select(F.col(label).cast("int").alias("y"), own.alias("weight"), "is_val", *filled).mapInArrow(binned, shape))
+    by_class = np.array([sizes[c][0] if c in sizes else 1.0 for c in range(k)], np.float64)
+    cores = rows.sparkSession.sparkContext.defaultParallelism  # a task's histograms are as large for few rows as for many: as many tasks as run at once
+    data = saved(rows.select(F.col(label).cast("int").alias("y"), "is_val", *filled).coalesce(cores).mapInArrow(binned, PACKED))
     pending: list[list[Tree]] = []
     best, best_loss = 0, np.inf
     n_features = len(features)
 
     def found(growing: list[Tree], wanted: list[list[int]]) -> tuple[dict, float | None]:
-        sums = data.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features), "class int, node int, g binary, h binary, n binary")
+        sums = data.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features, by_class), "class int, node int, g binary, h binary, n binary")
         got = sums.groupBy("class", "node").applyInArrow(_best, "class int, node int, feature int, gain double, bin int, g double, h double").collect()  # a row for each class and wanted node
         by = {(r["class"], r["node"]): (r["gain"], r["feature"], r["bin"], r["g"], r["h"]) for r in got if r["class"] >= 0}
         held = [(r["g"], r["h"]) for r in got if r["class"] < 0]
@@ -289,12 +314,10 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
             kept, pending = pending, []
 
             def scored(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        s = _scores(_matrix(batch, "bins", np.int64), _matrix(batch, "scores", np.float64), kept)
-                        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s.tolist(), pa.list_(pa.float64()))], names=["y", "weight", "is_val", "bins", "scores"])
+                for y, val, bins, scores in _unpacked(batches, n_features, k):
+                    yield _packed(y, val, bins, _scores(bins, scores, kept))
 
-            data = saved(data.mapInArrow(scored, shape))
+            data = saved(data.mapInArrow(scored, PACKED))
     if model.losses:
         model.trees = model.trees[:best]
     return model
