@@ -38,3 +38,26 @@ def test_trees_read_blocks_of_rows(spark, monkeypatch):
     model = trees.fit(df, ["a", "b"], rounds=3, leaves=4, rate=0.5)
     assert len(seen) >= 3 and all(t.count() <= df.rdd.getNumPartitions() for t in seen)
     assert model.transform(df).where("prediction = hard_label").count() == 3000
+
+
+def test_the_network_splits_cells_not_patches(spark, sf, monkeypatch):
+    """Patches are filled behind the split and its sort, and only for the block at hand."""
+    seen, before = [], learning.time_block_split
+    monkeypatch.setattr(learning, "time_block_split", lambda df, *a: seen.append(df.columns) or before(df, *a))
+    monkeypatch.setattr(queries.network, "fit", lambda train, val, *a: (train, val))
+    test, (train, val) = queries._network(spark, sf)
+    assert "cells" in seen[0] and "ch0" not in seen[0]
+    assert all(set(df.select("split").distinct().toPandas()["split"]) <= {name} for df, name in ((test, "test"), (train, "train"), (val, "val")))
+    assert len(train.first()["ch0"]) == 256
+
+
+def test_a_field_of_equal_cells_passes_its_gradient_once():
+    """The largest of four cells, and of equal ones the first, takes the whole gradient."""
+    p = queries.network.initial(1, 2, 4, channels=(2,), hidden=3, seed=1, kind=np.float64)
+    x, s = np.zeros((2, 4, 4, 2)), np.ones((2, 1))
+    logits, back, _ = queries.network.forward(p | {"b0": np.ones(2)}, x, s)
+    g, dx = queries.network.backward(p, back, np.ones_like(logits), train=False)
+    joined, pre, *_ = back[-1]
+    per = ((np.ones_like(logits) @ p["h2"].T) * (pre > 0)) @ p["h1"].T
+    assert np.allclose(g["b0"], per[:, :2].sum(axis=0)) and dx.shape == x.shape
+    assert queries.network.backward(p, back, np.ones_like(logits), train=False, patches=False)[1] is None
