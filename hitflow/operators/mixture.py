@@ -96,7 +96,7 @@ def fit_curve(labelled: DataFrame, mixture: Mixture, bins: int = 199, points: in
     n = labelled.where("folded_tof_ns is not null").count()
     x = F.col("id") * F.lit(mixture.period / (points - 1))
     own = mixture.densities(x)
-    curve = labelled.sparkSession.range(points).select(x.alias("x"), (sum(own[1:], own[0]) * F.lit(n * mixture.period / bins)).alias("expected"))
+    curve = labelled.sparkSession.range(points).select(x.alias("x"), (sum(own[1:], own[0]) * F.lit(float(n)) * F.lit(mixture.period) / F.lit(float(bins))).alias("expected"))
     return hist, curve
 
 
