@@ -41,9 +41,9 @@ def bimodality(df: DataFrame, features: list[str] = MORPHOLOGY, least: int = 10,
     row per group.
     """
     groups = ["hard_label", "feature"]
-    rows = tidy(df, features)
-    low = rows.groupBy(*groups).agg(F.min("value").alias("low"), F.count("*").alias("size")).where(F.col("size") >= least)
-    x = saved(rows.join(low, groups).select(*groups, F.log1p(F.col("value") - F.col("low") + 1e-3).alias("x")).groupBy(*groups, "x").agg(F.count("*").cast("double").alias("n")))
+    rows = saved(tidy(df, features).groupBy(*groups, "value").agg(F.count("*").cast("double").alias("n")))  # the clusters are read here only
+    low = rows.groupBy(*groups).agg(F.min("value").alias("low"), F.sum("n").alias("size")).where(F.col("size") >= least)
+    x = saved(rows.join(F.broadcast(low), groups).select(*groups, F.log1p(F.col("value") - F.col("low") + 1e-3).alias("x"), "n"))  # a row of low for each class and feature
     total = F.sum("n")
     mean, square = F.sum(F.col("n") * F.col("x")) / total, F.sum(F.col("n") * F.col("x") * F.col("x")) / total
     one = {tuple(r[g] for g in groups): r for r in x.groupBy(*groups).agg(total.alias("n"), mean.alias("m"), F.greatest(square - mean * mean, F.lit(1e-6)).alias("v"), F.expr("percentile(x, 0.1, cast(n as long))").alias("a"), F.expr("percentile(x, 0.9, cast(n as long))").alias("b")).collect()}
