@@ -61,3 +61,19 @@ def test_a_field_of_equal_cells_passes_its_gradient_once():
     per = ((np.ones_like(logits) @ p["h2"].T) * (pre > 0)) @ p["h1"].T
     assert np.allclose(g["b0"], per[:, :2].sum(axis=0)) and dx.shape == x.shape
     assert queries.network.backward(p, back, np.ones_like(logits), train=False, patches=False)[1] is None
+
+
+def test_bimodality_and_temperature_read_distinct_values(spark, sf, monkeypatch):
+    """What goes on after the labels grows with the distinct values, not with the clusters."""
+    seen = {}
+    for module in (queries.contamination, queries.fn):
+        monkeypatch.setattr(module, "saved", lambda df, before=module.saved, name=module.__name__: seen.setdefault(name, []).append(before(df)) or seen[name][-1])
+    df = spark.range(4000).selectExpr("cast(id % 2 as int) as hard_label", "id % 7 as n_pixels", "cast(id % 5 as double) as tot_sum", "cast(id % 3 as double) as tot_max", "0.5 as eccentricity")
+    got = {(r.hard_label, r.feature): r.n for r in queries.contamination.bimodality(df, iterations=2).collect()}
+    assert len(got) == 8 and set(got.values()) == {2000}
+    assert all(t.count() <= 2 * (7 + 5 + 3 + 1) for t in seen[queries.contamination.__name__])
+    rows = spark.range(600).selectExpr("cast(id % 2 as int) as y", "array(cast(id % 3 as double), 1.0D) as z")
+    counted = rows.groupBy("y", "z").count()
+    assert learning.temperature(rows, "z", "y") == learning.temperature(counted, "z", "y", weight="count")
+    queries.QUERIES["i_temperature_fixed"](spark, sf)
+    assert "n" in seen[queries.fn.__name__][-1].columns
