@@ -204,6 +204,8 @@ def a_gap_sequence(spark, d):
 
 # --- clustering
 
+CLUSTER = ["cluster_id", "n_pixels", "t_min", "t_max"]
+
 
 @query("epochs", "SELECT epoch, count(*) AS n FROM epochs GROUP BY epoch")
 def b_epochs(spark, d):
@@ -212,22 +214,22 @@ def b_epochs(spark, d):
 
 @query("clustered", "SELECT cluster_id, count(*) AS n_pixels, min(time_ns) AS t_min, max(time_ns) AS t_max FROM clustered GROUP BY cluster_id")
 def b_clusters(spark, d):
-    return clustering.summary(clustering.cluster_hits(hits(spark, d)))
+    return clustering.clusters(hits(spark, d)).select(*CLUSTER)
 
 
 @query("clustered", "SELECT cluster_id, time_ns, x_pix, y_pix, tot FROM clustered", gap=1)
 def b_cluster_pixels(spark, d):
-    return clustering.cluster_hits(hits(spark, d), max_gap=1).drop("key")
+    return clustering.cluster_hits(hits(spark, d).drop("given_id"), max_gap=1).drop("key")
 
 
 @query("clustered", "SELECT cluster_id, count(*) AS n_pixels, min(time_ns) AS t_min, max(time_ns) AS t_max FROM clustered GROUP BY cluster_id", dt=15, criterion="min")
 def b_clusters_min(spark, d):
-    return clustering.summary(clustering.cluster_hits(hits(spark, d), 15.0, time_criterion="min"))
+    return clustering.clusters(hits(spark, d), 15.0, time_criterion="min").select(*CLUSTER)
 
 
 @query("clustered", "SELECT cluster_id, count(*) AS n_pixels, min(time_ns) AS t_min, max(time_ns) AS t_max FROM clustered GROUP BY cluster_id", dt=8)
 def b_clusters_short(spark, d):
-    return clustering.summary(clustering.cluster_hits(hits(spark, d), 8.0))
+    return clustering.clusters(hits(spark, d), 8.0).select(*CLUSTER)
 
 
 def _sweep_sql() -> str:

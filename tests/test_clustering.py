@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hitflow.operators import clustering
 from hitflow.operators.clustering import cluster_hits, summary
@@ -132,3 +133,40 @@ def test_sweep_reads_the_hits_once(spark, monkeypatch, large):
     if large > 400:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize("mode", ["chain", "min"])
+def test_rounds_over_arrays_give_what_the_fold_gives(mode):
+    """Crowded and sparse hits, equal times and places, reaches from 0 on and distances from 1 to 4."""
+    rng = np.random.default_rng(21)
+    for i in range(120):
+        n, wide, long = int(rng.integers(0, 90)), int(rng.integers(1, 14)), int(rng.integers(1, 400))
+        t, x, y = (a.astype(kind) for a, kind in zip((rng.integers(0, long, n), rng.integers(-wide, wide, n), rng.integers(0, wide, n)), (np.float64, np.int32, np.int32), strict=True))
+        order = np.lexsort((y, x, t))
+        t, x, y = t[order], x[order], y[order]
+        reach, d = float(rng.integers(0, 30)), 1 + i % 4
+        _, first, at = np.unique(clustering._labels(x, y, t, reach, d, mode == "chain")[0], return_index=True, return_inverse=True)
+        assert clustering._heads(x, y, t, reach, d, mode == "chain").tolist() == first[at].tolist()
+
+
+def test_short_clusters_are_not_folded_hit_by_hit(monkeypatch):
+    monkeypatch.setattr(clustering, "_labels", None)
+    t, x, y = np.repeat(np.arange(500) * 100.0, 4) + np.tile([0.0, 6, 12, 18], 500), np.tile([5, 6, 7, 7], 500), np.repeat(np.arange(500) * 7 % 50 * 3, 4)
+    assert clustering._heads(x, y, t, 2000.0, 1, False).tolist() == clustering._heads(x, y, t, 7.0, 1, True).tolist() == np.repeat(np.arange(500) * 4, 4).tolist()
+
+
+@pytest.mark.parametrize("burst", [0, 300])
+def test_blocks_of_time_and_their_ends(spark, monkeypatch, burst):
+    """Epochs within blocks, across their ends and longer than they are; a burst above LARGE; each row of the hits goes once."""
+    monkeypatch.setattr(clustering, "LARGE", 200)
+    rng = random.Random(22 + burst)
+    rows = [(rng.randint(0, 9), rng.randint(0, 9), rng.randint(0, 9000)) for _ in range(700)] + [(rng.randint(0, 9), rng.randint(0, 9), 4000 + rng.randint(0, 3)) for _ in range(burst)]
+    df = spark.createDataFrame([(x, y, float(t), x, i) for i, (x, y, t) in enumerate(rows)], "x_pix int, y_pix int, time_ns double, tot int, given_id long")
+    add, dealt, left = clustering._blocks(clustering._rows(df), 12.0, 50.0)
+    assert dealt.count() + left.count() == len(rows) and dealt.groupBy("g", "h").count().agg({"count": "max"}).first()[0] <= 200 and (left.count() > 0) == bool(burst)
+    want = footprints(rows, 12, 0, True)
+    assert found(spark, rows, dt_ns=12.0, slice_ns=50.0) == want
+    first = {i: (min((h[2], h[0], h[1]) for h in c), max(h[2] for h in c), len(c), sum(h[0] for h in c)) for i, c in enumerate(sorted(want, key=lambda c: min((h[2], h[0], h[1]) for h in c)))}
+    got = clustering.clusters(df, 12.0, slice_ns=50.0)
+    assert {r.cluster_id: ((r.t_min, r.x0, r.y0), r.t_max, r.n_pixels, r.tot_sum) for r in got.collect()} == first
+    assert {r.key for r in cluster_hits(df, 12.0, slice_ns=50.0).collect()} == {str(i) for i in range(len(rows))}
