@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,16 +74,23 @@ def fit(values: DataFrame, column: str, start: Mixture, iterations: int = 200, t
     return now
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) in which value stands once, however often it is used: filters on the result are pushed below it and would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def assign(clusters: DataFrame, mixture: Mixture, column: str = "folded_tof_ns", confidence: float = 0.9) -> DataFrame:
     """Adds posterior_<name>, label_confidence and hard_label (-1: ambiguous, K: background, null: no value)."""
-    names = [f"posterior_{n}" for n in mixture.names]
-    out = clusters.withColumns(dict(zip(names, mixture.densities(F.col(column)), strict=True)))
-    out = out.withColumn("density", F.greatest(sum((F.col(c) for c in names[1:]), F.col(names[0])), F.lit(1e-300)))
-    out = out.withColumns({c: F.col(c) / F.col("density") for c in names}).drop("density")
-    out = out.withColumn("label_confidence", F.greatest(*names))
-    best = F.array_position(F.array(*names), F.col("label_confidence")) - 1
-    label = F.when(F.col(column).isNull(), None).when(F.col("label_confidence") < confidence, -1).otherwise(best)
-    return out.withColumn("hard_label", label.cast("int"))
+    names, x = [f"posterior_{n}" for n in mixture.names], F.col(column)
+    of = lambda a: [F.get(a, F.lit(i)) for i in range(len(names))]
+    shares = _once(F.array(*mixture.densities(x)), lambda d: _once(F.greatest(sum(of(d)[1:], of(d)[0]), F.lit(1e-300)), lambda total: F.array(*(own / total for own in of(d)))))
+
+    def labelled(p: Column, top: Column) -> Column:
+        label = F.when(x.isNull(), None).when(top < confidence, -1).otherwise(F.array_position(p, top) - 1)
+        return F.struct(*(own.alias(c) for c, own in zip(names, of(p), strict=True)), top.alias("label_confidence"), label.cast("int").alias("hard_label"))
+
+    out = clusters.withColumn("assigned", _once(shares, lambda p: _once(F.greatest(*of(p)), lambda top: labelled(p, top))))
+    return out.withColumns({c: F.col(f"assigned.{c}") for c in [*names, "label_confidence", "hard_label"]}).drop("assigned")
 
 
 def label_clusters(clusters: DataFrame, period: float, means: list[float], stds: list[float], iterations: int = 200, confidence: float = 0.9) -> tuple[DataFrame, Mixture]:

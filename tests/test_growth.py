@@ -1,7 +1,7 @@
 """Steps whose cost must not outgrow the input."""
 
 import numpy as np
-from hitflow.operators import learning, patches, trees
+from hitflow.operators import learning, mixture, patches, trees
 from hitflow.plans import queries
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -77,3 +77,17 @@ def test_bimodality_and_temperature_read_distinct_values(spark, sf, monkeypatch)
     assert learning.temperature(rows, "z", "y") == learning.temperature(counted, "z", "y", weight="count")
     queries.QUERIES["i_temperature_fixed"](spark, sf)
     assert "n" in seen[queries.fn.__name__][-1].columns
+
+
+def test_filters_on_labels_repeat_no_densities(spark):
+    """A filter on the label is pushed below it; each density stands in it a few times, not once for each use of each share."""
+    start = mixture.Mixture.start(1785.0, [175.0, 250.0], [20.0, 20.0])
+    df = spark.createDataFrame([(170.0,), (213.0,), (1000.0,), (None,)], "folded_tof_ns double")
+    got = mixture.assign(df, start)
+    plan = got.where("hard_label >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.lower().count("exp(") <= 12
+    rows = got.collect()
+    assert [r.hard_label for r in rows] == [0, -1, 2, None] and rows[3].label_confidence is None
+    for r in rows[:3]:
+        p = [r.posterior_peak_0, r.posterior_peak_1, r.posterior_background]
+        assert abs(sum(p) - 1) < 1e-12 and r.label_confidence == max(p)
