@@ -91,3 +91,33 @@ def test_filters_on_labels_repeat_no_densities(spark):
     for r in rows[:3]:
         p = [r.posterior_peak_0, r.posterior_peak_1, r.posterior_background]
         assert abs(sum(p) - 1) < 1e-12 and r.label_confidence == max(p)
+
+
+def test_trees_get_narrow_rows_in_even_tasks(spark, sf, monkeypatch):
+    """Only what the trees read is split, sorted and written, in some tasks a core; only the test block is scored for its report."""
+    split, scored = [], []
+    before, predict = learning.time_block_split, learning.predict
+    monkeypatch.setattr(learning, "time_block_split", lambda df, **a: split.append((df.columns, a)) or before(df, **a))
+    monkeypatch.setattr(learning, "predict", lambda df, model: scored.append(df) or predict(df, model))
+    support = {r["class"]: r.support for r in queries.QUERIES["h_gbt"](spark, sf).collect()}
+    assert len(split[0][0]) == 3 + len(queries.features.MODEL_FEATURES) and split[0][1] == {"even": True}
+    assert {r.split for r in scored[0].select("split").distinct().collect()} == {"test"} and support["accuracy"] == scored[0].count()
+    rows = spark.range(90_000).selectExpr("id as cluster_id", "id * 1e5 as t_min")
+    even, usual = before(rows, even=True), before(rows)
+    assert even.rdd.getNumPartitions() == 5 and sorted(even.collect()) == sorted(usual.collect())
+    sizes = even.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert max(sizes) < 1.3 * sum(sizes) / len(sizes)
+
+
+def test_scores_stay_with_their_rows(spark):
+    """No join by id: rows without one, or with the same, keep their own score; nothing is kept in the cache after the fit."""
+    df = spark.range(600).selectExpr("if(id % 50 = 0, null, id div 2) as cluster_id", "id as t_min", "cast(id % 10 as double) as a", "if(id % 7 = 0, -1, cast(id % 10 > 4 as int)) as hard_label", "if(id < 500, 'train', 'val') as split")
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    before = held()
+    model = learning.fit_boosted(learning.labelled(df), ["a"])
+    assert held() <= before
+    out = learning.predict(df.withColumn("features", F.lit("kept")), model)
+    assert out.columns == [*df.columns, "features", "predicted_label"] and out.count() == 600
+    assert out.where("hard_label < 0 and predicted_label is not null or hard_label >= 0 and predicted_label is null").count() == 0
+    assert out.where("hard_label >= 0 and predicted_label <> hard_label").count() == 0
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
