@@ -1,7 +1,7 @@
 """Steps whose cost must not outgrow the input."""
 
 import numpy as np
-from hitflow.operators import learning, mixture, patches, trees
+from hitflow.operators import learning, mixture, network, patches, trees
 from hitflow.plans import queries
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -121,3 +121,33 @@ def test_scores_stay_with_their_rows(spark):
     assert out.where("hard_label < 0 and predicted_label is not null or hard_label >= 0 and predicted_label is null").count() == 0
     assert out.where("hard_label >= 0 and predicted_label <> hard_label").count() == 0
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_network_reads_blocks_of_rows(spark, monkeypatch):
+    """The written tables of the training have a row for each block of patches, not for each patch."""
+    seen, before = [], network.saved
+    monkeypatch.setattr(network, "saved", lambda df: seen.append(before(df)) or seen[-1])
+    flat = "transform(sequence(0, 15), i -> if(i = 5 or i = 6 and id % 2 = 0, 1.0D, 0.0D))"
+    df = spark.range(3000).selectExpr("id as cluster_id", f"{flat} as ch0", f"{flat} as ch1", "array(1.0D) as scalars", "array(cast(id % 2 as double), cast(1 - id % 2 as double)) as target").coalesce(2)
+    net = network.fit(df, df.limit(500), 4, 2, rounds=6, channels=(4, 4), hidden=8, rate=2e-2)
+    assert len(seen) == 2 and all(0 < t.count() <= 4 for t in seen)
+    assert len(net.losses) == 6 and net.transform(df).where("prediction = 1 - cluster_id % 2").count() == 3000
+
+
+def test_cells_that_all_patches_share_are_computed_once():
+    """Windows around what differs give the logits, statistics and gradients of whole patches, for small arrays inside."""
+    rng = np.random.default_rng(6)
+    for size, box, channels in ((16, (6, 11), (16, 32, 32, 64)), (16, (0, 3), (4, 3)), (7, (5, 7), (3, 4)), (9, (3, 4), (3, 4, 5))):
+        p = {k: v + rng.normal(0, 0.2, v.shape) ** 2 for k, v in network.initial(3, 4, size, channels, 6, kind=np.float64).items()}
+        x, s, y = np.full((9, size, size, 2), (-0.3, 0.2)), rng.normal(size=(9, 3)), rng.dirichlet(np.ones(4), 9)
+        x[:, box[0] : box[1], box[0] : box[1]] = rng.normal(size=(9, box[1] - box[0], box[1] - box[0], 2))
+        for train in (True, False):
+            want, back, stats = network.forward(p, x, s, train)
+            got, narrow, own = network.forward(p, x, s, train, windows=True)
+            assert np.allclose(got, want, atol=1e-10) and all(np.allclose(own[k], stats[k], atol=1e-10) for k in stats)
+        want, back, _ = network.forward(p, x, s, True)
+        got, narrow, _ = network.forward(p, x, s, True, windows=True)
+        assert narrow[0][0].size < back[0][0].size or box[0] == 0  # a filled first corner leaves the whole patch
+        d = network.cross_entropy(want, y)[1]
+        g, own = network.backward(p, back, d)[0], network.backward(p, narrow, d, patches=False)[0]
+        assert g.keys() == own.keys() and all(np.allclose(own[k], g[k], atol=1e-10) for k in g)
