@@ -2,12 +2,13 @@
 
 Each round fits one tree for each class to the gradients of the softmax loss. Features are cut into at most `BINS` bins at quantiles
 of the train block. A task adds up gradients, second derivatives and rows by class, node, feature and bin for its rows; Spark adds the tasks'
-histograms and finds each node's best split by feature; the driver sees a row for each class and node, whatever the input.
+histograms and finds each node's best split by feature; the driver sees a row for each class and node, whatever the input. Of two children, only the
+smaller's histogram is made; the other's is what is left of their parent's, which the driver keeps until then (`HELD` bytes at most, or both are made).
 
 Growth is leaf-wise: of all leaves the one with the largest gain is split next, up to `leaves` leaves. One job makes the histograms
 of the children of every leaf that could be next, for all classes, so a round takes about as many jobs as its trees are deep and gives the very
 trees of one split at a time. Rows are packed: a row of the written table is a block of some thousand rows as plain numpy bytes (bins in one byte each), so a job
-reads some tens of bytes a row and makes no object for any. Scores go with them and are written every `KEEP` rounds. The val block ends the boosting after `stop` rounds without a lower
+reads some tens of bytes a row and makes no object for any; val rows lie beside the others and are read once a round. Scores go with them and are written every `KEEP` rounds. The val block ends the boosting after `stop` rounds without a lower
 loss, and the best round's trees are kept.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import saved
 from .learning import class_weights
 
-BINS, KEEP, BLOCK = 255, 1, 100_000
+BINS, KEEP, BLOCK, HELD = 255, 1, 100_000, 1 << 28
 #: A leaf has at least so many rows and so much second derivative.
 LEAST_ROWS, LEAST_H = 20, 1e-3
 
@@ -50,8 +51,7 @@ class Tree:
 
     def nodes_of(self, bins: np.ndarray, wanted: list[int] | None = None) -> np.ndarray:
         """The node without children that each row (of bins by feature) falls into; with `wanted`, rows stop where none of these can follow."""
-        feature, at, left, right = (np.array(c) for c in (self.feature, self.bin, self.left, self.right))
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        feature, at, left, right = (np.array(c, np.intp) for c in (self.feature, self.bin, self.left, self.right))
         inner = feature >= 0
         if wanted is not None:
             leads = np.zeros(len(feature), bool)
@@ -59,10 +59,24 @@ class Tree:
             for i in reversed(range(len(feature))):  # children come after their parent
                 leads[i] |= inner[i] and (leads[left[i]] or leads[right[i]])
             inner &= leads
-        while len(rows):
-            rows = rows[inner[node[rows]]]
-            own = node[rows]
-            node[rows] = np.where(bins[rows, feature[own]] <= at[own], left[own], right[own])
+        if not inner[0]:
+            return np.zeros(len(bins), np.intp)
+        flat, children = np.ascontiguousarray(bins).ravel(), np.stack([left, right], axis=1).ravel()
+        at = at.astype(flat.dtype)
+        node, rows = np.zeros(len(bins), np.intp), None  # rows: those still on their way, all at first
+        first, own = np.arange(len(bins)) * bins.shape[1], node
+        while len(own):
+            beyond = flat.take(feature.take(own) + first) > at.take(own)
+            own = children.take(2 * own + beyond)
+            on = np.flatnonzero(inner.take(own))
+            if len(on) == len(own):
+                continue
+            if rows is None:
+                node, rows = own, on
+            else:
+                node[rows] = own
+                rows = rows.take(on)
+            own, first = own.take(on), first.take(on)
         return node
 
 
@@ -147,24 +161,27 @@ def _scores(bins: np.ndarray, scores: np.ndarray, trees: list[list[Tree]]) -> np
     return scores
 
 
-PACKED = "y binary, is_val binary, bins binary, scores binary"
+KINDS = {"y": np.int32, "bins": np.uint8, "scores": np.float64}
+PACKED = ", ".join(f"{of}{c} binary" for of in ("", "val_") for c in KINDS)
 
 
-def _packed(y: np.ndarray, val: np.ndarray, bins: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    """One block of rows."""
-    columns = (y.astype(np.int32), val.astype(bool), bins.astype(np.uint8), scores.astype(np.float64))
-    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["y", "is_val", "bins", "scores"])
+def _packed(train: tuple[np.ndarray, ...], val: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """One block of rows: y, bins and scores, and those of its val rows."""
+    columns = [c.astype(kind) for rows in (train, val) for c, kind in zip(rows, KINDS.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=[f"{of}{c}" for of in ("", "val_") for c in KINDS])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """y, is_val, bins and scores of about BLOCK rows at a time."""
-    kinds, blocks, rows = (("y", np.int32), ("is_val", bool), ("bins", np.uint8), ("scores", np.float64)), [], 0
-    whole = lambda: tuple(np.concatenate(c) for c in zip(*blocks, strict=True))
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, k: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """y, bins and scores of about BLOCK rows at a time, and those of the val rows with them where these are read too."""
+    blocks, rows = [], 0
+    whole = lambda: [tuple(np.concatenate(c) for c in zip(*own, strict=True)) for own in zip(*blocks, strict=True)]
     for batch in batches:
-        for one in zip(*(batch.column(c).to_pylist() for c, _ in kinds), strict=True):
-            y, val, bins, scores = (np.frombuffer(b, kind) for b, (_, kind) in zip(one, kinds, strict=True))
-            blocks.append((y, val, bins.reshape(len(y), n_features), scores.reshape(len(y), k)))
-            rows += len(y)
+        for i in range(batch.num_rows):
+            blocks.append([])
+            for of in ("", "val_") if "val_y" in batch.schema.names else ("",):
+                y, bins, scores = (np.frombuffer(batch.column(f"{of}{c}")[i].as_buffer(), kind) for c, kind in KINDS.items())
+                blocks[-1].append((y, bins.reshape(len(y), n_features), scores.reshape(len(y), k)))
+                rows += len(y)
             if rows >= BLOCK:
                 yield whole()
                 blocks, rows = [], 0
@@ -173,37 +190,48 @@ def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, k: int) -> Ite
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], pending: list[list[Tree]], growing: list[Tree], wanted: list[list[int]], n_features: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One task's histograms of the wanted nodes of each class, as (class, node, g, h, n), and the val loss as class -1."""
+    """One task's histograms of the wanted nodes of each class, as (class, node, g, h, n), and the val loss, where val rows are read, as class -1."""
     k = len(growing)
-    size = n_features * (BINS + 1)
-    total = [np.zeros((3, len(w) * size)) for w in wanted]
+    total = [np.zeros((3, len(w), n_features, BINS + 1)) for w in wanted]
     loss, rows = 0.0, 0
-    for y, val, bins, scores in _unpacked(batches, n_features, k):
-        p = softmax(_scores(bins, scores, pending))
-        loss -= float(np.log(np.maximum(p[val, y[val]], 1e-15)).sum())
-        rows += int(val.sum())
-        bins, y, p, weight = bins[~val], y[~val], p[~val], weights[y[~val]]
+    for (y, bins, scores), *held in _unpacked(batches, n_features, k):
+        for val_y, val_bins, val_scores in held:
+            p = softmax(_scores(val_bins, val_scores, pending))
+            loss -= float(np.log(np.maximum(p[np.arange(len(val_y)), val_y], 1e-15)).sum())
+            rows += len(val_y)
+        if not len(y) or not any(wanted):
+            continue
+        scores, weight, columns = _scores(bins, scores, pending), weights[y], np.ascontiguousarray(bins.T)
+        found = []
         for c in range(k):
-            if not wanted[c]:
-                continue
             place = np.full(len(growing[c].feature), -1)
             place[wanted[c]] = np.arange(len(wanted[c]))
-            at = place[growing[c].nodes_of(bins, wanted[c])]
+            at = place[growing[c].nodes_of(bins, wanted[c])] if wanted[c] else np.full(len(y), -1)
             own = np.flatnonzero(at >= 0)
-            pc, wc = p[own, c], weight[own]
+            found.append((own, at[own]))
+        every = softmax(scores) if sum(len(own) for own, _ in found) > len(y) else None
+        for c, (own, at) in enumerate(found):
+            if not len(own):
+                continue
+            pc, wc = every[own, c] if every is not None else softmax(scores[own])[:, c], weight[own]
             g, h = wc * (pc - (y[own] == c)), wc * pc * (1 - pc) * (k / max(1, k - 1))
-            key = ((at[own, None] * n_features + np.arange(n_features)) * (BINS + 1) + bins[own]).ravel()
-            for i, v in enumerate((g, h, None)):
-                total[c][i] += np.bincount(key, None if v is None else np.repeat(v, n_features), len(wanted[c]) * size)
+            first, cells = at * (BINS + 1), len(wanted[c]) * (BINS + 1)
+            for f, column in enumerate(columns):  # a feature at a time: its sums stay in the processor's cache
+                key = first + column.take(own)
+                for i, v in enumerate((g, h, None)):
+                    total[c][i, :, f] += np.bincount(key, v, cells).reshape(-1, BINS + 1)
     out = [(-1, 0, np.array([loss]).tobytes(), np.array([float(rows)]).tobytes(), np.zeros(1).tobytes())] if rows else []
     for c in range(k):
-        by = total[c].reshape(3, len(wanted[c]), size)
-        out += [(c, node, *(by[i, j].tobytes() for i in range(3))) for j, node in enumerate(wanted[c]) if by[2, j].any()]
+        out += [(c, node, *(total[c][i, j].tobytes() for i in range(3))) for j, node in enumerate(wanted[c]) if total[c][2, j].any()]
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["class", "node", "g", "h", "n"])
 
 
-def _best(key: tuple, table: pa.Table) -> pa.Table:
+#: What is known of a node: the best split, the node's sums and, where kept, its histogram (or the summed val loss).
+FOUND = "class int, node int, feature int, gain double, bin int, g double, h double, whole binary"
+
+
+def _best(key: tuple, table: pa.Table, keep: bool = False) -> pa.Table:
     """The best split of one node, with the node's sums (or the summed val loss)."""
     g, h, n = (np.sum([np.frombuffer(b) for b in table[c].to_pylist()], axis=0) for c in "ghn")
     if key[0].as_py() >= 0:
@@ -211,8 +239,16 @@ def _best(key: tuple, table: pa.Table) -> pa.Table:
         gain, feature, at = best_split(g, h, n)
         own = g[0].sum(), h[0].sum()  # every feature's bins hold all rows
     else:
-        (gain, feature, at), own = (0.0, 0, 0), (g[0], h[0])
-    return pa.table({"class": [key[0].cast(pa.int32())], "node": [key[1].cast(pa.int32())], "feature": pa.array([feature], pa.int32()), "gain": [gain], "bin": pa.array([at], pa.int32()), "g": [float(own[0])], "h": [float(own[1])]})
+        (gain, feature, at), own, keep = (0.0, 0, 0), (g[0], h[0]), False
+    whole = np.stack([g, h, n]).tobytes() if keep else None
+    return pa.table({"class": [key[0].cast(pa.int32())], "node": [key[1].cast(pa.int32())], "feature": pa.array([feature], pa.int32()), "gain": [gain], "bin": pa.array([at], pa.int32()), "g": [float(own[0])], "h": [float(own[1])], "whole": pa.array([whole], pa.binary())})
+
+
+def _left_over(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The histogram of the other child. Bins without rows hold exactly nothing, so that equal splits stay equal."""
+    out = parent - child
+    out[:2][:, out[2] == 0] = 0
+    return out
 
 
 def _grown(expanded: Tree, splits: dict, leaves: int, rate: float) -> tuple[Tree | None, set[int]]:
@@ -267,7 +303,8 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if n := batch.num_rows:
-                yield _packed(np.asarray(batch.column("y")), np.asarray(batch.column("is_val").cast(pa.int8())), model.bins(batch), np.tile(start, (n, 1)))
+                val, columns = np.asarray(batch.column("is_val").cast(pa.int8())).astype(bool), (np.asarray(batch.column("y")), model.bins(batch), np.tile(start, (n, 1)))
+                yield _packed(*(tuple(c[rows] for c in columns) for rows in (~val, val)))
 
     by_class = np.array([sizes[c][0] if c in sizes else 1.0 for c in range(k)], np.float64)
     cores = rows.sparkSession.sparkContext.defaultParallelism  # a task's histograms are as large for few rows as for many: as many tasks as run at once
@@ -276,19 +313,27 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
     best, best_loss = 0, np.inf
     n_features = len(features)
 
-    def found(growing: list[Tree], wanted: list[list[int]]) -> tuple[dict, float | None]:
-        sums = data.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features, by_class), "class int, node int, g binary, h binary, n binary")
-        got = sums.groupBy("class", "node").applyInArrow(_best, "class int, node int, feature int, gain double, bin int, g double, h double").collect()  # a row for each class and wanted node
+    keep = 24 * n_features * (BINS + 1) * leaves * k <= HELD
+
+    def found(growing: list[Tree], wanted: list[list[int]], first: bool) -> tuple[dict, dict, float | None]:
+        read = data if first else data.select(*KINDS)
+        sums = read.mapInArrow(lambda it: _histograms(it, pending, growing, wanted, n_features, by_class), "class int, node int, g binary, h binary, n binary")
+        got = sums.groupBy("class", "node").applyInArrow(lambda key, table: _best(key, table, keep), FOUND).collect()  # a row for each class and wanted node
         by = {(r["class"], r["node"]): (r["gain"], r["feature"], r["bin"], r["g"], r["h"]) for r in got if r["class"] >= 0}
+        histograms = {(r["class"], r["node"]): np.frombuffer(r["whole"]).reshape(3, n_features, BINS + 1) for r in got if r["whole"] is not None}
         held = [(r["g"], r["h"]) for r in got if r["class"] < 0]
-        return by, held[0][0] / held[0][1] if held and held[0][1] else None
+        return by, histograms, held[0][0] / held[0][1] if held and held[0][1] else None
 
     for turn in range(rounds + 1):
         growing, splits = [Tree() for _ in range(k)], [{} for _ in range(k)]
         wanted, done = [[0] if turn < rounds else [] for _ in range(k)], [None] * k
-        first = True
+        first, whole, others = True, {}, {}  # histograms by class and node; the nodes that follow from another, with their parent
         while first or any(wanted):
-            by, held = found(growing, wanted)
+            by, made, held = found(growing, wanted, first)
+            whole |= made
+            for (c, node), (other, parent) in others.items():
+                whole[c, other] = _left_over(whole.pop((c, parent)), whole[c, node])
+                by[c, other] = (*best_split(*whole[c, other]), *(float(x[0].sum()) for x in whole[c, other][:2]))
             if first and turn and held is not None:
                 model.losses.append(held)
                 if held < best_loss:
@@ -298,12 +343,18 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
                 splits[c][node] = s
             if held is not None and turn - best >= stop:
                 break
-            wanted = [[] for _ in range(k)]
+            wanted, others = [[] for _ in range(k)], {}
             for c in range(k if turn < rounds else 0):
                 if done[c] is None:
                     done[c], missing = _grown(growing[c], splits[c], leaves, rate)
                     for node in sorted(missing):
-                        wanted[c] += growing[c].split(node, *splits[c][node][1:3])
+                        feature, at = splits[c][node][1:3]
+                        children = growing[c].split(node, feature, at)
+                        if (c, node) in whole:
+                            n = whole[c, node][2, feature]
+                            small, large = children if 2 * n[: at + 1].sum() <= n.sum() else children[::-1]
+                            others[c, small], children = (large, node), (small,)
+                        wanted[c] += children
         if turn == rounds or any(t is None for t in done):
             break
         if all(len(t.feature) == 1 for t in done):  # nothing left to split
@@ -314,8 +365,8 @@ def fit(split: DataFrame, features: list[str], label: str = "hard_label", rounds
             kept, pending = pending, []
 
             def scored(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-                for y, val, bins, scores in _unpacked(batches, n_features, k):
-                    yield _packed(y, val, bins, _scores(bins, scores, kept))
+                for blocks in _unpacked(batches, n_features, k):
+                    yield _packed(*((y, bins, _scores(bins, scores, kept)) for y, bins, scores in blocks))
 
             data = saved(data.mapInArrow(scored, PACKED))
     if model.losses:

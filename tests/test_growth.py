@@ -151,3 +151,24 @@ def test_cells_that_all_patches_share_are_computed_once():
         d = network.cross_entropy(want, y)[1]
         g, own = network.backward(p, back, d)[0], network.backward(p, narrow, d, patches=False)[0]
         assert g.keys() == own.keys() and all(np.allclose(own[k], g[k], atol=1e-10) for k in g)
+
+
+def test_trees_make_one_histogram_for_two_children(spark, monkeypatch):
+    """The larger child's is what the parent's leaves over, with the same trees; val rows lie apart and are read once a round."""
+    df = spark.range(3000).selectExpr("id as cluster_id", "cast(id % 97 as double) as a", "cast(id % 31 as double) as b", "cast(id * 7 % 13 as double) as c", "cast((id % 97 + id % 31) % 3 as int) as hard_label", "if(id % 4 = 0, 'val', 'train') as split")
+    left, before, made = [], trees._left_over, []
+    monkeypatch.setattr(trees, "_left_over", lambda *a: left.append(before(*a)) or left[-1])
+    for held in (trees.HELD, 0):
+        monkeypatch.setattr(trees, "HELD", held)
+        made.append(trees.fit(df, ["a", "b", "c"], rounds=3, leaves=9, rate=0.5))
+        made.append(len(left))
+    model, some, plain, as_many = made
+    assert some == as_many >= 3 * 3 * 4  # none more without room for histograms
+    assert np.allclose(model.losses, plain.losses, rtol=1e-12)
+    for one, two in zip(sum(model.trees, []), sum(plain.trees, []), strict=True):
+        assert (one.feature, one.bin, one.left, one.right) == (two.feature, two.bin, two.left, two.right) and np.allclose(one.value, two.value, rtol=1e-9)
+    packed = trees._packed((np.arange(3), np.zeros((3, 2)), np.ones((3, 3))), (np.arange(1), np.zeros((1, 2)), np.ones((1, 3))))
+    assert [len(rows[0]) for rows in next(trees._unpacked(iter([packed]), 2, 3))] == [3, 1]
+    assert [len(rows[0]) for rows in next(trees._unpacked(iter([packed.select(list(trees.KINDS))]), 2, 3))] == [3]
+    odd = trees._left_over(np.array([[[0.3, 0.1]], [[0.2, 0.4]], [[2.0, 1.0]]]), np.array([[[0.3, 0.1 + 1e-17]], [[0.2, 0.1]], [[1.0, 1.0]]]))
+    assert odd[:, 0, 1].tolist() == [0.0, 0.0, 0.0] and odd[2, 0, 0] == 1
