@@ -14,6 +14,7 @@ loss, and the best round's trees are kept.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -94,8 +95,9 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, int,
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(scores - functools.reduce(np.maximum, scores.T)[:, None])  # few classes: a class at a time
+    e /= functools.reduce(np.add, e.T)[:, None]
+    return e
 
 
 @dataclass
